@@ -1,0 +1,111 @@
+"""Shingle sets and partition signatures with numpy, for a slice of whole texts.
+
+A text's set holds the 64-bit hashes of its distinct word shingles, sorted. For a similarity t the possible sizes
+fall into classes [l, l/t]; two sets with Jaccard >= t lie in one class or in neighbours and differ in at most
+K = (1-t)/(1+t) * 2r elements, r the larger class's upper bound. A class cuts the hash range into K + 1 + SLACK
+parts, so at least SLACK + 1 parts are equal in both sets. A part's signature is a hash of its elements; empty parts
+give none. A set with more than SLACK empty parts adds the signatures of another cut, and so on until it has no
+more; if all equal parts of a pair are empty then both sets do so and meet there. Hence every pair with
+Jaccard >= t has a common signature: the search loses nothing.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+
+from threadloom.llm.wordgrid import Words, mix, run_hashes
+
+SLACK = 3
+
+
+@dataclass
+class Sets:
+    """values: hashes by text, sorted and distinct; first: each text's first value, with an end."""
+
+    values: np.ndarray
+    first: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.values[self.first[i] : self.first[i + 1]]
+
+
+def shingle_sets(words: Words, size: int) -> Sets:
+    """Distinct shingles of ``size`` lower-cased words; fewer words are one shingle, none is the empty set."""
+    hashes = words.hashes(lower=True)
+    counts = words.counts
+    shingles = np.where(counts == 0, 0, np.maximum(counts - size + 1, 1))
+    owner = np.repeat(np.arange(len(counts)), shingles)
+    start = np.arange(len(owner)) - (np.cumsum(shingles) - shingles)[owner] + words.first[:-1][owner]
+    values = run_hashes(hashes, start, np.minimum(start + size, words.first[1:][owner]))
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    keep = np.ones(len(owner), dtype=bool)
+    keep[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    owner, values = owner[keep], values[keep]
+    return Sets(values, np.searchsorted(owner, np.arange(len(counts) + 1)))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return int(np.count_nonzero(b[at] == a))
+
+
+@lru_cache(maxsize=32)
+def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower bounds of the classes that hold sizes up to ``largest`` and one more, and the parts of each."""
+    lows, parts, low = [], [], 1
+    while True:
+        high = low * 100 // percent
+        differ = (100 - percent) * 2 * high // (100 + percent)
+        lows.append(low)
+        parts.append(differ + 1 + (SLACK if differ else 0))
+        if low > largest:
+            return np.array(lows), np.array(parts)
+        low = high + 1
+
+
+def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the text, and signature, of every non-empty part in a text's own and next class."""
+    sizes = sets.sizes
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lows, parts = size_classes(percent, 1 << int(sizes.max()).bit_length())
+    own = np.searchsorted(lows, sizes[some], side="right") - 1
+    out_text, out_sig = [], []
+    for step in (0, 1):
+        kind = own + step
+        left, cut = np.arange(len(some)), 0
+        while len(left):
+            text, scheme = some[left], kind[left]
+            n = sizes[text]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(sets.first[text], n)
+            owner = np.repeat(np.arange(len(left)), n)
+            value = sets.values[at]
+            spot = value if not cut else mix(value + np.uint64(cut))
+            part = ((spot >> np.uint64(32)) * parts[scheme].astype(np.uint64)[owner]) >> np.uint64(32)
+            if cut:
+                order = np.lexsort((part, owner))
+                owner, value, part = owner[order], value[order], part[order]
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+            begin = np.flatnonzero(new)
+            total = np.add.reduceat(mix(value), begin)
+            seed = mix(part[begin] * np.uint64(1 << 20) + scheme.astype(np.uint64)[owner[begin]] * np.uint64(64) + np.uint64(cut))
+            out_text.append(text[owner[begin]])
+            out_sig.append(mix(total ^ seed).view(np.int64))
+            full = np.bincount(owner[begin], minlength=len(left))
+            left = left[parts[scheme] - full > SLACK]
+            cut += 1
+    return np.concatenate(out_text), np.concatenate(out_sig)
