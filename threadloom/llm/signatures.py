@@ -109,3 +109,23 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
             left = left[parts[scheme] - full > SLACK]
             cut += 1
     return np.concatenate(out_text), np.concatenate(out_sig)
+
+
+def sketches(sets: Sets, percent: int) -> tuple[np.ndarray, list[tuple[bytes, bytes]]]:
+    """Each text's size class, and one byte for each of 4 * parts stretches of the hash range in its own class's
+    cut and in the next class's. Two sets of one cut differ in at least as many elements as bytes."""
+    sizes = sets.sizes
+    lows, parts = size_classes(percent, 1 << int(sizes.max(initial=1)).bit_length())
+    own = np.searchsorted(lows, np.maximum(sizes, 1), side="right") - 1
+    out = []
+    for i in range(len(sizes)):
+        value = sets.of(i)
+        pair = []
+        for step in (0, 1):
+            n = 4 * int(parts[own[i] + step])
+            spot = ((value >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            total = np.zeros(n, dtype=np.uint64)
+            np.add.at(total, spot.astype(np.int64), mix(value))
+            pair.append((total >> np.uint64(56)).astype(np.uint8).tobytes())
+        out.append((pair[0], pair[1]))
+    return own, out
