@@ -3,8 +3,8 @@
 A text's set holds the 64-bit hashes of its distinct word shingles, sorted. For a similarity t the possible sizes
 fall into classes [l, l/t]; two sets with Jaccard >= t lie in one class or in neighbours and differ in at most
 K = (1-t)/(1+t) * 2r elements, r the larger class's upper bound. A class cuts the hash range into K + 1 + SLACK
-parts, so at least SLACK + 1 parts are equal in both sets. A part's signature is a hash of its elements; empty parts
-give none. A set with more than SLACK empty parts adds the signatures of another cut, and so on until it has no
+parts, so at least SLACK + 1 parts are equal in both sets (SLACK grows with K, as the number of parts left empty by
+chance does). A part's signature is a hash of its elements; empty parts give none. A set with more than SLACK empty parts adds the signatures of another cut, and so on until it has no
 more; if all equal parts of a pair are empty then both sets do so and meet there. Hence every pair with
 Jaccard >= t has a common signature: the search loses nothing.
 """
@@ -18,7 +18,7 @@ import numpy as np
 
 from threadloom.llm.wordgrid import Words, mix, run_hashes
 
-SLACK = 3
+LEAST_SLACK, SLACK_SHARE = 3, 48
 
 
 @dataclass
@@ -62,16 +62,17 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 @lru_cache(maxsize=32)
-def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of the classes that hold sizes up to ``largest`` and one more, and the parts of each."""
-    lows, parts, low = [], [], 1
+def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower bounds of the classes that hold sizes up to ``largest`` and one more, and the parts and slack of each."""
+    lows, parts, slack, low = [], [], [], 1
     while True:
         high = low * 100 // percent
         differ = (100 - percent) * 2 * high // (100 + percent)
         lows.append(low)
-        parts.append(differ + 1 + (SLACK if differ else 0))
+        slack.append(LEAST_SLACK + differ // SLACK_SHARE if differ else 0)
+        parts.append(differ + 1 + slack[-1])
         if low > largest:
-            return np.array(lows), np.array(parts)
+            return np.array(lows), np.array(parts), np.array(slack)
         low = high + 1
 
 
@@ -81,7 +82,7 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     some = np.flatnonzero(sizes)
     if not len(some):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lows, parts = size_classes(percent, 1 << int(sizes.max()).bit_length())
+    lows, parts, slack = size_classes(percent, 1 << int(sizes.max()).bit_length())
     own = np.searchsorted(lows, sizes[some], side="right") - 1
     out_text, out_sig = [], []
     for step in (0, 1):
@@ -106,7 +107,7 @@ def signatures(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
             out_text.append(text[owner[begin]])
             out_sig.append(mix(total ^ seed).view(np.int64))
             full = np.bincount(owner[begin], minlength=len(left))
-            left = left[parts[scheme] - full > SLACK]
+            left = left[parts[scheme] - full > slack[scheme]]
             cut += 1
     return np.concatenate(out_text), np.concatenate(out_sig)
 
@@ -115,7 +116,7 @@ def sketches(sets: Sets, percent: int) -> tuple[np.ndarray, list[tuple[bytes, by
     """Each text's size class, and one byte for each of 4 * parts stretches of the hash range in its own class's
     cut and in the next class's. Two sets of one cut differ in at least as many elements as bytes."""
     sizes = sets.sizes
-    lows, parts = size_classes(percent, 1 << int(sizes.max(initial=1)).bit_length())
+    lows, parts, _ = size_classes(percent, 1 << int(sizes.max(initial=1)).bit_length())
     own = np.searchsorted(lows, np.maximum(sizes, 1), side="right") - 1
     out = []
     for i in range(len(sizes)):
