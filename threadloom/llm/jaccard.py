@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import components
-from threadloom.llm.shared import documents, stored
+from threadloom.llm.shared import SPACES, documents, stored
 from threadloom.llm.signatures import overlap, shingle_sets, signatures, sketches
 from threadloom.llm.wordgrid import mix, slices, words
 
@@ -229,5 +229,17 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     return prints.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, less all of a component but the least id; of rows that repeat an id one stays.
+
+    Rows without shingles or id are no copies of anything and stay."""
+    named = F.col("doc_id").cast("long").cast("string")
+    gone = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(named.alias("row_")).distinct()
+    rows = docs.withColumn("row_", F.coalesce(named, F.concat(F.lit("n"), F.xxhash64("text").cast("string")))).join(gone, "row_", "left_anti")
+    bare = ~F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")
+    nth = F.row_number().over(Window.partitionBy("row_").orderBy(bare, F.xxhash64("text")))
+    return rows.withColumn("nth_", nth).where((F.col("nth_") == 1) | bare | F.col("doc_id").isNull()).select(docs.columns)
+
+
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))

@@ -105,18 +105,20 @@ def _below(hi: int, lo: int) -> Column:
     return (h > F.lit(at_h)) | ((h == F.lit(at_h)) & (l_ >= F.lit(at_l)))
 
 
-def shard_rows(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, counted: DataFrame | None = None) -> DataFrame:
     """Adds shard (int) and slot (long, gapless from 0 in a shard) to rows that have key_hi, key_lo and size.
 
-    rows is read several times: pass a stored table. Slots follow cells of the key; the cells' counts give each its
+    Counts are made on ``counted``, the stored keys and sizes of the rows (default: rows, read several times). Slots follow cells of the key; the cells' counts give each its
     first slot, so no task orders a whole shard. Equal keys of equal rows take any order."""
-    cuts = splitters(rows, shards, tolerance)
+    counted = rows if counted is None else counted
+    cuts = splitters(counted, shards, tolerance)
     shard = F.lit(0)
     for hi, lo in cuts:
         shard = shard + F.when(_below(hi, lo), 1).otherwise(0)
     cell = F.shiftrightunsigned("key_hi", 52) * 64 + F.shiftrightunsigned("key_lo", 58)
-    placed = rows.withColumns({"shard": shard.cast("int"), "cell": cell.cast("int")})
-    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+    place = {"shard": shard.cast("int"), "cell": cell.cast("int")}
+    placed = rows.withColumns(place)
+    counts = counted.withColumns(place).groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("begin"))
     rank = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key_hi", "key_lo", *[c for c in ("doc_id",) if c in rows.columns]))
@@ -146,5 +148,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = TOLERA
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def shard_columns(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> DataFrame:
+    """All columns of docs and shard and slot (any of these names in docs are replaced), by the law of shard_documents.
+
+    The splitters come from the keys alone; the rows cross the network once, with their shard."""
+    keep = [c for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32", "key_hi", "key_lo", "cell", "rank", "begin")]
+    keys = stored(keyed(docs, []).select("key_hi", "key_lo", "size"), "shard-keys")
+    placed = shard_rows(keyed(docs, keep), shards, tolerance, counted=keys)
+    return placed.select(*keep, "shard", F.col("slot").cast("long").alias("slot"))
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
