@@ -18,7 +18,7 @@ import numpy as np
 
 from threadloom.llm.wordgrid import Words, mix, run_hashes
 
-LEAST_SLACK, SLACK_SHARE = 3, 48
+LEAST_SLACK, SLACK_MARGIN = 3, 1.4  # and times the empty parts to expect
 
 
 @dataclass
@@ -69,7 +69,10 @@ def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np
         high = low * 100 // percent
         differ = (100 - percent) * 2 * high // (100 + percent)
         lows.append(low)
-        slack.append(LEAST_SLACK + differ // SLACK_SHARE if differ else 0)
+        slack.append(0)
+        for _ in range(8 if differ else 0):  # the smallest set that uses this cut leaves the most parts empty
+            n = differ + 1 + slack[-1]
+            slack[-1] = LEAST_SLACK + int(SLACK_MARGIN * n * np.exp(-high * (percent / 100) ** 2 / n))
         parts.append(differ + 1 + slack[-1])
         if low > largest:
             return np.array(lows), np.array(parts), np.array(slack)
