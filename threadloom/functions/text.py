@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that the logs' own trimming removes.
-BLANKS = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "    　﻿"
+BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 BLANK_CLASS = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
 
@@ -48,7 +48,7 @@ def magic(content: Column) -> Column:
     out = F.when(F.coalesce(content, F.lit("")) == "", "unknown")
     for head, kind in kinds:
         out = out.when(F.startswith(t, F.lit(head)), kind)
-    return out.when(F.startswith(content, F.lit("﻿")), "text-bom").otherwise("text")
+    return out.when(F.startswith(content, F.lit(chr(0xFEFF))), "text-bom").otherwise("text")
 
 
 def iso_time(millis: Column) -> Column:
