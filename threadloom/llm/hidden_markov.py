@@ -26,7 +26,7 @@ from threadloom.llm.wordgrid import mix, slices, words
 
 HELD_OUT = 1
 N_STATES, N_FREQUENT, N_ENDINGS, ITERATIONS = 6, 2000, 64, 3
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 SEED_TEXTS = 2000  # training texts whose class profiles choose the first states
 PIECE = 512  # training sequences are cut into pieces of at most so many tokens; scoring never cuts
 END_HASH = 0  # no word hashes to it but by a chance of 2**-64
@@ -53,10 +53,11 @@ def _block_words(table: pa.Table) -> pa.Table:
         w = words(b.column("text"))
         train = np.repeat(b.column("train").to_numpy(zero_copy_only=False), w.counts)
         ends += int(b.column("train").to_numpy(zero_copy_only=False).sum())
-        parts.append((w.hashes(lower=True), train, _ending(w)))
-    h, train, ending = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int32))
+        distinct, first, at = np.unique(w.hashes(lower=True), return_index=True, return_inverse=True)
+        parts.append((distinct, np.bincount(at.ravel(), weights=train, minlength=len(distinct)), _ending(w)[first]))
+    h, own, ending = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32))
     distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
-    count = np.bincount(at.ravel(), weights=train, minlength=len(distinct)).astype(np.int64)
+    count = np.bincount(at.ravel(), weights=own, minlength=len(distinct)).astype(np.int64)
     block = table.column("block")[0].as_py() if table.num_rows else 0
     hashes = np.append(distinct.view(np.int64), END_HASH)
     return pa.table({"block": pa.array(np.full(len(hashes), block), pa.int32()), "word": hashes, "own": np.append(count, ends), "ending": pa.array(np.append(ending[first], -1), pa.int32())})
