@@ -7,6 +7,8 @@ Lists are sorted by size and read in that order; what follows is skipping by set
 2. Star round: in a list each set is compared with the list's leader alone, the first set within reach of its size (a
    block of sizes out of reach is skipped whole). Sets linked to one leader have each other's answers: they are one
    component, so no pair among them is looked at again.
+   SUB_STARS further rounds do the same for the sets of a leader that are in another component than it, with a leader
+   taken from among them by hash.
 3. Rest round: only where sets of one leader fell into different components, pairs across components are compared, in
    blocks, by sketches that bound the difference from below; a pair in reach is then verified on the texts.
 
@@ -29,6 +31,7 @@ from threadloom.llm.wordgrid import mix, slices, words
 
 WORDS, PERCENT = 4, 85
 BLOCK = 512
+SUB_STARS = 3
 
 
 def _prints(size: int):
@@ -177,10 +180,25 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
     texts = stored(texts, "set-texts")
     slim = texts.drop("text")
     low = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("kind").alias("kind_b"), F.col("own").alias("own_b"), F.col("next").alias("next_b"))
-    compared = pairs.join(slim.withColumnRenamed("doc_id", "a"), "a").join(low, "b").mapInArrow(_near(percent), "a long, b long")
-    edges = stored(_verify(compared, texts, size, percent), "star-edges")
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        compared = candidates.join(slim.withColumnRenamed("doc_id", "a"), "a").join(low, "b").mapInArrow(_near(percent), "a long, b long")
+        return stored(_verify(compared, texts, size, percent), "star-edges")
+
+    edges = linked(pairs)
     joined = copy.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     comp = stored(components(edges), "star-components")
+    led = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"))
+    done = pairs
+    for turn in range(SUB_STARS):
+        of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"{name}_in"))  # noqa: B023, E731
+        apart = led.join(of("doc_id"), "doc_id", "left").join(of("leader"), "leader", "left").withColumns({"mine": F.coalesce("doc_id_in", "doc_id"), "its": F.coalesce("leader_in", "leader")}).where("mine <> its")
+        sub = apart.groupBy("leader").agg(F.min_by(F.struct("doc_id", "mine"), F.xxhash64("doc_id", F.lit(turn))).alias("sub"))
+        star = apart.join(sub, "leader").where("mine <> sub.mine").select(F.greatest("doc_id", "sub.doc_id").alias("a"), F.least("doc_id", "sub.doc_id").alias("b")).distinct()
+        star = stored(star.join(done, ["a", "b"], "left_anti"), "star-pairs")
+        edges = stored(edges.union(linked(star)), "star-edges")
+        done = done.union(star)
+        comp = stored(components(edges), "star-components")
     named_comp = F.coalesce(F.col("component"), F.col("doc_id"))
     member = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("leader"), F.col("b").alias("doc_id")).distinct())
     member = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", named_comp)
@@ -190,7 +208,7 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
     open_ = open_.join(slim, "doc_id").select("*", F.explode(other).alias("o"))
     open_ = open_.withColumns({"p": F.least("block", "o"), "q": F.greatest("block", "o"), "side": F.when(F.col("block") > F.col("o"), 1).otherwise(0), "same": F.col("block") == F.col("o")})
     rest = open_.select("leader", "p", "q", "doc_id", "n", "component", "kind", "side", "same", "own", "next").groupBy("leader", "p", "q").applyInArrow(_rest(percent), "a long, b long").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    rest = rest.join(done, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     more = _verify(rest, texts, size, percent)
     return prints, edges.union(joined).union(more)
 
