@@ -1,2 +1,337 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries over the test tables, and the same results in SQL."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.functions import classify
+from threadloom.functions import text as tx
+from threadloom.operators import backup, clean, convert, extract, stats, validate
+from threadloom.plans import fixtures as fx
+from threadloom.sources import files as fs
+from threadloom.streaming.ingest import stream_ingest
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# The threads of fixtures.py in SQL.
+T = """WITH m AS (SELECT conv_id AS ord, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+th AS (SELECT ord, CAST(ord AS VARCHAR) AS thread_id, ['cursor','claude_code','codex','windsurf','other'][CAST(ord % 5 + 1 AS INT)] AS source, 'proj' || (ord % 7) AS project,
+ strftime(DATE '2024-01-01' + CAST(ord % 5000 AS INT), '%Y-%m-%dT00:00:00.000Z') AS created_at, count(*) AS n, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS tokens,
+ coalesce(sum(CASE WHEN role='user' THEN length(text)//4 END),0) AS u, coalesce(sum(CASE WHEN role='assistant' THEN length(text)//4 END),0) AS a, left(arg_min(text, i) FILTER (WHERE role='user'), 120) AS prompt FROM m GROUP BY ord)"""
+P = """, p AS (SELECT x.ord, x.i - 1 AS pos, trim(x.text) AS instruction, trim(y.text) AS output FROM m x JOIN m y ON x.ord = y.ord AND y.i = x.i + 1 WHERE x.role='user' AND y.role='assistant' AND length(trim(x.text))>=20 AND length(trim(y.text))>=20)"""
+SUMS = "CAST(count(*) AS BIGINT) {0}, CAST(sum(n) AS BIGINT) messages, CAST(sum(tokens) AS BIGINT) tokens, CAST(sum(u) AS BIGINT) user_tokens, CAST(sum(a) AS BIGINT) ai_tokens, CAST(max(a) AS BIGINT) max_ai, CAST(max(u) AS BIGINT) max_user, CAST(count(*) AS BIGINT) high, CAST(0 AS BIGINT) low, CAST(0 AS BIGINT) unknown"
+DOC = "WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 'Sure, I can help you with that. ' ELSE '' END) || coalesce(text,'') || ' tel ' || (13800000000 + doc_id) || ' card ' || (6222000000000000 + doc_id) || ' ip 10.0.3.' || (doc_id % 200) || ' key AKIA' || lpad(CAST(doc_id AS VARCHAR),16,'0') || ' end' AS t FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _flat(threads: DataFrame) -> DataFrame:
+    return threads.select("ord", "thread_id", F.col("meta.source").alias("source"))
+
+
+@query(T + P + " SELECT ord, instruction, '' AS input, output FROM p")
+def sft_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return convert.sft_pairs(fx.threads(spark, d)).drop("pair_idx")
+
+
+@query(T + P + " SELECT min(ord) AS ord, instruction, '' AS input, output FROM p GROUP BY instruction, output")
+def sft_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return convert.sft_dedupe(convert.sft_pairs(fx.doubled(spark, d))).drop("pair_idx")
+
+
+@query(T + """, k AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY ord) AS n FROM m WHERE length(trim(text))>=20)
+SELECT CAST(ord AS VARCHAR) AS id, CAST(pos AS INT) AS at, CASE role WHEN 'assistant' THEN 'gpt' WHEN 'system' THEN 'system' ELSE 'human' END AS sender, trim(text) AS value FROM k WHERE n >= 2""")
+def to_sharegpt(spark: SparkSession, d: str) -> DataFrame:
+    return convert.to_sharegpt(fx.threads(spark, d)).select("id", F.posexplode("conversations").alias("at", "c")).select("id", "at", F.col("c.from").alias("sender"), F.col("c.value").alias("value"))
+
+
+@query(T + """, k AS (SELECT ord, list(trim(text) ORDER BY i) AS v FROM m WHERE length(trim(text))>=20 GROUP BY ord HAVING count(*) >= 2) SELECT CAST(min(ord) AS VARCHAR) AS id, CAST(len(v) AS INT) AS n FROM k GROUP BY v""")
+def sharegpt_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return convert.sharegpt_dedupe(convert.to_sharegpt(fx.doubled(spark, d))).select("id", F.size("conversations").alias("n"))
+
+
+@query(T + """, k AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY i) - 1 AS pos FROM m WHERE length(trim(text))>=20) SELECT thread_id, source, CAST(pos AS INT) AS at, role, trim(text) AS content FROM k JOIN th USING (ord)""")
+def to_multiturn(spark: SparkSession, d: str) -> DataFrame:
+    return convert.to_multiturn(fx.threads(spark, d)).select("thread_id", "source", F.posexplode("messages").alias("at", "m")).select("thread_id", "source", "at", "m.role", "m.content")
+
+
+MD = T + """, b AS (SELECT ord, string_agg('## ' || upper(left(role,1)) || substr(role,2) || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY i) AS body FROM m GROUP BY ord),
+k AS (SELECT ord, thread_id, '# Thread: ' || coalesce(nullif(prompt,''), thread_id) || chr(10) || chr(10) || '> **Source:** ' || source || ' | **Project:** ' || project || ' | **Created:** ' || created_at || chr(10) || chr(10) || body AS markdown FROM th JOIN b USING (ord)) """
+
+
+@query(MD + "SELECT thread_id, markdown FROM k")
+def to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return convert.markdown(fx.threads(spark, d)).drop("ord")
+
+
+@query(MD + "SELECT ord, CASE WHEN ord > (SELECT min(ord) FROM k) THEN chr(10) || '---' || chr(10) || chr(10) ELSE '' END || markdown AS markdown FROM k")
+def to_markdown_doc(spark: SparkSession, d: str) -> DataFrame:
+    return convert.markdown_doc(fx.threads(spark, d))
+
+
+@query(T + " SELECT project, source, " + SUMS.format("threads") + " FROM th GROUP BY project, source")
+def thread_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.thread_stats(fx.threads(spark, d))
+
+
+@query(T + " SELECT left(created_at,7) AS month, " + SUMS.format("threads") + " FROM th GROUP BY 1")
+def rank_groups(spark: SparkSession, d: str) -> DataFrame:
+    return stats.rank_groups(stats.thread_stats(fx.threads(spark, d), ["month"]), ["month"])
+
+
+@query(T + " SELECT " + SUMS.format("total_records") + " FROM th")
+def thread_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.thread_totals(fx.threads(spark, d))
+
+
+@query(T + " SELECT 'high' AS confidence, count(*) AS n FROM th HAVING count(*) > 0")
+def confidence_dist(spark: SparkSession, d: str) -> DataFrame:
+    return stats.confidence_dist(fx.threads(spark, d))
+
+
+@query(T + " SELECT DISTINCT source FROM th")
+def sources_seen(spark: SparkSession, d: str) -> DataFrame:
+    return stats.sources_seen(fx.threads(spark, d))
+
+
+@query(T + " SELECT (SELECT count(*) FROM th) AS total_files, count(*) AS total_records, CAST(0 AS BIGINT) AS warning_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_seen FROM th")
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.scan_report(fx.raw_files(spark, d), fx.threads(spark, d))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE source = 'codex'")
+def filter_source(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(stats.filter_source(fx.threads(spark, d), "codex"))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE created_at >= '2024-02-15'")
+def since_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(stats.since(fx.threads(spark, d), "2024-02-15T00:00:00.000Z"))
+
+
+@query(T + " SELECT DISTINCT ord, thread_id, source FROM th JOIN m USING (ord) WHERE contains(lower(text), 'that')")
+def search_threads(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(stats.search_threads(fx.threads(spark, d), "That"))
+
+
+@query(T + " SELECT thread_id, source FROM th ORDER BY source, thread_id LIMIT 20 OFFSET 20")
+def list_threads(spark: SparkSession, d: str) -> DataFrame:
+    return stats.list_threads(fx.threads(spark, d), 2, 20).select("thread_id", F.col("meta.source").alias("source"))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th")
+def dedupe_threads(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(backup.dedupe_threads(fx.doubled(spark, d)))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE ord % 3 <> 0")
+def incremental_new(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(backup.incremental_new(backup.hashed(fx.threads(spark, d)), fx.manifest(spark, d)))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE ord % 3 = 0")
+def incremental_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(backup.incremental_skipped(backup.hashed(fx.threads(spark, d)), fx.manifest(spark, d)))
+
+
+@query(T + " SELECT thread_id, source, ord % 3 <> 0 AS is_new FROM th")
+def build_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return backup.build_manifest(backup.hashed(fx.threads(spark, d)), fx.manifest(spark, d)).select("thread_id", "source", "is_new")
+
+
+@query(T + " SELECT count(*) AS total_items, count(*) FILTER (WHERE ord % 3 <> 0) AS new_items, count(*) FILTER (WHERE ord % 3 = 0) AS skipped_items, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_seen FROM th")
+def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return backup.manifest_summary(backup.build_manifest(backup.hashed(fx.threads(spark, d)), fx.manifest(spark, d)))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE ord % 3 <> 0")
+def import_new(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(backup.import_new(backup.hashed(fx.doubled(spark, d)), fx.manifest(spark, d)))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th UNION ALL SELECT ord + 1000000000, thread_id, source FROM th WHERE ord % 3 = 0")
+def import_union(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.doubled(spark, d)
+    return _flat(backup.import_union(rows.where("ord < 1000000000"), rows.where("ord >= 1000000000")))
+
+
+@query(T + " SELECT thread_id, source FROM th UNION ALL SELECT thread_id, source FROM th")
+def union_sources(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.threads(spark, d)
+    return backup.union_sources(t, t).select("thread_id", F.col("meta.source").alias("source"))
+
+
+@query(T + " SELECT source, thread_id AS safe_id, CASE WHEN ord % 3 = 0 THEN ord + 1000000000 ELSE ord END AS ord FROM th")
+def save_by_source(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.doubled(spark, d).withColumn("meta", F.col("meta").withField("source", F.element_at(F.array(*map(F.lit, fx.SOURCES)), (F.col("thread_id").cast("long") % 5 + 1).cast("int"))))
+    return backup.save_by_source(rows).select("source", "safe_id", "ord")
+
+
+@query(DOC + " SELECT doc_id AS ord, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,'(^|[^A-Z0-9])((AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16})($|[^A-Z0-9])','\\1***MASKED***\\4','g'),'ghp_[A-Za-z0-9]{36}','***MASKED***','g'),'gho_[A-Za-z0-9]{36}','***MASKED***','g'),'sk-[a-zA-Z0-9]{32,}','***MASKED***','g') AS content FROM d")
+def mask_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return clean.apply(fx.planted(spark, d), clean.mask_secrets).select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+PII_SQL = "t"
+for _body in ("[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9X]", "1[3-9][0-9]{9}", "[1-9][0-9]{12,18}"):
+    for _ in range(2):
+        PII_SQL = "regexp_replace(" + PII_SQL + ",'(^|[^0-9])" + _body + "($|[^0-9])','\\1***PII_MASKED***\\2','g')"
+PII_SQL = "regexp_replace(" + PII_SQL + ",'[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}','***PII_MASKED***','g')"
+
+
+@query(DOC + f" SELECT doc_id AS ord, {PII_SQL} AS content FROM d")
+def mask_pii(spark: SparkSession, d: str) -> DataFrame:
+    return clean.apply(fx.planted(spark, d), clean.mask_pii).select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+IP_SQL = "t"
+for _ in range(2):
+    IP_SQL = "regexp_replace(" + IP_SQL + ",'(^|[^0-9])(?:10\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}|192\\.168\\.[0-9]{1,3}\\.[0-9]{1,3}|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]{1,3}\\.[0-9]{1,3})($|[^0-9])','\\1***ASSET_MASKED***\\2','g')"
+
+
+@query(DOC + f" SELECT doc_id AS ord, {IP_SQL} AS content FROM d")
+def mask_assets(spark: SparkSession, d: str) -> DataFrame:
+    return clean.apply(fx.planted(spark, d), clean.mask_assets).select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+@query(DOC + " SELECT doc_id AS ord, trim(CASE WHEN doc_id % 4 = 0 THEN substr(t, 33) ELSE t END, chr(9)||chr(10)||chr(13)||' ') AS content FROM d")
+def strip_chitchat(spark: SparkSession, d: str) -> DataFrame:
+    return clean.apply(fx.planted(spark, d), "chitchat").select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+@query(DOC + " SELECT doc_id AS ord, CASE WHEN length(t) > 3000 THEN left(t,1500) || chr(10)||chr(10)||'...[TRUNCATED BY PRUNE PLUGIN]...'||chr(10)||chr(10) || right(t,1500) ELSE t END AS content FROM d")
+def prune_long(spark: SparkSession, d: str) -> DataFrame:
+    return clean.apply(fx.planted(spark, d), "prune").select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+@query(DOC + " SELECT 'AWS_AccessKey' AS type, CAST(sum(len(list_filter(regexp_extract_all(t,'[A-Z0-9]+'), lambda x: regexp_full_match(x,'(AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}')))) AS BIGINT) AS matches FROM d")
+def clean_stats(spark: SparkSession, d: str) -> DataFrame:
+    return clean.clean_stats(fx.planted(spark, d), clean.mask_secrets).where("type = 'AWS_AccessKey'").select("type", "matches")
+
+
+@query()
+def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return clean.clean_pipeline(fx.planted(spark, d)).select("ord", F.col("messages")[0]["content"].alias("content"))
+
+
+@query(T + " SELECT count(*) AS total, count(*) AS valid, CAST(0 AS BIGINT) AS invalid FROM th")
+def validation_summary(spark: SparkSession, d: str) -> DataFrame:
+    return validate.validation_summary(validate.validate_threads(fx.threads(spark, d)))
+
+
+@query(T + " SELECT ord, thread_id, ord % 2 = 1 AS valid, CASE WHEN ord % 2 = 0 THEN '/meta/source must be equal to one of the allowed values' ELSE '' END AS errors FROM th")
+def validate_threads(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.threads(spark, d).withColumn("meta", F.when(F.col("ord") % 2 == 0, F.col("meta").withField("source", F.lit("nobody"))).otherwise(F.col("meta")))
+    return validate.validate_threads(t).select("ord", "thread_id", "valid", F.array_join("errors", ";").alias("errors"))
+
+
+MESSAGES_SQL = T + " SELECT ord, CAST(i - 1 AS INT) AS at, role, {0} AS content FROM m WHERE {1}"
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    return rows.select("ord", F.posexplode("messages").alias("at", "m")).select("ord", "at", "m.role", "m.content")
+
+
+@query(MESSAGES_SQL.format("text", "ord % 4 = 1"))
+def extract_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    raw = fx.raw_files(spark, d).where("ord % 4 = 1")
+    return _messages(extract.extract_jsonl(raw).join(raw.select("path", "ord"), "path"))
+
+
+@query(MESSAGES_SQL.format("text", "ord % 4 IN (0, 2)"))
+def extract_json(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(extract.extract_json(fx.raw_files(spark, d).where("ord % 4 in (0, 2)")))
+
+
+@query(MESSAGES_SQL.format("trim(text, chr(9)||chr(10)||chr(13)||' ')", "ord % 4 = 3"))
+def extract_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(extract.extract_markdown(fx.raw_files(spark, d).where("ord % 4 = 3")))
+
+
+@query(MESSAGES_SQL.format("text", "ord % 5 <> 4"))
+def extract_kv(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(extract.extract_kv(fs.kv_key_filter(fx.kv_items(spark, d))))
+
+
+@query(T + " SELECT substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS thread_id, 'cursor' AS source, CAST(n AS INT) AS n FROM th")
+def normalize_raw(spark: SparkSession, d: str) -> DataFrame:
+    return extract.normalize_raw(fx.raw_files(spark, d)).select("thread_id", F.col("meta.source").alias("source"), F.size("messages").alias("n"))
+
+
+@query(T + " SELECT substr(sha1('/home/u/Windsurf/db' || (ord // 10) || '/state.vscdb' || 'aiChat.' || (1704067200000 + ord)),1,16) AS thread_id, 'windsurf' AS source, CAST(n AS INT) AS n FROM th WHERE ord % 5 <> 4")
+def normalize_kv(spark: SparkSession, d: str) -> DataFrame:
+    return extract.normalize_kv(fs.kv_key_filter(fx.kv_items(spark, d))).select("thread_id", F.col("meta.source").alias("source"), F.size("messages").alias("n"))
+
+
+@query(T + " SELECT ord, 'aiChat.' || (1704067200000 + ord) AS key FROM th WHERE ord % 5 <> 4")
+def kv_key_filter(spark: SparkSession, d: str) -> DataFrame:
+    return fs.kv_key_filter(fx.kv_items(spark, d)).select("ord", "key")
+
+
+@query(T + " SELECT ord FROM th")
+def candidate_files(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.raw_files(spark, d)
+    ignored = rows.withColumn("path", F.concat(F.lit("/p/node_modules/"), "path"))
+    return fs.candidate_files(rows.union(ignored)).select("ord")
+
+
+@query(T + " SELECT ord FROM th")
+def is_interesting_file(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.raw_files(spark, d)
+    other = rows.withColumn("path", F.lit("/home/u/readme.html"))
+    return rows.union(other).where(fs.is_interesting(F.col("path"), F.col("content"))).select("ord")
+
+
+@query(T + " SELECT ord, CAST(4 + ord % 3 AS INT) AS depth, CASE WHEN ord % 3 = 0 THEN 4 ELSE 6 END AS phase FROM th WHERE 4 + ord % 3 <= 6")
+def within_scan_depth(spark: SparkSession, d: str) -> DataFrame:
+    rel = F.concat(F.repeat(F.lit("x/"), (F.col("ord") % 3 + 3).cast("int")), F.col("ord").cast("string"))
+    return fs.within_scan_depth(fx.raw_files(spark, d).withColumn("rel", rel)).select("ord", "depth", "phase")
+
+
+SCALARS = T + """ SELECT ord, 'thread' AS kind, 'cursor' AS tool, 'u' AS project, 'claude_code' AS renamed, CASE ord % 4 WHEN 3 THEN 'markdown' ELSE 'json' END AS magic,
+substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS id, strftime(TIMESTAMP '2024-01-01' + INTERVAL (ord) DAY, '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM th"""
+
+
+@query(SCALARS)
+def scalar_rules(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return fx.raw_files(spark, d).select("ord", classify.identify_type(p).alias("kind"), classify.detect_tool(p).alias("tool"), classify.infer_project(p).alias("project"), classify.normalize_source(F.lit(" Claude ")).alias("renamed"), tx.magic(F.col("content")).alias("magic"), classify.thread_id(p).alias("id"), tx.iso_time(F.col("mtime_ms")).alias("at"))
+
+
+@query(T + " SELECT ord, prompt, CAST(tokens AS BIGINT) AS tokens, CAST(u AS BIGINT) AS user_tokens FROM th")
+def thread_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return fx.threads(spark, d).select("ord", extract.first_user_prompt(F.col("messages")).alias("prompt"), F.col("meta.tokens").alias("tokens"), tx.role_tokens(F.col("messages"), "user").alias("user_tokens"))
+
+
+def _native(tool: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return convert.to_native(fx.threads(spark, d), tool)
+
+    QUERIES[f"to_native_{tool}"] = run
+
+
+for _tool in ("cursor", "codex", "antigravity", "cline", "windsurf", "codebuddy", "default"):
+    _native(_tool)
+ORACLE_SQL["to_native_antigravity"] = T + """, b AS (SELECT ord, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY i) AS body FROM m GROUP BY ord)
+SELECT 'session-' || left(md5(thread_id),8) || '.md' AS file, '---' || chr(10) || 'name: ' || coalesce(nullif(prompt,''), thread_id) || chr(10) || 'source: ' || source || chr(10) || 'created: ' || created_at || chr(10) || '---' || chr(10) || chr(10) || body AS content FROM th JOIN b USING (ord)"""
+
+
+@query()
+def stream_ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    base = spark.conf.get("spark.checkpoint.dir", "") or "/tmp"
+    folder = tempfile.mkdtemp(prefix="spark-ingest-", dir="/tmp").rsplit("/", 1)[-1]
+    root = f"{base.rstrip('/')}/{folder}"
+    fx.raw_files(spark, d).drop("ord").write.parquet(f"{root}/in")
+    return stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").select("thread_id", F.col("meta.source").alias("source"))
