@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions import classify
 from threadloom.functions.text import BLANK_CLASS, estimate_tokens, filled, iso_time, trimmed
@@ -19,7 +20,7 @@ from threadloom.schema import CONTEXT_DDL, MESSAGES_DDL, SCHEMA_VERSION
 NONE = f"cast(array() as {MESSAGES_DDL})"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _pretty(values: pd.Series) -> pd.Series:
     def one(text):
         try:
