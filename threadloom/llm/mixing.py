@@ -77,18 +77,18 @@ def balance(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def round_copies(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one source's sizes, whole copies for all (floor) and how many texts get one more (extra), carrying tokens."""
+    """For one source's sizes, whole copies for all (floor) and how many texts get one more (extra), carrying tokens.
+    Whole numbers throughout; no text gets more than CAP copies."""
     rows = rows.sort_values("size", ascending=False)
     floor, extra, carry = [], [], 0
     for size, n, rate_ in zip(rows["size"].tolist(), rows["n"].tolist(), rows["rate"].tolist()):
-        whole, part = divmod(rate_, UNIT)
-        more = 0
-        if size and whole < CAP:
-            want = part * n * size + carry
-            more = min(max((2 * want + size * UNIT) // (2 * size * UNIT), 0), n)
-            carry = want - more * size * UNIT
-        floor.append(whole)
-        extra.append(more)
+        total = 0
+        if size:
+            want = rate_ * n * size + carry
+            total = min(max((2 * want + size * UNIT) // (2 * size * UNIT), 0), CAP * n)
+            carry = want - total * size * UNIT
+        floor.append(total // n)
+        extra.append(total % n)
     return rows.assign(floor=floor, extra=extra)[["skey", "size", "floor", "extra"]]
 
 
