@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import documents, in_fold, stored
+from threadloom.llm.shared import documents, in_fold, least_hashes, stored
 from threadloom.llm.wordgrid import mix, slices, words
 
 HELD_OUT = 1
@@ -208,7 +208,8 @@ def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _first_model(encoded: DataFrame) -> Hmm:
     """States from the class profiles of SEED_TEXTS training texts (those of least hash): k-means on square roots."""
     n_classes = 1 + N_ENDINGS + N_FREQUENT
-    rows = encoded.where("train and n_tokens > 1").orderBy(F.xxhash64("doc_id", F.lit("seed")), "doc_id").limit(SEED_TEXTS).select("classes").collect()
+    seeds = encoded.where("train and n_tokens > 1").select("doc_id", "classes", F.xxhash64("doc_id", F.lit("seed")).alias("order"))
+    rows = least_hashes(seeds, "order", SEED_TEXTS, "doc_id").select("classes").collect()
     emit = np.full((n_classes, N_STATES), 1.0 / n_classes)
     if rows:
         profile = np.array([np.bincount(r["classes"], minlength=n_classes) / len(r["classes"]) for r in rows])

@@ -34,3 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def in_fold(doc_id: Column, fold: int) -> Column:
     """crc32 of the id's decimal text modulo 5 is fold (null id: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == fold, F.lit(False))
+
+
+def least_hashes(rows: DataFrame, order: str, n: int, *ties: str) -> DataFrame:
+    """The n rows of least ``order``, a 64-bit hash. Beyond 4 * n rows a bound that about 2 * n hashes lie below cuts the
+    rest first, so that tasks don't each send n rows to the one that sorts. Where many rows share a hash above the bound,
+    fewer than n may come."""
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.where(F.col(order) < (1 << 65) * n // total - (1 << 63))
+    return rows.orderBy(order, *ties).limit(n)
