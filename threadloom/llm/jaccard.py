@@ -185,9 +185,12 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
         compared = candidates.join(slim.withColumnRenamed("doc_id", "a"), "a").join(low, "b").mapInArrow(_near(percent), "a long, b long")
         return stored(_verify(compared, texts, size, percent), "star-edges")
 
-    edges = linked(pairs)
+    def joins(comp: DataFrame) -> DataFrame:
+        """A component's sets, each joined with the least one: what the links found so far connect, in fewer rows."""
+        return comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
     joined = copy.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    comp = stored(components(edges), "star-components")
+    comp = stored(components(linked(pairs)), "star-components")
     led = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"))
     done = pairs
     for turn in range(SUB_STARS):
@@ -196,9 +199,11 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
         sub = apart.groupBy("leader").agg(F.min_by(F.struct("doc_id", "mine"), F.xxhash64("doc_id", F.lit(turn))).alias("sub"))
         star = apart.join(sub, "leader").where("mine <> sub.mine").select(F.greatest("doc_id", "sub.doc_id").alias("a"), F.least("doc_id", "sub.doc_id").alias("b")).distinct()
         star = stored(star.join(done, ["a", "b"], "left_anti"), "star-pairs")
-        edges = stored(edges.union(linked(star)), "star-edges")
+        if star.isEmpty():  # no leader has sets in two other components
+            break
         done = done.union(star)
-        comp = stored(components(edges), "star-components")
+        comp = stored(components(joins(comp).union(linked(star))), "star-components")
+    edges = joins(comp)
     named_comp = F.coalesce(F.col("component"), F.col("doc_id"))
     member = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("leader"), F.col("b").alias("doc_id")).distinct())
     member = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", named_comp)
