@@ -48,22 +48,33 @@ def ima_steps() -> np.ndarray:
     ])
 
 
+@lru_cache(maxsize=1)
+def ima_moves() -> tuple[np.ndarray, np.ndarray]:
+    """What each nibble adds to the sample, and the step index after it, at index * 16 + nibble."""
+    step, nibble = ima_steps()[:, None], np.arange(16)[None, :]
+    size = (step >> 3) + np.where(nibble & 4, step, 0) + np.where(nibble & 2, step >> 1, 0) + np.where(nibble & 1, step >> 2, 0)
+    move = np.array([-1, -1, -1, -1, 2, 4, 6, 8])[nibble & 7]
+    after = np.clip(np.arange(len(step))[:, None] + move, 0, len(step) - 1)
+    return np.where(nibble & 8, -size, size).astype(np.int32).ravel(), after.astype(np.int32).ravel()
+
+
 def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     """Samples (n, 2 * size - 7) of n mono IMA ADPCM blocks, uint8 (n, size): 16-bit first sample, step index, zero."""
-    move = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
     n, size = blocks.shape
     value = blocks[:, :2].copy().view("<i2").ravel().astype(np.int32)
     index = np.minimum(blocks[:, 2], 88).astype(np.int32)
     out = np.empty((n, 1 + 2 * (size - 4)), dtype=np.int16)
     out[:, 0] = value
-    steps = ima_steps()
-    for j in range(2 * (size - 4)):
-        nibble = (blocks[:, 4 + j // 2] >> (4 * (j % 2))) & 15
-        step = steps[index]
-        delta = (step >> 3) + np.where(nibble & 4, step, 0) + np.where(nibble & 2, step >> 1, 0) + np.where(nibble & 1, step >> 2, 0)
-        value = np.clip(value + np.where(nibble & 8, -delta, delta), -32768, 32767)
-        index = np.clip(index + move[nibble & 7], 0, 88)
-        out[:, 1 + j] = value
+    delta, after = ima_moves()
+    codes = np.ascontiguousarray(blocks[:, 4:].T)
+    rows = np.empty((2 * (size - 4), n), dtype=np.int16)
+    for j in range(len(rows)):
+        at = index * 16 + ((codes[j // 2] >> (4 * (j % 2))) & 15)
+        value += delta[at]
+        np.clip(value, -32768, 32767, out=value)
+        index = after[at]
+        rows[j] = value
+    out[:, 1:] = rows.T
     return out
 
 
@@ -85,11 +96,12 @@ def resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
     taps = _filter(up, down)
     half = taps.shape[1] // 2
     padded = np.pad(pcm.astype(np.int64), (half - 1, half))
-    at = np.arange(-(-len(pcm) * up // down)) * down
-    base, phase = at // up, at % up
-    out = np.full(len(at), 1 << 14, dtype=np.int64)
-    for k in range(2 * half):
-        out += padded[base + k] * taps[phase, k]
+    out = np.full(-(-len(pcm) * up // down), 1 << 14, dtype=np.int64)
+    for r in range(up):  # outputs r, r + up, ... share a phase and lie ``down`` inputs apart
+        base, phase = divmod(r * down, up)
+        n = len(range(r, len(out), up))
+        for k in np.flatnonzero(taps[phase]).tolist():
+            out[r::up] += padded[base + k :: down][:n] * taps[phase, k]
     return np.clip(out >> 15, -32768, 32767).astype(np.int16)
 
 
