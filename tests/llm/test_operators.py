@@ -144,6 +144,24 @@ def test_leaks(spark):
     assert sorted(r["doc_id"] for r in decontamination.drop_leaked(docs, items).collect())[:2] == [12, 13]
 
 
+def _leaks(spark, items, docs):
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} long, text string")
+    return {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontamination.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+
+
+def test_leaks_are_judged_by_occurrence(spark):
+    text = "the farmer sells %s crates of fresh pears and then buys %s sacks of seed corn for the spring fields".replace
+    filled = lambda a, b: text("%s", str(a), 1).replace("%s", str(b))
+    a, b, other, third = filled(3, 5), filled(7, 9), filled(20, 30), filled(40, 60)
+    twice = "count %s red marbles in the old wooden box by the door then count %s red marbles in the old wooden box by the door" % (4, 6)
+    docs = [a + " and so on, " + other, other + " and so on, " + third, a + " or else, " + b, "note: " + twice, filled(3, 5).replace("5", "8").replace("3", "2")]
+    got = _leaks(spark, [a, b, twice], docs)
+    assert got[0, 0] and (1, 0) in got and not got[1, 0] and got[2, 0] and got[2, 1] and got[3, 2] and not got[4, 0]
+    # One value of the item for two of the document is no copy, but a passage with equal values is.
+    same = "put %s apples and %s pears and %s plums in a big bag for him"
+    assert _leaks(spark, [same % (3, 3, 3)], [same % (4, 7, 9)]) == {}
+
+
 def test_quality_without_and_with_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score_documents(docs, none).collect()} == {0.5}

@@ -2,8 +2,9 @@
 
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; the rest is
 lower-cased words. Windows of WINDOW template words of documents (every STRIDE-th) and of items (all) are joined on
-their hash: a shared run of WINDOW + STRIDE - 1 words can't be missed. Slots of matched windows are then paired: a
-re-parameterised copy maps each value of the item to one value of the document, whichever it is.
+their hash: a shared run of WINDOW + STRIDE - 1 words can't be missed. Slots of matched windows are then paired,
+for each place where the item lies: a re-parameterised copy maps each value of the item to one value of the document,
+whichever it is.
 """
 
 from __future__ import annotations
@@ -41,31 +42,39 @@ def _mark(token: Column) -> Column:
 
 
 def _windows(rows: DataFrame, key: str, stride: int) -> DataFrame:
-    """key, at, hash and words of each window; shorter texts are one window, empty ones none."""
-    rows = rows.select(key, tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    """key, row (a hash of the text), at, hash and words of each window; shorter texts are one window, empty ones none."""
+    rows = rows.select(key, F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     rows = rows.withColumn("h", F.transform("t", lambda t: F.xxhash64(_mark(t))))
     last = F.greatest(F.size("t") - WINDOW, F.lit(0))
     at = F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)) if stride > 1 else F.sequence(F.lit(0), last)
     cut = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i + 1, F.lit(WINDOW))).alias("hash"), F.slice("t", i + 1, F.lit(WINDOW)).alias("words"))
-    return rows.select(key, F.explode(F.transform(at, cut)).alias("w")).select(key, "w.*")
+    return rows.select(key, "row", F.explode(F.transform(at, cut)).alias("w")).select(key, "row", "w.*")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, matched), n_slots, same_values: an item's passage lies in the document.
 
-    Windows with fewer than LITERALS plain words, unless the item is shorter, count for nothing. Pairs whose slots don't
-    map one value to one value are left out. Null ids and null or empty texts match nothing; rows that share an id are
+    Windows with fewer than LITERALS plain words, unless the item is shorter, count for nothing. Windows that match
+    at one distance between document and item are one occurrence. It counts if its slots map one value to one value; else
+    those of its windows count whose values are all equal. n_slots and same_values are those of the occurrence with the
+    most windows, n_windows is of all. Null ids and null or empty texts match nothing; rows that share an id are
     one document; other columns are ignored."""
     plain = F.size(F.filter("words", lambda t: ~_slot(t)))
     item = _windows(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null"), "item_id", 1)
-    item = item.where((plain >= LITERALS) | (F.size("words") < WINDOW)).select("item_id", F.col("at").alias("item_at"), "hash", F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template"))
+    item = item.where((plain >= LITERALS) | (F.size("words") < WINDOW)).select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "hash", F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template"))
     few = item.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     doc = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "doc_id", STRIDE)
     hit = doc.join(F.broadcast(item) if few else item, "hash").where(F.transform("words", _mark) == F.col("template"))
-    hit = hit.select("doc_id", "item_id", "item_at", F.zip_with("item_slots", F.filter("words", _slot), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"))
-    found = hit.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    found = found.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    return found.select("doc_id", "item_id", "n_windows", F.size("pairs").cast("long").alias("n_slots"), F.forall("pairs", lambda p: p["a"] == p["b"]).alias("same_values"))
+    pairs = F.zip_with("item_slots", F.filter("words", _slot), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hit = hit.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
+    hit = hit.withColumn("equal", F.forall("pairs", lambda p: p["a"] == p["b"]))
+    place = hit.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(F.collect_set(F.struct("item_at", "pairs", "equal")).alias("all"))
+    paired = lambda windows: F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"])))
+    one = F.size(F.array_distinct(F.transform(paired("all"), lambda p: p["a"]))) == F.size(paired("all"))
+    place = place.withColumn("kept", F.when(one, F.col("all")).otherwise(F.filter("all", lambda w: w["equal"]))).where(F.size("kept") > 0)
+    place = place.select("doc_id", "item_id", F.array_distinct(F.transform("kept", lambda w: w["item_at"])).alias("at"), F.forall("kept", lambda w: w["equal"]).alias("equal"), F.size(paired("kept")).alias("slots"))
+    found = place.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.size("at").alias("n"), "equal", "slots")).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"))
+    return found.select("doc_id", "item_id", F.col("n").cast("long").alias("n_windows"), F.col("best.slots").cast("long").alias("n_slots"), F.col("best.equal").alias("same_values"))
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
