@@ -162,6 +162,20 @@ def test_leaks_are_judged_by_occurrence(spark):
     assert _leaks(spark, [same % (3, 3, 3)], [same % (4, 7, 9)]) == {}
 
 
+def test_leaks_of_short_numeric_and_embedded_items(spark):
+    ten = "every winter morning seven grey geese cross our frozen river"
+    sums = "Solve 12 + 7 - 5 + 30 - 4 + 18 + 6 = 64 now"
+    named = "Bertha drives to our village with 12 boxes of apples"
+    short = "what weighs 7 stones"
+    rest = " while nobody in this quiet town was looking at all those things again"
+    docs = [f"so {ten}{rest}", f"he and she {ten}{rest}", f"they wrote {sums}{rest}", f"we know {named}{rest}", f"we know {named.replace('Bertha', 'Peter').replace('12', '40')}{rest}", f"ask {short}{rest}", f"ask {short.replace('7', '9')}{rest}", "so " + ten.upper().replace(" ", "\n") + rest, f"solve {sums.replace('12', '13').replace('30', '29')}{rest}", rest]
+    got = _leaks(spark, [ten, sums, named, short], docs)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 2), (5, 3), (6, 3), (7, 0)}
+    assert got[2, 1] and not got[4, 2] and got[5, 3] and not got[6, 3]
+    # A short item of few plain words needs equal values, but in a document as short.
+    assert _leaks(spark, ["add 5 to 12"], ["please add 5 to 12 right away", "please add 6 to 13 right away", "add 6 to 13"]) == {(0, 0): True, (2, 0): False}
+
+
 def test_quality_without_and_with_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score_documents(docs, none).collect()} == {0.5}

@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders; the rest is
-lower-cased words. Windows of WINDOW template words of documents (every STRIDE-th) and of items (all) are joined on
-their hash: a shared run of WINDOW + STRIDE - 1 words can't be missed. Slots of matched windows are then paired,
-for each place where the item lies: a re-parameterised copy maps each value of the item to one value of the document,
-whichever it is.
+lower-cased words. All windows of WINDOW template words of documents and of items are joined on their hash; an item of
+fewer words is one window, which documents are cut for at its length too. A capitalised word that opens a window may be
+a name there and none here, as that depends on what is before it: such windows are cut in both forms. Words and numbers
+as they stand are a second form of every text, so that a shared run of WINDOW of them can't be missed whatever its case
+and line breaks. Slots of matched windows are then paired, for each place where the item lies: a re-parameterised copy
+maps each value of the item to one value of the document, whichever it is.
 """
 
 from __future__ import annotations
@@ -12,27 +14,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import documents
+from threadloom.llm.shared import documents, stored
 
-WINDOW, STRIDE, LITERALS = 10, 2, 6
+WINDOW, LITERALS = 10, 6
+FLAGS = 1 << 18  # bytes of the map that keeps most windows without a match from being cut
 BROADCAST_ROWS = 200_000  # item windows (some 100 bytes each) up to which they are sent to all tasks; beyond, a shuffle join
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = r"(?<=[0-9])(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
 NAME = r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
-# Private-use characters that open a number, a unit and a name, and close a slot; such characters of a text are dropped.
-OPEN_NUMBER, OPEN_UNIT, OPEN_NAME, CLOSE = (chr(0xE000 + i) for i in range(4))
-TOKEN = f"[{OPEN_NUMBER}-{OPEN_NAME}][^{CLOSE}]*{CLOSE}|\\p{{L}}+"
+INITIAL_NAME = r"(?=\p{Lu})(?<![\p{Ll},;]\x20)(?<![\p{L}])\p{Lu}\p{Ll}++(?!\p{L})"
+# Private-use characters that open a number, a unit and a name, close a slot, and stand before a capitalised word that is
+# no slot; such characters of a text are dropped.
+OPEN_NUMBER, OPEN_UNIT, OPEN_NAME, CLOSE, INITIAL = (chr(0xE000 + i) for i in range(5))
+TOKEN = f"[{OPEN_NUMBER}-{OPEN_NAME}][^{CLOSE}]*{CLOSE}|{INITIAL}?\\p{{L}}+"
+TEMPLATE, LITERAL = 1, 0
 
 
 def tokens(text: Column) -> Column:
-    """Template words; a slot is its mark and its value."""
-    text = F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN_NUMBER + OPEN_UNIT + OPEN_NAME + CLOSE, "    ")
-    text = F.regexp_replace(text, UNIT, f" {OPEN_UNIT}{CLOSE} ")
+    """Template words; a slot is its mark and its value, INITIAL stands before a word that begins a sentence."""
+    text = F.regexp_replace(_plain(text), UNIT, f" {OPEN_UNIT}{CLOSE} ")
     text = F.regexp_replace(text, NAME, f"{OPEN_NAME}$0{CLOSE}")
+    text = F.regexp_replace(text, INITIAL_NAME, f"{INITIAL}$0")
     text = F.regexp_replace(text, NUMBER, f"{OPEN_NUMBER}$0{CLOSE}")
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _plain(text: Column) -> Column:
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN_NUMBER + OPEN_UNIT + OPEN_NAME + CLOSE + INITIAL, "     ")
+
+
 def _slot(token: Column) -> Column:
     return (token >= OPEN_NUMBER) & (token < CLOSE)
 
@@ -41,40 +51,81 @@ def _mark(token: Column) -> Column:
     return F.when(_slot(token), F.left(token, F.lit(1))).otherwise(token)
 
 
-def _windows(rows: DataFrame, key: str, stride: int) -> DataFrame:
-    """key, row (a hash of the text), at, hash and words of each window; shorter texts are one window, empty ones none."""
-    rows = rows.select(key, F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    rows = rows.withColumn("h", F.transform("t", lambda t: F.xxhash64(_mark(t))))
-    last = F.greatest(F.size("t") - WINDOW, F.lit(0))
-    at = F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)) if stride > 1 else F.sequence(F.lit(0), last)
-    cut = lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("h", i + 1, F.lit(WINDOW))).alias("hash"), F.slice("t", i + 1, F.lit(WINDOW)).alias("words"))
-    return rows.select(key, "row", F.explode(F.transform(at, cut)).alias("w")).select(key, "row", "w.*")
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    """key, row (a hash of the text) and, for each form, its tokens t, their hashes h and the words that begin sentences."""
+    rows = rows.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null")
+    rows = rows.select(key, F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("raw"), F.regexp_extract_all(F.lower(_plain(F.col("text"))), F.lit(NUMBER + r"|\p{L}+"), F.lit(0)).alias("t0"))
+    rows = rows.withColumn("t1", F.transform("raw", lambda t: F.ltrim(t, F.lit(INITIAL))))
+    return rows.withColumns({"h0": F.transform("t0", lambda t: F.xxhash64(t)), "h1": F.transform("t1", lambda t: F.xxhash64(_mark(t)))})
+
+
+def _cut(form: int, length: Column, named: bool, flags: bytes | None) -> Column:
+    """The windows of one form and length as structs, those that flags has no byte for left out; named: only windows that
+    open with a word that begins a sentence, taken for a name."""
+    t, h, size = f"t{form}", f"h{form}", F.size(f"t{form}")
+
+    def hashed(i: Column) -> Column:
+        return F.xxhash64(F.concat(F.array(F.xxhash64(F.lit(OPEN_NAME))), F.slice(h, i + 2, length - 1)) if named else F.slice(h, i + 1, length))
+
+    def window(i: Column) -> Column:
+        words = F.concat(F.array(F.concat(F.lit(OPEN_NAME), F.get(t, i), F.lit(CLOSE))), F.slice(t, i + 2, length - 1)) if named else F.slice(t, i + 1, length)
+        return F.struct(F.lit(form).alias("form"), i.alias("at"), hashed(i).alias("hash"), words.alias("words"), size.alias("of"))
+
+    def flagged(i: Column) -> Column:
+        return F.substring(F.lit(bytearray(flags)), F.pmod(hashed(i), F.lit(FLAGS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\1"))
+
+    at = F.when((size >= length) & (size > 0), F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(at, lambda i: F.get("raw", i).startswith(INITIAL)) if named else at
+    return F.transform(at if flags is None else F.filter(at, flagged), window)
+
+
+def _windows(texts: DataFrame, key: str, lengths: dict[int, list[int]], flags: bytes | None = None) -> DataFrame:
+    """key, row, form, at, hash and words of each window, and how many tokens its text has. Windows of documents have each
+    of the lengths; those of items (flags None) have WINDOW tokens, or all if these are fewer."""
+    sizes = {form: [F.least(F.size(f"t{form}"), F.lit(WINDOW))] if flags is None else [F.lit(n) for n in lengths[form]] for form in (LITERAL, TEMPLATE)}
+    cuts = [_cut(form, n, named, flags) for form in sizes for n in sizes[form] for named in (False, True)[: form + 1]]
+    return texts.select(key, "row", F.explode(F.concat(*cuts)).alias("w")).select(key, "row", "w.*")
+
+
+def _flags(item: DataFrame) -> bytes:
+    """A byte 1 at each window hash modulo FLAGS."""
+    out = bytearray(FLAGS)
+    for r in item.select(F.pmod("hash", F.lit(FLAGS)).alias("i")).distinct().toLocalIterator():
+        out[r["i"]] = 1
+    return bytes(out)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, matched), n_slots, same_values: an item's passage lies in the document.
 
-    Windows with fewer than LITERALS plain words, unless the item is shorter, count for nothing. Windows that match
-    at one distance between document and item are one occurrence. It counts if its slots map one value to one value; else
-    those of its windows count whose values are all equal. n_slots and same_values are those of the occurrence with the
-    most windows, n_windows is of all. Null ids and null or empty texts match nothing; rows that share an id are
-    one document; other columns are ignored."""
-    plain = F.size(F.filter("words", lambda t: ~_slot(t)))
-    item = _windows(items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null"), "item_id", 1)
-    item = item.where((plain >= LITERALS) | (F.size("words") < WINDOW)).select("item_id", F.col("row").alias("item_row"), F.col("at").alias("item_at"), "hash", F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template"))
-    few = item.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    doc = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "doc_id", STRIDE)
-    hit = doc.join(F.broadcast(item) if few else item, "hash").where(F.transform("words", _mark) == F.col("template"))
+    Windows that match at one distance between document and item are one occurrence. It counts if its slots map one value
+    to one value; else those of its windows count whose values are all equal. n_slots and same_values are those of the
+    occurrence with the most windows, n_windows is of all. Windows in which fewer than LITERALS of WINDOW words are plain
+    must have equal values, unless a short item meets a document as short. Null ids and null or empty texts match
+    nothing; rows that share an id are one document; other columns are ignored."""
+    item = _windows(_texts(items, "item_id"), "item_id", {})
+    # Counted from the end, as a name at the beginning may be one word or two.
+    item = stored(item.select("item_id", F.col("row").alias("item_row"), "form", (F.col("at") - F.col("of")).alias("item_at"), "hash", F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template")), "leak-items")
+    few = item.count() <= BROADCAST_ROWS
+    lengths = {form: [WINDOW] for form in (LITERAL, TEMPLATE)}
+    for r in item.select("form", F.size("template").alias("n")).where(f"n < {WINDOW}").distinct().collect():
+        lengths[r["form"]].append(r["n"])
+    doc = _windows(_texts(docs, "doc_id"), "doc_id", lengths, _flags(item))
+    hit = doc.join(F.broadcast(item) if few else item, ["hash", "form"]).where(F.transform("words", _mark) == F.col("template"))
     pairs = F.zip_with("item_slots", F.filter("words", _slot), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hit = hit.select("doc_id", "row", "item_id", "item_row", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
+    hit = hit.select("doc_id", "row", "item_id", "item_row", "form", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"), F.size("words").alias("n"), "of")
     hit = hit.withColumn("equal", F.forall("pairs", lambda p: p["a"] == p["b"]))
-    place = hit.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(F.collect_set(F.struct("item_at", "pairs", "equal")).alias("all"))
+    plain = (F.col("n") - F.size("pairs")) * WINDOW >= F.col("n") * LITERALS
+    hit = hit.where(plain | F.col("equal") | ((F.col("n") < WINDOW) & (F.col("n") == F.col("of"))))
+    place = hit.groupBy("doc_id", "row", "item_id", "item_row", "form", "shift").agg(F.collect_set(F.struct("item_at", "pairs", "equal")).alias("all"))
     paired = lambda windows: F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"])))
     one = F.size(F.array_distinct(F.transform(paired("all"), lambda p: p["a"]))) == F.size(paired("all"))
     place = place.withColumn("kept", F.when(one, F.col("all")).otherwise(F.filter("all", lambda w: w["equal"]))).where(F.size("kept") > 0)
-    place = place.select("doc_id", "item_id", F.array_distinct(F.transform("kept", lambda w: w["item_at"])).alias("at"), F.forall("kept", lambda w: w["equal"]).alias("equal"), F.size(paired("kept")).alias("slots"))
-    found = place.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.size("at").alias("n"), "equal", "slots")).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"))
-    return found.select("doc_id", "item_id", F.col("n").cast("long").alias("n_windows"), F.col("best.slots").cast("long").alias("n_slots"), F.col("best.equal").alias("same_values"))
+    place = place.select("doc_id", "item_id", "form", F.array_distinct(F.transform("kept", lambda w: w["item_at"])).alias("at"), F.forall("kept", lambda w: w["equal"]).alias("equal"), F.size(paired("kept")).alias("slots"))
+    matched = lambda form: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == form, F.col("at"))))))
+    found = place.groupBy("doc_id", "item_id").agg(F.max(F.struct("form", F.size("at").alias("n"), "equal", "slots")).alias("best"), matched(TEMPLATE).alias("template"), matched(LITERAL).alias("literal"))
+    n = F.when(F.col("best.form") == TEMPLATE, F.col("template")).otherwise(F.col("literal"))
+    return found.select("doc_id", "item_id", n.cast("long").alias("n_windows"), F.col("best.slots").cast("long").alias("n_slots"), F.col("best.equal").alias("same_values"))
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
