@@ -77,6 +77,17 @@ def test_mixing(docs):
         assert abs(taken[s] - target[s]) <= best + max(min(n for n in sizes[s] if n), 1)
 
 
+def test_mixing_of_a_huge_cell(spark, monkeypatch):
+    hist = spark.createDataFrame([("0a", 20_000, 40_000), ("0a", 300, 1_000), ("0b", 3_000_000, 7), ("0c", 500, 2_000_000)], "skey string, size long, n long")
+    targets = mixing.source_targets(hist)
+    solved = hist.join(mixing.balance(hist, targets), "skey").withColumn("rate", mixing.rate())
+    for r in solved.groupBy("skey").agg(F.sum(F.col("rate").cast("double") * F.col("size") * F.col("n") / mixing.UNIT).alias("got"), F.first("target").alias("target")).collect():
+        assert r["got"] == pytest.approx(r["target"], rel=2e-4)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="off their targets"):
+        mixing.balance(hist, targets)
+
+
 def test_secrets(docs):
     got = _both(docs, secrets.find_secrets, ["doc_id", "found"])
     assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -57,23 +57,27 @@ def rate(cap: int = CAP) -> Column:
 
 
 def balance(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
-    """The dual's solution lam for each source. Newton on g(lam) = sum of rate * size, guarded by a bracket."""
+    """The dual's solution lam for each source. Newton on g(lam) = sum of rate * size, guarded by a bracket.
+
+    A source is done within TOLERANCE of its target, or within one unit of rate for all its texts; if one isn't after
+    STEPS, this fails."""
     state = stored(targets.withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e7), "hi": F.lit(1e7), "done": F.lit(False)}), "mix-state")
     for _ in range(STEPS):
         tilted = hist.join(state, "skey").withColumn("rate", rate(cap))
-        tokens = F.col("rate") * F.col("size") * F.col("n")
-        slope = F.when(F.col("rate") < cap * UNIT, tokens * F.col("size") / F.greatest(F.col("largest"), F.lit(1))).otherwise(0).cast("decimal(38,0)")
-        sums = tilted.groupBy("skey").agg((F.sum(tokens.cast("decimal(38,0)")) / UNIT).cast("double").alias("got"), (F.sum(slope) / UNIT).cast("double").alias("slope"))
+        tokens = F.col("rate").cast("decimal(38,0)") * F.col("size") * F.col("n")
+        slope = F.when(F.col("rate") < cap * UNIT, tokens.cast("double") * F.col("size") / F.greatest(F.col("largest"), F.lit(1))).otherwise(0).cast("decimal(38,0)")
+        sums = tilted.groupBy("skey").agg((F.sum(tokens).cast("double") / UNIT).alias("got"), (F.sum(slope).cast("double") / UNIT).alias("slope"))
         s = state.join(sums, "skey")
-        s = s.withColumns({"done": F.abs(F.col("got") - F.col("target")) <= TOLERANCE * F.col("target"), "lo": F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))})
+        s = s.withColumns({"done": F.abs(F.col("got") - F.col("target")) <= F.greatest(TOLERANCE * F.col("target"), F.col("source_size") / UNIT), "lo": F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("got") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))})
         newton = F.col("lam") + (F.col("target") - F.col("got")) / F.nullif(F.col("slope"), F.lit(0.0))
         middle = F.when(F.col("hi") >= 1e7, F.greatest(F.col("lo") * 4, F.lit(1.0))).when(F.col("lo") <= -1e7, F.least(F.col("hi") * 4, F.lit(-1.0))).otherwise((F.col("lo") + F.col("hi")) / 2)
         inside = (newton > F.col("lo")) & (newton < F.col("hi")) & (F.abs(newton - F.col("lam")) <= F.greatest(F.lit(2.0), 2 * F.abs(F.col("lam"))))
         s = s.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise(middle))
         state = stored(s.select(state.columns), "mix-state")
-        if state.where("not done").isEmpty():
-            break
-    return state
+        left = state.where("not done")
+        if left.isEmpty():
+            return state
+    raise RuntimeError(f"after {STEPS} steps {left.count()} sources are off their targets, such as {left.first()}")
 
 
 def round_copies(rows: pd.DataFrame) -> pd.DataFrame:
