@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import stored
+from threadloom.llm.shared import discard, stored
 
 
-def components(edges: DataFrame, limit: int = 50) -> DataFrame:
-    """edges (a long, b long) to (id, component): the least id that each id reaches; ids without edges don't appear.
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("big", "small").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
 
-    Large stars move a node's larger neighbours, small stars its smaller ones, to the least neighbour. Only the least
-    neighbour of each node is computed (a pre-aggregated minimum), so a node with many edges is no heavy group."""
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a long, b long) to (id, component): the least id that each id reaches; ids without edges don't appear, nor
+    do edges with a null end. Repeated edges and loops are harmless.
+
+    Large stars move a node's larger neighbours, small stars its smaller ones, to the least neighbour, until nothing
+    changes: then every component is a star around its least id. A node's least neighbour is a pre-aggregated minimum;
+    the joins on a node shuffle both sides, so that Spark splits a node with many edges over several tasks."""
     now = stored(edges.select(F.greatest("a", "b").alias("big"), F.least("a", "b").alias("small")).where("big <> small").distinct(), "edges")
-    for _ in range(limit):
+    state = _state(now)
+    while state[0]:
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).union(now.select(F.col("small").alias("u"), F.col("big").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small").distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("big"), F.col("m").alias("small"))
         least = large.groupBy("big").agg(F.min("small").alias("m"))
         small = large.join(least, "big").select("big", "small", "m")
         after = small.select(F.col("small").alias("big"), F.col("m").alias("small")).union(small.select("big", F.col("m").alias("small"))).where("big <> small").distinct()
         after = stored(after, "edges")
-        node = after.select(F.col("big").alias("u"), F.lit(1).alias("up")).union(after.select(F.col("small").alias("u"), F.lit(0).alias("up")))
-        same = node.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where("ups > 1 or (ups = 1 and low = 0)").isEmpty()  # only stars are left
-        now = after
-        if same:
+        discard(now)
+        before, state, now = state, _state(after), after
+        if state == before:
             break
     return now.select(F.col("big").alias("id"), F.col("small").alias("component")).union(now.select(F.col("small").alias("id"), F.col("small").alias("component"))).distinct()

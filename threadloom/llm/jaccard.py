@@ -1,18 +1,21 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-Index lists map a partition signature (see signatures.py: no pair over the threshold is without a common one) to sets.
-Lists are sorted by size and read in that order; what follows is skipping by set relations:
-
-1. Equal sets are one set: only their representative goes on.
-2. Star round: in a list each set is compared with the list's leader alone, the first set within reach of its size (a
-   block of sizes out of reach is skipped whole). Sets linked to one leader have each other's answers: they are one
-   component, so no pair among them is looked at again.
-   SUB_STARS further rounds do the same for the sets of a leader that are in another component than it, with a leader
-   taken from among them by hash.
-3. Rest round: only where sets of one leader fell into different components, pairs across components are compared, in
-   blocks, by sketches that bound the difference from below; a pair in reach is then verified on the texts.
-
-Links are always decided on the exact shingle sets. No list, block or number of partners is capped.
+1. Equal sets are one node (their 128-bit prints are equal): copies are not looked at again.
+2. Index lists. If |A & B| >= t |A | B| then A lacks at most K(n) = (1 - t) n of its n shingles in B. Of both sets the
+   K + K / 4 + 1 shingles of least hash (the portion) therefore have K(least possible partner) / 4 + 1 in common, and
+   these sets have a common shingle among their first ones in any order. The order is by frequency, rare first, so a
+   set whose first shingles occur nowhere else has no partner and leaves the search; others are in the lists of their
+   first shingles. Frequencies are counted by hash buckets: slices of texts send each distinct shingle once.
+3. Block skip. A list is a block of sets of one shingle with its least size known: sets that stand in it at a position
+   beyond which too few shingles of the portion are left for that size are skipped.
+4. Answers from a similar set's answers. The least set of a list leads it; lists of one leader make one group, which all
+   pairs of those lists are in. There, sets are reduced to what they add to the leader and what they lack of it, and
+   |A & B| = |L| - |lacks A| - |lacks B| + |both lack| + |both add|: no pair is counted from whole sets. Groups up to
+   MEMBERS sets are done at once. Larger ones are cut into blocks which all hold the leader; sets that got into its
+   component have each other's answers and are skipped as pairs, the others meet the rest block by block.
+
+Links are decided on whole shingle sets. A task gives a spanning forest of its links, so what it emits grows with its sets
+and not with its pairs. No list, group or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -21,248 +24,323 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import components
-from threadloom.llm.shared import SPACES, documents, stored
-from threadloom.llm.signatures import overlap, shingle_sets, signatures, sketches
+from threadloom.llm.shared import discard, documents, small_side, stored, unused
+from threadloom.llm.shingles import shingle_sets
 from threadloom.llm.wordgrid import mix, slices, words
 
 WORDS, PERCENT = 4, 85
-BLOCK = 512
-SUB_STARS = 3
+MEMBERS, ELEMENTS = 1024, 4 << 20  # sets, and shingles of sets, in one block of a group
+BUCKET, OWNERS = 250_000, 8 << 20  # portion shingles in a hash bucket (more for a large corpus), and in one part of it
+INDEX_BYTES = 8 << 20  # text in a slice that counts its distinct shingles
+SPARSE = 6  # holders up to which a shingle's pairs of sets are listed one by one
 
 
-def _prints(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Set size and a 128-bit print of the set."""
-        for b in slices(batches):
-            s = shingle_sets(words(b.column("text")), size)
-            sums = []
-            for salt in (1, 2):
-                total = np.concatenate([[0], np.cumsum(mix(s.values + np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
-                sums.append((total[s.first[1:]] - total[s.first[:-1]]).view(np.int64))
-            yield pa.record_batch([b.column("doc_id"), pa.array(s.sizes), *map(pa.array, sums)], ["doc_id", "n_shingles", "f1", "f2"])
+def lacking(n, percent: int):
+    """K(n): most shingles that a set of n may lack in a partner."""
+    return (100 - percent) * n // 100
 
-    return run
 
+def portion(n, percent: int):
+    return lacking(n, percent) + lacking(n, percent) // 4 + 1
 
-def _signed(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            s = shingle_sets(words(b.column("text")), size)
-            text, sig = signatures(s, percent)
-            order = np.argsort(text, kind="stable")
-            bounds = np.searchsorted(text[order], np.arange(b.num_rows + 1)).astype(np.int32)
-            yield pa.record_batch([b.column("doc_id"), pa.array(s.sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(sig[order]))], ["doc_id", "n", "sigs"])
 
-    return run
+def _sql(rule, n: Column, percent: int) -> Column:
+    k = F.floor((100 - percent) * n / 100)
+    return k if rule is lacking else k + F.floor(k / 4) + 1
 
 
-def _stars(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (sig, n, doc_id) to pairs (doc_id, leader). The first set of a list leads all of it, so that
-        the list's sets have a leader in common; where sizes leave its reach, the first set out of reach also leads the
-        block that follows."""
-        sig, first, leader, reach = None, 0, 0, 0
-        for b in batches:
-            sigs, n, ids = (b.column(c).to_numpy() for c in ("sig", "n", "doc_id"))
-            if not len(sigs):
-                continue
-            new = np.ones(len(sigs), dtype=bool)
-            new[1:] = sigs[1:] != sigs[:-1]
-            new[0] = sigs[0] != sig
-            bounds = np.append(np.flatnonzero(new) if new[0] else np.append(0, np.flatnonzero(new)), len(sigs))
-            busy = np.diff(bounds) > 1  # one set alone needs no leader, unless its list began before or goes on
-            busy[0] = busy[-1] = True
-            found = []
-            for at in np.flatnonzero(busy).tolist():
-                a, z = int(bounds[at]), int(bounds[at + 1])
-                if new[a]:
-                    first = leader = int(ids[a])
-                    reach = int(n[a]) * 100 // percent
-                found.append((ids[a:z], np.full(z - a, first)))
-                while a < z:
-                    stop = a + int(np.searchsorted(n[a:z], reach, side="right"))
-                    if leader != first and stop > a:
-                        found.append((ids[a:stop], np.full(stop - a, leader)))
-                    a = stop
-                    if a < z:
-                        leader, reach = int(ids[a]), int(n[a]) * 100 // percent
-            sig = sigs[-1]
-            member, lead = (np.concatenate(x) for x in zip(*found))
-            keep = member != lead
-            pairs = np.unique(np.column_stack([member[keep], lead[keep]]), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["doc_id", "leader"])
+def _least_common(n: Column, percent: int) -> Column:
+    """Portion shingles that a set of n has in common with any partner at least."""
+    return F.floor(F.floor((100 - percent) * F.ceil(n * percent / 100) / 100) / 4) + 1
 
-    return run
+
+def _packed(values: np.ndarray) -> bytes:
+    """48-bit numbers."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' 48-bit numbers, and how many each row has."""
+    raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in column.to_pylist()]
+    out = np.zeros((sum(map(len, raw)), 8), np.uint8)
+    if raw:
+        out[:, :6] = np.concatenate(raw)
+    return out.view("<u8").ravel(), np.array([len(x) for x in raw], np.int64)
 
 
-def _sketched(size: int, percent: int):
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Set size and a 128-bit print of the set."""
         for b in slices(batches):
             s = shingle_sets(words(b.column("text")), size)
-            kind, both = sketches(s, percent)
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(s.sizes), pa.array(kind.astype(np.int32)), pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], ["doc_id", "text", "n", "kind", "own", "next"])
+            yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(s.sizes), pa.array(s.prints(1)), pa.array(s.prints(2))], ["doc_id", "key", "n_shingles", "f1", "f2"])
 
     return run
 
 
-def _verified(size: int, percent: int):
+def _indexed(size: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of texts whose shingle sets reach the threshold."""
-        for b in slices(slices(batches, "text_a"), "text_b"):
-            x, y = (shingle_sets(words(b.column(c)), size) for c in ("text_a", "text_b"))
-            keep = []
-            for i in range(b.num_rows):
-                p, q = x.of(i), y.of(i)
-                both = overlap(p, q)
-                keep.append(100 * both >= percent * (len(p) + len(q) - both) and len(p) > 0)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+        """Portions of the distinct sets of a slice by bucket: distinct values, how many sets have each, and which."""
+        for b in slices(batches, most=INDEX_BYTES):
+            s = shingle_sets(words(b.column("text")), size)
+            f1, n = s.prints(1), s.sizes
+            fresh = np.zeros(len(n), dtype=bool)
+            fresh[np.unique(f1, return_index=True)[1]] = True
+            owner = np.repeat(np.arange(len(n)), n)
+            rank = np.arange(len(owner)) - s.first[:-1][owner]
+            at = np.flatnonzero((rank < portion(n, percent)[owner]) & fresh[owner])
+            value, owner = s.values[at] >> np.uint64(16), owner[at]
+            bucket = (mix(value) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((value, bucket))
+            value, owner, bucket = value[order], owner[order], bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1)) if buckets < 4096 else None
+            starts = np.flatnonzero(np.diff(cut)) if cut is not None else np.unique(bucket, return_index=True)[1]
+            spans = [(int(cut[k]), int(cut[k + 1])) for k in starts] if cut is not None else list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]))
+            out = {"bucket": [], "values": [], "times": [], "owner": [], "ids": []}
+            for a, z in spans:
+                distinct, times = np.unique(value[a:z], return_counts=True)
+                ids, own = np.unique(owner[a:z], return_inverse=True)
+                for name, x in (("bucket", int(bucket[a])), ("values", _packed(distinct)), ("times", times.astype("<u4").tobytes()), ("owner", own.astype("<u4").tobytes()), ("ids", f1[ids].astype("<i8").tobytes())):
+                    out[name].append(x)
+            if out["bucket"]:
+                salt = np.full(len(out["bucket"]), int(f1[fresh][0]) & 0x7FFFFFFF)
+                yield pa.record_batch([pa.array(out["bucket"], pa.int32()), pa.array(salt, pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("values", "times", "owner", "ids"))], ["bucket", "salt", "values", "times", "owner", "ids"])
 
     return run
 
 
-def _differ_at_most(n: np.ndarray, m: int, percent: int) -> np.ndarray:
-    """Most elements in which sets of these sizes may differ at the threshold."""
-    return (100 - percent) * (n + m) // (100 + percent)
-
-
-def _rest(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """Pairs across components in one pair of blocks of one leader's sets that the sketches can't exclude."""
-        ids, n, comp, kind, side = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "component", "kind", "side"))
-        same_block = bool(table.column("same")[0].as_py())
-        own, after = (table.column(c).to_pylist() for c in ("own", "next"))
-        out_a, out_b = [], []
-        for k in np.unique(kind).tolist():
-            cut = {i: own[i] for i in np.flatnonzero(kind == k).tolist()}
-            cut |= {i: after[i] for i in np.flatnonzero(kind == k - 1).tolist()}
-            rows = np.array(sorted(cut))
-            parts = np.frombuffer(b"".join(cut[i] for i in rows.tolist()), dtype=np.uint8).reshape(len(rows), -1)
-            for at, i in enumerate(rows.tolist()):
-                if side[i]:
-                    continue
-                others = rows[at + 1 :] if same_block else rows[side[rows] == 1]
-                where = np.arange(at + 1, len(rows)) if same_block else np.flatnonzero(side[rows] == 1)
-                fit = (comp[others] != comp[i]) & ((kind[others] == k) | (kind[i] == k))
-                fit &= (n[others] * percent <= 100 * n[i]) & (n[i] * percent <= 100 * n[others])
-                where, others = where[fit], others[fit]
-                if len(where):
-                    apart = np.count_nonzero(parts[where] != parts[at], axis=1)
-                    near = others[apart <= _differ_at_most(n[others], int(n[i]), percent)]
-                    out_a.append(np.full(len(near), ids[i]))
-                    out_b.append(ids[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+def _frequencies(table: pa.Table) -> pa.Table:
+    """The values of one bucket that more than one set has, with their numbers of sets."""
+    value, _ = _unpacked(table.column("values"))
+    times = _numbers(table.column("times"), "<u4")
+    distinct, at = np.unique(value, return_inverse=True)
+    total = np.bincount(at.ravel(), weights=times, minlength=len(distinct)).astype(np.uint64)
+    keep = total > 1
+    return pa.table({"bucket": table.column("bucket").slice(0, 1), "values": pa.array([_packed(distinct[keep])], pa.binary()), "total": pa.array([np.minimum(total[keep], 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()), "owners": pa.array([int(total.sum())], pa.int64())})
+
+
+def _shared(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """(f1, h, total) of the shared values of one part of a bucket."""
+    value, n = _unpacked(rows.column("values"))
+    shared, _ = _unpacked(known.column("values"))
+    total, times = _numbers(known.column("total"), "<u4"), _numbers(rows.column("times"), "<u4")
+    ids, owner = rows.column("ids").to_pylist(), rows.column("owner").to_pylist()
+    if not len(shared) or not len(value):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("f1", "h", "total")})
+    at = np.searchsorted(shared, value)
+    at[at == len(shared)] = 0
+    hit = shared[at] == value
+    f1 = np.concatenate([np.frombuffer(x, "<i8")[np.frombuffer(o, "<u4")] for x, o in zip(ids, owner)])
+    pick = np.repeat(hit, times)
+    return pa.table({"f1": f1[pick], "h": np.repeat(value, times)[pick].astype(np.int64), "total": np.repeat(total[at], times)[pick].astype(np.int64)})
+
+
+def postings(row: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(h, node, n, pos): the lists of each set's first portion shingles, rare first, that other sets have too."""
+    total = nodes.agg(F.sum(_sql(portion, F.col("n"), percent))).first()[0] or 0
+    buckets = max(1, -(-int(total) // min(max(BUCKET, int(total) // 1000), 32 * BUCKET)))
+    rows = row.mapInArrow(_indexed(size, percent, buckets), "bucket int, salt int, values binary, times binary, owner binary, ids binary")
+    known = stored(rows.select("bucket", "values", "times").groupBy("bucket").applyInArrow(_frequencies, "bucket int, values binary, total binary, owners long"), "set-frequencies")
+    known = known.withColumn("parts", F.ceil(F.col("owners") / OWNERS).cast("int"))
+    hot = F.broadcast(known.where("parts > 1").select("bucket", "parts"))  # a row for each OWNERS portion shingles at most
+    rows = rows.join(hot, "bucket", "left").withColumn("part", F.pmod("salt", F.coalesce("parts", F.lit(1))))
+    spread = known.select("bucket", "values", "total", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = rows.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInArrow(_shared, "f1 long, h long, total long")
+    by = Window.partitionBy("f1", "node")
+    placed = shared.join(nodes.select("f1", "node", "n"), "f1").withColumns({"others": _sql(portion, F.col("n"), percent) - F.count("*").over(by), "rank": F.row_number().over(by.orderBy("total", "h"))})
+    pos = F.col("others") + F.col("rank") - 1
+    keep = pos <= _sql(portion, F.col("n"), percent) - _least_common(F.col("n"), percent)
+    return stored(placed.where(keep).select("h", "node", "n", pos.cast("int").alias("pos")), "set-postings")
+
+
+def groups(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, leader) of every set in a list whose first, the least of the list, is leader; less what positions exclude."""
+    lead = lists.groupBy("h").agg(F.min(F.struct("n", "node")).alias("lead"), F.count("*").alias("sets")).where("sets > 1").select("h", F.col("lead.n").alias("least"), F.col("lead.node").alias("leader"))
+    k = F.floor(F.floor((100 - percent) * F.col("least") / 100) / 4) + 1
+    left = _sql(portion, F.col("n"), percent) - F.col("pos")
+    return stored(lists.join(lead, "h").where(F.col("node") != F.col("leader")).where(left >= k).select("node", "leader").distinct(), "set-groups")
+
+
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            s = shingle_sets(words(b.column("text")), size)
+            yield pa.record_batch([b.column("node"), pa.array(s.sizes), b.column("places"), pa.array([s.of(i).tobytes() for i in range(b.num_rows)], pa.binary())], ["node", "n", "places", "elements"])
 
     return run
 
 
-def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """prints (doc_id, n_shingles, f1, f2) of every row, and edges (a, b) that connect exactly what the links connect."""
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    prints = stored(row.mapInArrow(_prints(size), "doc_id long, n_shingles long, f1 long, f2 long"), "set-prints")
-    named = prints.where("doc_id is not null and n_shingles > 0")
-    reps = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    copy = stored(named.join(reps, ["f1", "f2"]).select("doc_id", "rep").distinct(), "set-copies")
-    known = row.where("doc_id is not null")
-    sigs = known.mapInArrow(_signed(size, percent), "doc_id long, n int, sigs array<long>").select(F.explode("sigs").alias("sig"), "n", "doc_id")
-    lists = sigs.repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
-    pairs = lists.mapInArrow(_stars(percent), "doc_id long, leader long").distinct()
-    leading = copy.select(F.col("doc_id").alias("leader"), F.col("rep").alias("b"))
-    pairs = pairs.join(copy, "doc_id").join(leading, "leader").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    pairs = stored(pairs, "star-pairs")
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = known.join(involved, "doc_id", "left_semi").mapInArrow(_sketched(size, percent), "doc_id long, text string, n long, kind int, own binary, next binary")
-    texts = stored(texts, "set-texts")
-    slim = texts.drop("text")
-    low = slim.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("kind").alias("kind_b"), F.col("own").alias("own_b"), F.col("next").alias("next_b"))
-
-    def linked(candidates: DataFrame) -> DataFrame:
-        compared = candidates.join(slim.withColumnRenamed("doc_id", "a"), "a").join(low, "b").mapInArrow(_near(percent), "a long, b long")
-        return stored(_verify(compared, texts, size, percent), "star-edges")
-
-    def joins(comp: DataFrame) -> DataFrame:
-        """A component's sets, each joined with the least one: what the links found so far connect, in fewer rows."""
-        return comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-
-    joined = copy.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    comp = stored(components(linked(pairs)), "star-components")
-    led = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id"))
-    done = pairs
-    for turn in range(SUB_STARS):
-        of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"{name}_in"))  # noqa: B023, E731
-        apart = led.join(of("doc_id"), "doc_id", "left").join(of("leader"), "leader", "left").withColumns({"mine": F.coalesce("doc_id_in", "doc_id"), "its": F.coalesce("leader_in", "leader")}).where("mine <> its")
-        sub = apart.groupBy("leader").agg(F.min_by(F.struct("doc_id", "mine"), F.xxhash64("doc_id", F.lit(turn))).alias("sub"))
-        star = apart.join(sub, "leader").where("mine <> sub.mine").select(F.greatest("doc_id", "sub.doc_id").alias("a"), F.least("doc_id", "sub.doc_id").alias("b")).distinct()
-        star = stored(star.join(done, ["a", "b"], "left_anti"), "star-pairs")
-        if star.isEmpty():  # no leader has sets in two other components
-            break
-        done = done.union(star)
-        comp = stored(components(joins(comp).union(linked(star))), "star-components")
-    edges = joins(comp)
-    named_comp = F.coalesce(F.col("component"), F.col("doc_id"))
-    member = pairs.select(F.col("b").alias("leader"), F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("leader"), F.col("b").alias("doc_id")).distinct())
-    member = member.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", named_comp)
-    mixed = member.groupBy("leader").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y and members > 2").select("leader", "members")
-    open_ = member.join(mixed, "leader").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    open_ = open_.join(slim, "doc_id").select("*", F.explode(other).alias("o"))
-    open_ = open_.withColumns({"p": F.least("block", "o"), "q": F.greatest("block", "o"), "side": F.when(F.col("block") > F.col("o"), 1).otherwise(0), "same": F.col("block") == F.col("o")})
-    rest = open_.select("leader", "p", "q", "doc_id", "n", "component", "kind", "side", "same", "own", "next").groupBy("leader", "p", "q").applyInArrow(_rest(percent), "a long, b long").distinct()
-    rest = rest.join(done, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _verify(rest, texts, size, percent)
-    return prints, edges.union(joined).union(more)
-
-
-def _near(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Star pairs that sizes and sketches can't exclude."""
-        for b in batches:
-            n, m, k, kb = (b.column(c).to_numpy() for c in ("n", "m", "kind", "kind_b"))
-            keep = (n * percent <= 100 * m) & (m * percent <= 100 * n)
-            for i in np.flatnonzero(keep).tolist():
-                x = b.column("own" if k[i] >= kb[i] else "next")[i].as_py()
-                y = b.column("own_b" if kb[i] >= k[i] else "next_b")[i].as_py()
-                apart = np.count_nonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
-                keep[i] = apart <= _differ_at_most(n[i], int(m[i]), percent)
-            keep = pa.array(keep)
-            yield pa.record_batch([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+def _common(sets: list[np.ndarray], base: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections, from what the sets lack of base and add to it."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(x) for x in sets])
+    value = np.concatenate(sets)
+    at = np.searchsorted(base, value)
+    at[at == len(base)] = 0
+    inside = base[at] == value
+    lack = np.ones((m, len(base)), dtype=np.float32)
+    lack[row[inside], at[inside]] = 0
+    n_lack = lack.sum(axis=1)
+    lack = lack[:, lack.sum(axis=0) > 1]
+    common = len(base) - n_lack[:, None] - n_lack[None, :] + lack @ lack.T
+    np.fill_diagonal(common, len(base) - n_lack)
+    added, row = value[~inside], row[~inside]
+    order = np.argsort(added, kind="stable")
+    added, row = added[order], row[order]
+    begin = np.flatnonzero(np.concatenate([[True], added[1:] != added[:-1]])) if len(added) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(begin, len(added)))
+    for k in range(2, SPARSE + 1):
+        of = begin[holders == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                np.add.at(common, (row[of + i], row[of + j]), 1)
+                np.add.at(common, (row[of + j], row[of + i]), 1)
+    dense = np.flatnonzero(holders > SPARSE)
+    for a in range(0, len(dense), 4096):
+        pick = dense[a : a + 4096]
+        n = holders[pick]
+        column = np.repeat(np.arange(len(pick)), n)
+        cells = np.zeros((m, len(pick)), dtype=np.float32)
+        cells[row[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[pick], n)], column] = 1
+        cells = cells @ cells.T
+        np.fill_diagonal(cells, 0)
+        common += cells
+    return common
+
+
+def _links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A spanning forest of the links between sets of different components in one block of a group."""
+        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        n, comp = (table.column(c).to_numpy()[at] for c in ("n", "comp"))
+        sets = [np.frombuffer(x, "<u8") for x in table.column("elements").take(pa.array(at)).to_pylist()]
+        first = np.arange(len(node))
+        if len(node) > 1:
+            lead = np.flatnonzero(node == table.column("leader")[0].as_py())
+            common = _common(sets, sets[lead[0] if len(lead) else int(np.argmin(n))])
+            linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
+            while True:  # the least node that each one reaches
+                least = np.minimum(first, np.where(linked, first[None, :], len(node)).min(axis=1))
+                least = least[least]
+                if (least == first).all():
+                    break
+                first = least
+        moved = np.flatnonzero(first != np.arange(len(node)))
+        return pa.table({"a": node[moved].astype(np.int64), "b": node[first[moved]].astype(np.int64)})
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified(size, percent), "a long, b long").distinct()
+def _compare(row: DataFrame, nodes: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
+    """places (node, leader, p, q, comp): links among the sets of each (leader, p, q), computed from their texts."""
+    places = stored(places, "set-places")
+    wanted = places.groupBy("node").agg(F.collect_list(F.struct("leader", "p", "q", "comp")).alias("places")).join(nodes.select("node", "doc", "key"), "node")
+    wanted = small_side(wanted.withColumnRenamed("key", "its"), places.count(), 80)
+    text = row.join(wanted, (F.col("key") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "places", "text")
+    sets = text.mapInArrow(_elements(size), "node long, n long, places array<struct<leader:long,p:int,q:int,comp:long>>, elements binary")
+    sets = sets.select("node", "n", "elements", F.explode("places").alias("at")).select("at.*", "node", "n", "elements")
+    edges = stored(sets.groupBy("leader", "p", "q").applyInArrow(_links(percent), "a long, b long"), "set-links")
+    discard(places)
+    return edges
+
+
+def _blocks(count: str, elements: str) -> Column:
+    return F.greatest(F.ceil(F.col(count) / MEMBERS), F.ceil(F.col(elements) / ELEMENTS), F.lit(1)).cast("int")
+
+
+def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """prints (doc_id, key, n_shingles, f1, f2) of every row; nodes (node, f1, f2, n, doc, key), the distinct sets, each with
+    a row that has it; edges (a, b) between nodes, which connect exactly what the links between sets connect.
+
+    percent is 60 at least."""
+    if percent < 60:
+        raise ValueError("the portions of the search need 60 percent at least")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    prints = stored(row.mapInArrow(_prints(size), "doc_id long, key long, n_shingles long, f1 long, f2 long"), "set-prints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = prints.where("n_shingles > 0").groupBy("f1", "f2").agg(F.max("n_shingles").alias("n"), least.alias("least"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", F.col("least.doc_id").alias("doc"), F.col("least.key").alias("key")), "set-nodes")
+    lists = postings(row, nodes, size, percent)
+    member = groups(lists, percent)
+    member = member.union(member.select("leader", "leader").distinct()).join(nodes.select("node", "n"), "node")
+    sized = member.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).select("leader", _blocks("sets", "elements").alias("blocks"))
+    member = stored(member.join(sized, "leader"), "set-members")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    block = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    edges = _compare(row, nodes, member.select("node", "leader", F.explode(block).alias("p")).select("node", "leader", "p", F.col("p").alias("q"), F.col("node").alias("comp")), size, percent)
+    large = member.where("blocks > 1")
+    if large.isEmpty():
+        return prints, nodes, edges
+    comp = stored(components(edges), "set-components")
+    of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"{name}_in"))
+    large = large.join(of("node"), "node", "left").join(of("leader"), "leader", "left").withColumns({"comp": F.coalesce("node_in", "node"), "its": F.coalesce("leader_in", "leader")})
+    large = large.select("node", "leader", "n", "comp", (F.col("comp") != F.col("its")).alias("apart"))
+    one = lambda c, apart: F.coalesce(F.sum(F.when(F.col("apart") == apart, c)), F.lit(0))
+    sides = large.groupBy("leader").agg(one(F.lit(1), False).alias("in_n"), one(F.col("n"), False).alias("in_e"), one(F.lit(1), True).alias("out_n"), one(F.col("n"), True).alias("out_e")).where("out_n > 0")
+    sides = sides.select("leader", _blocks("in_n", "in_e").alias("inner"), _blocks("out_n", "out_e").alias("outer"))
+    large = large.join(sides, "leader")
+    own = F.when(F.col("apart"), F.col("inner") + F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.pmod(F.xxhash64("node"), F.col("inner"))).cast("int")
+    partners = F.sequence(F.when(F.col("apart"), 0).otherwise(F.col("inner")), F.col("inner") + F.col("outer") - 1)
+    met = large.select("node", "leader", "comp", own.alias("own"), F.explode(partners).alias("other"))
+    met = met.select("node", "leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "comp")
+    return prints, nodes, edges.union(_compare(row, nodes, met, size, percent))
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """prints with node and component (of nodes); null for rows without shingles."""
+    prints, nodes, edges = links(docs, size, percent)
+    comp = components(edges).withColumnRenamed("id", "node")
+    named = nodes.join(comp, "node", "left").select("f1", "f2", "doc", F.coalesce("component", "node").alias("component"))
+    return prints.join(named.withColumn("some", F.lit(True)), ["f1", "f2"], "left")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
-    A null or empty text has no shingles and links with nothing; fewer words than a shingle are one shingle. Rows that
-    share a doc_id are one document; a row with a null doc_id counts its shingles and has no component. Other columns
-    are ignored; an empty table gives no rows."""
-    prints, edges = links(docs, size, percent)
-    comp = components(edges)
-    return prints.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    A null or empty text has no shingles and links with nothing; fewer words than a shingle are one shingle. Rows count
+    by their texts: those that repeat an id link each for itself. component_id is the least id of the component, null if
+    all of its ids are. Other columns are ignored; an empty table gives no rows."""
+    placed = stored(_placed(docs, size, percent), "set-placed")
+    least = placed.where("some").groupBy("component").agg(F.min("doc").alias("least"))
+    return placed.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("some"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, less all of a component but the least id; of rows that repeat an id one stays.
-
-    Rows without shingles or id are no copies of anything and stay."""
-    named = F.col("doc_id").cast("long").cast("string")
-    gone = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(named.alias("row_")).distinct()
-    rows = docs.withColumn("row_", F.coalesce(named, F.concat(F.lit("n"), F.xxhash64("text").cast("string")))).join(gone, "row_", "left_anti")
-    bare = ~F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")
-    nth = F.row_number().over(Window.partitionBy("row_").orderBy(bare, F.xxhash64("text")))
-    return rows.withColumn("nth_", nth).where((F.col("nth_") == 1) | bare | F.col("doc_id").isNull()).select(docs.columns)
+    """The rows of docs, all columns, less all of a component but the one of least id (of equal ids the least text hash).
+
+    Rows are told apart by id and text: a null or repeated id is no reason to go, a repeated row is. Rows without
+    shingles are no copies of anything and stay. Columns may have any names; an empty table stays empty."""
+    placed = stored(_placed(docs, size, percent).where("some").select("doc_id", "key", "component"), "set-placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = placed.groupBy("component").agg(F.min(order).alias("chosen"))
+    gone = stored(placed.join(chosen, "component").where(~order.eqNullSafe(F.col("chosen"))).select("doc_id", "key").distinct(), "set-gone")
+    again = stored(placed.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").join(gone, ["doc_id", "key"], "left_anti").select("doc_id", "key"), "set-again")
+    id_, key, nth = unused("id_", docs), unused("key_", docs), unused("nth_", docs)
+    bare = unused("bare_", docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.xxhash64(text)})
+
+    def meets(other: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        side = small_side(other.select(F.col("doc_id").alias(nth), F.col("key").alias(bare)), other.count(), 40)
+        return of.join(side, (F.col(key) == F.col(bare)) & F.col(id_).eqNullSafe(F.col(nth)), how)
+
+    rows = meets(gone, "left_anti", rows)
+    if not again.isEmpty():
+        twice = meets(again, "left_semi", rows)
+        once = twice.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(key))).where(F.col(nth) == 1).drop(nth)
+        rows = meets(again, "left_anti", rows).unionByName(once)
+    return rows.select(docs.columns)
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at Jaccard 0.85 of four-word shingles; see jaccard_components for nulls and ties."""
     return jaccard_components(documents(spark, sf_dir))

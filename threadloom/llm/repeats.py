@@ -33,7 +33,7 @@ def windows(w: Words, span: int) -> tuple[np.ndarray, ...]:
     start = np.arange(len(owner)) - (np.cumsum(number) - number)[owner] + w.first[:-1][owner]
     if not len(start):
         return owner, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    grams = run_hashes(hashes, np.arange(len(hashes) - seed + 1), np.arange(seed, len(hashes) + 1))
+    grams = run_hashes(hashes, seed)
     width, low, have = span - seed + 1, grams, 1
     while have < width:  # least of ``have`` grams, doubled
         step = min(have, width - have)
@@ -43,7 +43,7 @@ def windows(w: Words, span: int) -> tuple[np.ndarray, ...]:
     for d in range(1, width):
         near[1 : len(grams) - d + 1] |= grams[d:] == grams[:-d]
     near = np.cumsum(near)
-    return owner, start, run_hashes(hashes, start, start + span), low[start], near[start + width] > near[start]
+    return owner, start, run_hashes(hashes, span)[start], low[start], near[start + width] > near[start]
 
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = r"\x20\x09-\x0D"
+BROADCAST_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its rows fit BROADCAST_BYTES; a larger one is left to a shuffle join."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores behind it until no column is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_fold(doc_id: Column, fold: int) -> Column:
     """crc32 of the id's decimal text modulo 5 is fold (null id: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == fold, F.lit(False))
