@@ -272,22 +272,23 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
     lists = postings(row, nodes, size, percent)
     member = groups(lists, percent)
     member = member.union(member.select("leader", "leader").distinct()).join(nodes.select("node", "n"), "node")
-    sized = member.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).select("leader", _blocks("sets", "elements").alias("blocks"))
-    member = stored(member.join(sized, "leader"), "set-members")
+    sized = stored(member.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("elements")).select("leader", _blocks("sets", "elements").alias("blocks")).where("blocks > 1"), "set-large")
+    n_large = sized.count()  # a row for each MEMBERS places of sets, or ELEMENTS shingles of them, at most
+    member = stored(member.join(small_side(sized, n_large, 40), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "set-members")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     block = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     edges = _compare(row, nodes, member.select("node", "leader", F.explode(block).alias("p")).select("node", "leader", "p", F.col("p").alias("q"), F.col("node").alias("comp")), size, percent)
-    large = member.where("blocks > 1")
-    if large.isEmpty():
+    if not n_large:
         return prints, nodes, edges
     comp = stored(components(edges), "set-components")
     of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"{name}_in"))
-    large = large.join(of("node"), "node", "left").join(of("leader"), "leader", "left").withColumns({"comp": F.coalesce("node_in", "node"), "its": F.coalesce("leader_in", "leader")})
+    lead = small_side(sized.join(of("leader"), "leader", "left").select("leader", F.coalesce("leader_in", "leader").alias("its")), n_large, 40)
+    large = member.where("blocks > 1").join(of("node"), "node", "left").withColumn("comp", F.coalesce("node_in", "node")).join(lead, "leader")
     large = large.select("node", "leader", "n", "comp", (F.col("comp") != F.col("its")).alias("apart"))
     one = lambda c, apart: F.coalesce(F.sum(F.when(F.col("apart") == apart, c)), F.lit(0))
     sides = large.groupBy("leader").agg(one(F.lit(1), False).alias("in_n"), one(F.col("n"), False).alias("in_e"), one(F.lit(1), True).alias("out_n"), one(F.col("n"), True).alias("out_e")).where("out_n > 0")
     sides = sides.select("leader", _blocks("in_n", "in_e").alias("inner"), _blocks("out_n", "out_e").alias("outer"))
-    large = large.join(sides, "leader")
+    large = large.join(small_side(sides, n_large, 40), "leader")
     own = F.when(F.col("apart"), F.col("inner") + F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.pmod(F.xxhash64("node"), F.col("inner"))).cast("int")
     partners = F.sequence(F.when(F.col("apart"), 0).otherwise(F.col("inner")), F.col("inner") + F.col("outer") - 1)
     met = large.select("node", "leader", "comp", own.alias("own"), F.explode(partners).alias("other"))
