@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import documents, stored
+from threadloom.llm.shared import documents, small_side, stored, unused
 
 WINDOW, LITERALS = 10, 6
 FLAGS = 1 << 18  # bytes of the map that keeps most windows without a match from being cut
@@ -129,9 +129,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item's passage; rows without an id stay."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs, all columns whatever their names, that hold no item's passage. Rows are judged by their texts
+    (told apart by a 64-bit hash), so a null or repeated id neither saves nor condemns one; null and empty texts stay; an
+    empty table stays empty."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = stored(leaks(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias(unused("leaked", docs))).distinct(), "leaked")
+    return docs.join(small_side(found, found.count(), 24), key == F.col(found.columns[0]), "left_anti").select(docs.columns)
 
 
 def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an item; see leaks for nulls, repeated ids and empty texts."""
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -96,15 +96,9 @@ def round_copies(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(floor=floor, extra=extra)[["skey", "size", "floor", "extra"]]
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
-    """Every row with its size, source_size, target and copies (0 to cap), after the columns ``keep`` (all).
-
-    Null text or no words: size 0, one copy. A null source is a source, the last. Rows alike in source and size share a
-    rate; a hash of id and text decides who gets the extra copy, so reruns agree and repeated rows are interchangeable.
-    Names _skey, _h and _bucket are used inside; an empty table stays empty."""
-    keep = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "copies")]
-    ids = [] if "doc_id" in keep else ["doc_id"]
-    rows = docs.select(*keep, *ids, word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("skey"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("_h")).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
+def _mixed(docs: DataFrame, keep: list[str], weights: tuple[int, ...], cap: int) -> DataFrame:
+    """row (a struct of the columns keep), size, source_size, target and copies of every row."""
+    rows = docs.select(F.struct(*[docs[c] for c in keep] or [F.lit(None).alias("none")]).alias("row"), word_count(docs["text"]).alias("size"), source_key(docs["source"]).alias("skey"), F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit(""))).alias("_h"), docs["doc_id"].alias("_id")).withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
     fine = stored(rows.groupBy("skey", "size", "_bucket").agg(F.count("*").alias("m")), "mix-sizes")
     hist = stored(fine.groupBy("skey", "size").agg(F.sum("m").alias("n")), "mix-histogram")
     state = balance(hist, source_targets(hist, weights, cap), cap)
@@ -115,12 +109,30 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: in
     spread = fine.join(rounded, ["skey", "size"]).withColumns({"total": total, "upto": upto})
     share = F.floor((F.col("extra") * F.col("upto")) / F.col("total")) - F.floor((F.col("extra") * (F.col("upto") - F.col("m"))) / F.col("total"))
     plan = stored(spread.withColumn("more", share).join(state.select("skey", "source_size", "target"), "skey").select("skey", "size", "_bucket", "floor", "more", "source_size", "target"), "mix-plan")
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "_bucket").orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "_bucket").orderBy("_h", "_id"))
     out = rows.withColumn("rank", rank).join(plan, ["skey", "size", "_bucket"])
     copies = F.when(F.col("size") == 0, 1).otherwise(F.least(F.col("floor") + (F.col("rank") <= F.col("more")).cast("long"), F.lit(cap)))
-    return out.withColumn("copies", copies.cast("int")).select(*keep, "size", "source_size", "target", "copies")
+    return out.select("row", "size", "source_size", "target", copies.cast("int").alias("copies"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, keep: list[str] | None = None) -> DataFrame:
+    """Every row with its size, source_size, target and copies (0 to cap), after the columns ``keep`` (all).
+
+    Null text or no words: size 0, one copy. A null source is a source, the last. Rows alike in source and size share a
+    rate; a hash of id and text decides who gets the extra copy, so reruns agree and repeated rows are interchangeable.
+    Columns of docs that have one of the four names are replaced, all others stay whatever they are called; an empty
+    table stays empty."""
+    keep = [c for c in keep or docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
+    return _mixed(docs, keep, weights, cap).select("row.*", "size", "source_size", "target", "copies")
+
+
+def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with exactly the columns of docs; see mix_documents."""
+    times = F.array_repeat(F.lit(0), F.col("copies"))
+    return _mixed(docs, docs.columns, weights, cap).select("row", F.explode(times).alias("nth")).select("row.*")
 
 
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document; see mix_documents for null texts and sources, repeated rows and empty tables."""
     mixed = mix_documents(documents(spark, sf_dir), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.shared import documents, in_fold, stored
+from threadloom.llm.shared import documents, in_fold, stored, unused
 from threadloom.llm.wordgrid import slices, words
 
 HELD_OUT = 0
@@ -154,16 +154,21 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold."""
+    """The rows of docs, all columns whatever their names, whose text scores at least the threshold.
+
+    Null and empty texts are scored as such, ids may be null or repeat, repeated rows go or stay together, an empty table
+    stays empty; without labels all rows score 0.5."""
     model, _ = train(docs, labels)
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score_", T.DoubleType())])
+    name = unused("quality_score", docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([*b.columns, pa.array(model.score(features(b.column("text"))))], [*b.schema.names, "quality_score_"])
+            yield pa.record_batch([*b.columns, pa.array(model.score(features(b.column("text"))))], [*b.schema.names, name])
 
-    return docs.mapInArrow(scored, schema).where(F.col("quality_score_") >= threshold).drop("quality_score_")
+    return docs.mapInArrow(scored, schema).where(F.col(name) >= threshold).drop(name)
 
 
 def op8_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see score_documents for null, empty and repeated texts and ids."""
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -108,8 +108,9 @@ def _below(hi: int, lo: int) -> Column:
 def shard_rows(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, counted: DataFrame | None = None) -> DataFrame:
     """Adds shard (int) and slot (long, gapless from 0 in a shard) to rows that have key_hi, key_lo and size.
 
-    Counts are made on ``counted``, the stored keys and sizes of the rows (default: rows, read several times). Slots follow cells of the key; the cells' counts give each its
-    first slot, so no task orders a whole shard. Equal keys of equal rows take any order."""
+    Counts are made on ``counted``, the stored keys and sizes of the rows (default: rows, read several times). Slots follow
+    cells of the key; the cells' counts give each its first slot, so no task orders a whole shard. Equal keys of equal rows
+    take any order."""
     counted = rows if counted is None else counted
     cuts = splitters(counted, shards, tolerance)
     shard = F.lit(0)
@@ -125,7 +126,7 @@ def shard_rows(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, count
     return placed.withColumn("rank", rank).join(begins, ["shard", "cell"]).withColumn("slot", F.col("begin") + F.col("rank") - 1).drop("begin", "rank", "cell")
 
 
-def keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+def keyed(docs: DataFrame, keep: list) -> DataFrame:
     """keep columns plus size (UTF-8 bytes + 1; null text: 1), text_crc32 and the sort keys."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
@@ -149,14 +150,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = TOLERA
 
 
 def shard_columns(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> DataFrame:
-    """All columns of docs and shard and slot (any of these names in docs are replaced), by the law of shard_documents.
+    """All columns of docs and shard and slot, by the law of shard_documents; columns of docs with these two names are
+    replaced, all others stay whatever they are called. Rows with a null id or text and repeated rows are each placed;
+    an empty table gives no rows.
 
     The splitters come from the keys alone; the rows cross the network once, with their shard."""
-    keep = [c for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32", "key_hi", "key_lo", "cell", "rank", "begin")]
+    keep = [docs[c] for c in docs.columns if c.lower() not in ("shard", "slot")]
     keys = stored(keyed(docs, []).select("key_hi", "key_lo", "size"), "shard-keys")
-    placed = shard_rows(keyed(docs, keep), shards, tolerance, counted=keys)
-    return placed.select(*keep, "shard", F.col("slot").cast("long").alias("slot"))
+    placed = shard_rows(keyed(docs, [F.struct(*keep).alias("row")]), shards, tolerance, counted=keys)
+    return placed.select("row.*", "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 15 of near equal bytes; see shard_documents for nulls, repeated rows and empty tables."""
     return shard_documents(documents(spark, sf_dir))
