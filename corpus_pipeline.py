@@ -3,16 +3,17 @@
 quality: rejected documents go. near_duplicates: of each component (five-word shingles, Jaccard 0.8 or more) the
 document with the least id stays. benchmark: documents that hold a passage of an item go. mix: documents are repeated
 or left out until the sources' words meet their targets. shards: rows get their shard and slot.
+
+Columns of documents may have any names and there may be more of them; every stage takes an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from threadloom.llm.decontamination import drop_leaked
 from threadloom.llm.jaccard import one_of_each
-from threadloom.llm.mixing import mix_documents
+from threadloom.llm.mixing import repeat_documents
 from threadloom.llm.quality import keep_good
 from threadloom.llm.shared import documents, stored
 from threadloom.llm.sharding import shard_columns
@@ -21,24 +22,27 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier doesn't reject; null and empty texts are scored like others, ids may be null or repeat."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component; rows without words all stay, a null or repeated id is no reason to go."""
     return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of an item, whatever their ids; null and empty texts stay."""
     return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(docs)
-    repeats = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), "copies")).otherwise(F.array().cast("array<int>")))
-    return mixed.withColumn("nth_", repeats).select(docs.columns)
+    """Each row as often as the mix takes it; a null source is one of the sources, rows without words stay once."""
+    return repeat_documents(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard and slot, repeated ones each with its own."""
     return shard_columns(docs)
 
 
