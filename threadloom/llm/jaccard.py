@@ -297,11 +297,14 @@ def links(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[D
 
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """prints with node and component (of nodes); null for rows without shingles."""
+    """prints with doc and text, the least id (null last) and text hash of the component; some is null for rows without
+    shingles."""
     prints, nodes, edges = links(docs, size, percent)
     comp = components(edges).withColumnRenamed("id", "node")
-    named = nodes.join(comp, "node", "left").select("f1", "f2", "doc", F.coalesce("component", "node").alias("component"))
-    return prints.join(named.withColumn("some", F.lit(True)), ["f1", "f2"], "left")
+    named = stored(nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "set-named")
+    least = stored(named.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("least")), "set-least")
+    named = named.select("f1", "f2", "component").join(least, "component").select("f1", "f2", F.col("least.doc").alias("doc"), F.col("least.key").alias("text"), F.lit(True).alias("some"))
+    return prints.join(named, ["f1", "f2"], "left")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -310,9 +313,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     A null or empty text has no shingles and links with nothing; fewer words than a shingle are one shingle. Rows count
     by their texts: those that repeat an id link each for itself. component_id is the least id of the component, null if
     all of its ids are. Other columns are ignored; an empty table gives no rows."""
-    placed = stored(_placed(docs, size, percent), "set-placed")
-    least = placed.where("some").groupBy("component").agg(F.min("doc").alias("least"))
-    return placed.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("some"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _placed(docs, size, percent).select("doc_id", "n_shingles", F.when(F.col("some"), F.col("doc")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -320,11 +321,9 @@ def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
 
     Rows are told apart by id and text: a null or repeated id is no reason to go, a repeated row is. Rows without
     shingles are no copies of anything and stay. Columns may have any names; an empty table stays empty."""
-    placed = stored(_placed(docs, size, percent).where("some").select("doc_id", "key", "component"), "set-placed")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    chosen = placed.groupBy("component").agg(F.min(order).alias("chosen"))
-    gone = stored(placed.join(chosen, "component").where(~order.eqNullSafe(F.col("chosen"))).select("doc_id", "key").distinct(), "set-gone")
-    again = stored(placed.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").join(gone, ["doc_id", "key"], "left_anti").select("doc_id", "key"), "set-again")
+    placed = stored(_placed(docs, size, percent).where("some").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("key") == F.col("text"))).alias("stays")), "set-placed")
+    gone = placed.where("not stays").select("doc_id", "key")
+    again = stored(placed.where("stays").groupBy("doc_id", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "key"), "set-again")
     id_, key, nth = unused("id_", docs), unused("key_", docs), unused("nth_", docs)
     bare = unused("bare_", docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
