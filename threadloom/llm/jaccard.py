@@ -33,9 +33,9 @@ from threadloom.llm.shingles import shingle_sets
 from threadloom.llm.wordgrid import mix, slices, words
 
 WORDS, PERCENT = 4, 85
-MEMBERS, ELEMENTS = 1024, 4 << 20  # sets, and shingles of sets, in one block of a group
+MEMBERS, ELEMENTS = 1024, 2 << 20  # sets, and shingles of sets, in one block of a group
 BUCKET, OWNERS = 250_000, 8 << 20  # portion shingles in a hash bucket (more for a large corpus), and in one part of it
-INDEX_BYTES = 8 << 20  # text in a slice that counts its distinct shingles
+INDEX_BYTES = 4 << 20  # text in a slice that counts its distinct shingles
 SPARSE = 6  # holders up to which a shingle's pairs of sets are listed one by one
 
 
