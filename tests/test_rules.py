@@ -72,3 +72,48 @@ def test_markdown(spark):
     assert [(m["role"], m["content"]) for m in got["a"]["messages"]] == [("user", "hi"), ("assistant", "yo")] and got["a"]["confidence"] == "high"
     assert got["b"]["prompt"] == "n" and got["b"]["messages"][0]["content"] == "body"
     assert got["c"]["prompt"] == "T"
+
+
+def _normalized(spark, *lines):
+    files = spark.createDataFrame([("/u/.cursor/a.jsonl", "\n".join(lines), 0.0, 1)], "path string, content string, mtime_ms double, size long")
+    return extract.normalize_raw(files).first()
+
+
+def test_response_items_and_canvas(spark):
+    items = [
+        '{"type":"text","text":"hi"}', '{"type":"tool_use","name":"ls","input":{"a":[1]}}', '{"type":"tool_result","content":"ok"}', '{"type":"tool_result","content":"no","is_error":true}', '{"type":"thinking","thinking":"hm"}', '{"type":"reasoning","reasoning":"so"}',
+        '{"type":"image","url":"u"}', '{"type":"image_url","image_url":"v"}', '{"type":"resource","resource":"r"}', '{"type":"artifact","artifact":"plain"}', '{"type":"artifact","artifact":{"type":"t","title":"n","content":"c","code":"d","generated_file":"f"}}',
+        '{"type":"canvas","canvas":{"content":"text"}}', '{"type":"canvas","canvas":{"canvas_data":{"code":"x","html":"h","css":"s","description":"e"}}}', '{"type":"other"}',
+    ]
+    row = _normalized(spark, '{"type":"response","response":{"content":[' + ",".join(items) + "]}}", "{broken", "{worse")
+    got = [(m["role"], m["content"]) for m in row["messages"]]
+    assert got == [
+        ("assistant", "hi"), ("assistant", '[Tool Use] ls\n{\n  "a": [\n    1\n  ]\n}'), ("user", "[Tool Result] ok"), ("user", "[Tool Error] no"), ("assistant", "[Thinking] hm"), ("assistant", "[Reasoning] so"),
+        ("user", "[Image] u"), ("user", "[Image] v"), ("system", "[Resource] r"), ("assistant", "[Artifact] plain"), ("assistant", "[Artifact] Type: t\nTitle: n\n\nc\n```\nd\n```\nGenerated: f"),
+        ("assistant", "[Canvas] text"), ("assistant", "[Canvas]\n\n```text\nx\n```\n[HTML]\nh\n[CSS]\ns\n\nDescription: e"),
+    ]
+    assert row["meta"]["warnings"] == ["Skipped invalid JSONL line"] * 2 and row["meta"]["prompt"] == "[Tool Result] ok"
+
+
+def test_context_prompt_and_equal_paths(spark):
+    one = '{"messages":[{"role":"assistant","content":"x"}],"files":[{"path":"a.py","snippet":"s"}],"context":{"diffs":[{"path":"b","patch":"p"}]}}'
+    rows = [("/u/.cursor/chat-1.json", one, 0.0, 1), ("/u/x.jsonl", '{"role":"user","content":"p"}', 0.0, 1), ("/u/x.jsonl", '{"role":"user","content":"q"}', 0.0, 1)]
+    got = extract.normalize_raw(spark.createDataFrame(rows, "path string, content string, mtime_ms double, size long")).collect()
+    first = next(r for r in got if r["meta"]["file_path"].endswith(".json"))
+    assert first["context"]["files"][0]["path"] == "a.py" and first["context"]["diffs"][0]["patch"] == "p" and first["meta"]["prompt"] == "chat-1"
+    assert sorted(m["content"] for r in got if r is not first for m in r["messages"]) == ["p", "q"]
+
+
+def test_projects_of_stores(spark):
+    for path, project in {"/home/u/repos/app/x.db": "app", "/home/u/db/state.vscdb": "db", "state.vscdb": "state.vscdb", "C:\\dev\\tool\\s": "tool", "/s": "cursor"}.items():
+        assert _one(spark, classify.infer_project_kv, path) == project
+
+
+def test_markdown_document_is_written(spark, tmp_path):
+    from threadloom.operators import convert
+    from threadloom.plans import fixtures
+
+    threads = fixtures.threads(spark, "/root/testdata/sf0.001")
+    convert.write_markdown(threads, f"{tmp_path}/doc")
+    files = sorted(p for p in (tmp_path / "doc").iterdir() if p.suffix == ".txt")
+    assert "".join(p.read_text() for p in files) == "".join(r["markdown"] for r in convert.markdown_doc(threads).collect()) + "\n"

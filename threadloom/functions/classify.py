@@ -64,6 +64,18 @@ def infer_project(path: Column) -> Column:
     return F.coalesce(after, F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))), F.lit("unknown"))
 
 
+# Folders that hold projects, for key/value stores.
+STORE_ROOTS = ["work", "projects", "workspace", "repos", "dev"]
+
+
+def infer_project_kv(path: Column) -> Column:
+    """The segment after the first folder that holds projects, else the store's parent folder."""
+    parts = F.split(slashed(path), "/")
+    first = F.least(*[F.nullif(F.array_position(parts, root), F.lit(0)) for root in STORE_ROOTS])
+    after = F.nullif(F.get(parts, first.cast("int")), F.lit(""))
+    return F.coalesce(after, F.nullif(F.get(parts, F.greatest(F.size(parts) - 2, F.lit(0))), F.lit("")), F.lit("cursor"))
+
+
 def thread_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat(*parts)), 1, 16)
 

@@ -67,6 +67,11 @@ def markdown_doc(threads: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).select("ord", F.concat(F.when(F.col("ord") > F.col("first"), "\n---\n\n").otherwise(""), "markdown").alias("markdown")).orderBy("ord")
 
 
+def write_markdown(threads: DataFrame, path: str) -> None:
+    """The Markdown of all threads in order, as text files that make the document, and a line end, when read by name."""
+    markdown_doc(threads).select(F.regexp_replace("markdown", r"\A\n", "")).write.mode("overwrite").text(path)
+
+
 def to_native(threads: DataFrame, tool: str) -> DataFrame:
     """file, content: what the tool reads. Rows of array files are the array's elements; equal names: the last wins."""
     created = F.col("meta.created_at")

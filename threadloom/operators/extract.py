@@ -31,6 +31,20 @@ def _pretty(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pretty_each(values: pd.Series) -> pd.Series:
+    def one(texts):
+        out = []
+        for t in texts if texts is not None else ():
+            try:
+                out.append(json.dumps(json.loads(t), indent=2, ensure_ascii=False))
+            except (TypeError, ValueError):
+                out.append(t)
+        return out
+
+    return values.map(one)
+
+
 def get(v: Column, path: str) -> Column:
     """A field as text: strings as they are, anything else as JSON; missing or null: null."""
     return F.try_variant_get(v, f"$.{path}", "string")
@@ -40,6 +54,10 @@ def items(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}" if path else "$", "array<variant>")
 
 
+def _is_text(v: Column, path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{path}" if path else "$", "variant")) == "STRING", F.lit(False))
+
+
 def _or(*values: Column) -> Column:
     return F.coalesce(*[filled(x) for x in values])
 
@@ -60,30 +78,35 @@ def flatten_content(v: Column, path: str = "content") -> Column:
 
 
 def canvas_text(v: Column) -> Column:
-    fence = F.when(_or(get(v, "content.code")).isNotNull(), F.concat(F.lit("\n```"), F.coalesce(get(v, "content.language"), F.lit("")), F.lit("\n"), get(v, "content.code"), F.lit("\n```")))
-    plain = F.when(~F.startswith(get(v, "content"), F.lit("{")), F.concat(F.lit("\n"), get(v, "content")))
-    return F.concat(F.lit("[Canvas]"), F.coalesce(F.concat(F.lit(" "), get(v, "title")), F.lit("")), F.coalesce(fence, F.lit("")), F.coalesce(F.concat(F.lit("\n"), _or(get(v, "content.html"))), F.lit("")), F.coalesce(F.concat(F.lit("\n"), _or(get(v, "content.css"))), F.lit("")), F.coalesce(F.concat(F.lit("\n"), _or(get(v, "content.description"))), F.lit("")), F.coalesce(plain, F.lit("")))
+    """A canvas item: its text, else what canvas_data holds, else JSON."""
+    part = lambda before, field, after="": F.coalesce(F.concat(F.lit(before), _or(get(v, f"canvas_data.{field}")), F.lit(after)), F.lit(""))
+    language = F.coalesce(_or(get(v, "canvas_data.language")), F.lit("text"))
+    code = F.coalesce(F.concat(F.lit("\n```"), language, F.lit("\n"), _or(get(v, "canvas_data.code")), F.lit("\n```")), F.lit(""))
+    data = trimmed(F.concat(F.lit("[Canvas]\n"), code, part("\n[HTML]\n", "html"), part("\n[CSS]\n", "css"), part("\n\nDescription: ", "description")))
+    return F.when(_is_text(v, "content"), F.concat(F.lit("[Canvas] "), get(v, "content"))).when(_or(get(v, "canvas_data")).isNotNull(), data).otherwise(F.try_variant_get(v, "$", "string"))
 
 
 def artifact_text(v: Column) -> Column:
-    line = lambda name, field: F.coalesce(F.concat(F.lit(f"\n{name}: "), _or(get(v, f"artifact.{field}"))), F.lit(""))
-    body = F.coalesce(F.concat(F.lit("\n"), _or(get(v, "artifact.content"))), F.lit(""))
-    code = F.coalesce(F.concat(F.lit("\n```\n"), _or(get(v, "artifact.code")), F.lit("\n```")), F.lit(""))
-    return F.concat(F.lit("[Artifact]"), line("Type", "type"), line("Title", "title"), body, code, line("Generated", "generated"))
+    """The artifact of an item: a text, or type, title, content, code and file."""
+    part = lambda before, field, after="": F.coalesce(F.concat(F.lit(before), _or(get(v, f"artifact.{field}")), F.lit(after)), F.lit(""))
+    whole = F.concat(F.lit("[Artifact] "), part("Type: ", "type", "\n"), part("Title: ", "title", "\n"), part("\n", "content"), part("\n```\n", "code", "\n```"), part("\nGenerated: ", "generated_file"))
+    return F.when(_is_text(v, "artifact"), F.concat(F.lit("[Artifact] "), get(v, "artifact"))).otherwise(trimmed(whole))
 
 
-def response_items(v: Column) -> Column:
-    """Messages of response.content[]."""
-    def one(p: Column) -> Column:
-        kind = get(p, "type")
+def response_items(v: Column, inputs: Column) -> Column:
+    """Messages of response.content[]; inputs: the items' inputs as indented JSON. Items of other kinds give none."""
+    def one(p: Column, i: Column) -> Column:
+        kind, yes = get(p, "type"), lambda f: _or(get(p, f)).isNotNull()
+        tagged = lambda tag, f: F.concat(F.lit(f"[{tag}] "), get(p, f))
         text = (
-            F.when(kind == "text", get(p, "text")).when(kind == "tool_use", F.concat(F.lit("[Tool Use] "), get(p, "name"), F.lit("\n"), F.coalesce(get(p, "input"), F.lit(""))))
-            .when(kind.isin("tool_result", "tool_error"), F.concat(F.when((kind == "tool_error") | (get(p, "is_error") == "true"), "[Tool Error] ").otherwise("[Tool Result] "), F.coalesce(_or(get(p, "content"), get(p, "output")), F.lit(""))))
-            .when(kind == "thinking", F.concat(F.lit("[Thinking] "), _or(get(p, "thinking"), get(p, "text")))).when(kind == "reasoning", F.concat(F.lit("[Reasoning] "), _or(get(p, "reasoning"), get(p, "text"))))
-            .when(kind == "image", F.concat(F.lit("[Image] "), F.coalesce(_or(get(p, "url"), get(p, "source.url")), F.lit("")))).when(kind == "resource", F.concat(F.lit("[Resource] "), F.coalesce(_or(get(p, "uri"), get(p, "name")), F.lit(""))))
-            .when(kind == "artifact", artifact_text(p)).when(kind == "canvas", canvas_text(p))
+            F.when((kind == "text") & yes("text"), get(p, "text")).when((kind == "tool_use") & yes("name"), F.concat(F.lit("[Tool Use] "), get(p, "name"), F.lit("\n"), F.coalesce(F.get(inputs, i), F.lit(""))))
+            .when((kind == "tool_result") & get(p, "content").isNotNull(), F.concat(F.when(get(p, "is_error") == "true", "[Tool Error] ").otherwise("[Tool Result] "), get(p, "content")))
+            .when((kind == "thinking") & yes("thinking"), tagged("Thinking", "thinking")).when((kind == "reasoning") & yes("reasoning"), tagged("Reasoning", "reasoning"))
+            .when(kind.isin("image", "image_url"), F.concat(F.lit("[Image] "), F.coalesce(_or(get(p, "url"), get(p, "image_url")), F.lit("undefined")))).when((kind == "resource") & yes("resource"), tagged("Resource", "resource"))
+            .when((kind == "artifact") & yes("artifact"), artifact_text(p)).when((kind == "canvas") & yes("canvas"), canvas_text(F.try_variant_get(p, "$.canvas", "variant")))
         )
-        return message("assistant", text)
+        role = F.when(kind.isin("tool_result", "image", "image_url"), "user").when(kind == "resource", "system").otherwise("assistant")
+        return message(role, text)
 
     return F.filter(F.transform(items(v, "response.content"), one), lambda m: F.coalesce(m["content"], F.lit("")) != "")
 
@@ -132,7 +155,7 @@ def line_messages(v: Column, pretty: dict[str, Column]) -> Column:
         (t.isin("thinking", "internal_thought"), say("assistant", "[Thinking] ", F.coalesce(_or(get(v, "thinking"), get(v, "thought"), get(v, "content")), F.lit("")))),
         ((t == "system") & yes("content"), say("system", get(v, "content"))),
         ((t == "message_create") & yes("message.role") & yes("message.content"), F.array(message(get(v, "message.role"), get(v, "message.content"), ts))),
-        ((t == "response") & items(v, "response.content").isNotNull(), F.transform(response_items(v), lambda m: m.withField("timestamp", ts))),
+        ((t == "response") & items(v, "response.content").isNotNull(), F.transform(response_items(v, pretty["inputs"]), lambda m: m.withField("timestamp", ts))),
     ]
     out = F.expr(NONE)
     for test, value in reversed(dialects):
@@ -141,16 +164,18 @@ def line_messages(v: Column, pretty: dict[str, Column]) -> Column:
 
 
 def extract_jsonl(files: DataFrame) -> DataFrame:
-    """Adds messages and bad (lines that don't parse) to rows with path and content. Lines go through the extractor as
-    rows and come back in order by path, so one large file is many rows' work."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line")).where(F.length(trimmed(F.col("line"))) > 0)
+    """path, text (a hash of the content), messages and bad (lines that don't parse) of each file with a line. Lines go
+    through the extractor as rows and come back in order by path and text, so one large file is many rows' work."""
+    lines = files.select("path", F.xxhash64("content").alias("text"), F.posexplode(F.split("content", "\n")).alias("at", "line")).where(F.length(trimmed(F.col("line"))) > 0)
     lines = lines.withColumn("v", F.try_parse_json("line"))
     typed = get(F.col("v"), "type").isin("computer_call", "computer_call_output", "tool_use", "mcp_tool_call", "mcp_tool_result")
     nested = {f: F.when(typed, get(F.col("v"), f)) for f in ("input", "output", "arguments", "result")}
     lines = lines.withColumns({f"p_{f}": F.when(F.startswith(c, F.lit("{")) | F.startswith(c, F.lit("[")), _pretty(c)).otherwise(c) for f, c in nested.items()})
-    got = lines.select("path", "at", F.col("v").isNull().alias("bad"), line_messages(F.col("v"), {f: F.col(f"p_{f}") for f in nested}).alias("m"))
-    byfile = got.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("all"), F.count_if("bad").alias("bad"))
-    return byfile.select("path", F.flatten(F.col("all.m")).alias("messages"), "bad")
+    uses = F.when(get(F.col("v"), "type") == "response", F.transform(items(F.col("v"), "response.content"), lambda p: F.when(get(p, "type") == "tool_use", _or(get(p, "input")))))
+    lines = lines.withColumn("p_inputs", _pretty_each(uses))
+    got = lines.select("path", "text", "at", F.col("v").isNull().alias("bad"), line_messages(F.col("v"), {f: F.col(f"p_{f}") for f in (*nested, "inputs")}).alias("m"))
+    byfile = got.groupBy("path", "text").agg(F.sort_array(F.collect_set(F.struct("at", "m", "bad"))).alias("all"))
+    return byfile.select("path", "text", F.flatten(F.col("all.m")).alias("messages"), F.size(F.filter("all", lambda x: x["bad"])).cast("long").alias("bad"))
 
 
 def json_messages(v: Column) -> Column:
@@ -159,10 +184,10 @@ def json_messages(v: Column) -> Column:
     content = lambda m: F.coalesce(get(m, "content"), get(m, "text"), F.lit(""))
     plain = lambda m: message(F.coalesce(_or(get(m, "role")), F.lit("unknown")), F.coalesce(get(m, "content"), F.lit("")), get(m, "timestamp"), get(m, "model"))
     bubble = lambda b: message(F.when(get(b, "type") == "ai", "assistant").otherwise("user"), F.coalesce(_or(get(b, "rawText"), get(b, "text"), get(b, "content")), F.lit("")), get(b, "timingInfo.clientStartTime"))
-    composer = lambda m: message(F.coalesce(_or(get(m, "role")), F.when(get(m, "type") == "ai", "assistant").otherwise("user")), content(m))
-    share = lambda m: message(F.when(get(m, "from") == "human", "user").when(get(m, "from") == "gpt", "assistant").otherwise(get(m, "from")), F.coalesce(get(m, "value"), F.lit("")))
+    composer = lambda m: message(F.coalesce(_or(get(m, "role")), F.when(get(m, "type") == "ai", "assistant").otherwise("user")), F.when(_is_text(m, "content"), get(m, "content")).otherwise(F.coalesce(_or(get(m, "text"), get(m, "content")), F.lit(""))))
+    share = lambda m: message(F.when(get(m, "from") == "human", "user").when(get(m, "from") == "gpt", "assistant").otherwise(F.coalesce(_or(get(m, "from")), F.lit("unknown"))), F.coalesce(get(m, "value"), F.lit("")))
     shapes = [
-        (first("sessionId") & first("message.role"), F.array(message(F.when(get(v, "message.role") == "assistant", "assistant").otherwise("user"), flatten_content(v, "message.content"), get(v, "timestamp")))),
+        (first("sessionId") & first("type") & first("message.role"), F.array(message(F.when(get(v, "message.role") == "assistant", "assistant").otherwise("user"), flatten_content(v, "message.content"), get(v, "timestamp")))),
         (first("tabs[0].bubbles"), F.flatten(F.transform(items(v, "tabs"), lambda t: F.transform(F.coalesce(items(t, "bubbles"), F.expr("cast(array() as array<variant>)")), bubble)))),
         (items(v, "composerData.conversation").isNotNull(), F.transform(items(v, "composerData.conversation"), composer)),
         (first("messages[0].role"), F.transform(items(v, "messages"), plain)),
@@ -257,12 +282,15 @@ def unified(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"type": kind, "was_empty": empty & ~keep, "new_messages": messages, "new_prompt": prompt, "level": F.when(keep, "low").otherwise(F.col("confidence"))})
     rows = rows.where(~F.col("was_empty") | F.col("new_prompt").isNotNull())
     text = F.array_join(F.transform("new_messages", lambda m: F.coalesce(m["content"], F.lit(""))), "")
-    warnings = F.concat(F.when(F.col("bad") > 0, F.array(F.lit("JSON parse error"))).otherwise(F.array().cast("array<string>")), health_warnings(F.col("new_messages"), F.col("size")))
+    warnings = F.concat(F.when(F.lower("path").endswith(".jsonl"), F.array_repeat(F.lit("Skipped invalid JSONL line"), F.col("bad").cast("int"))).when(F.col("bad") > 0, F.array(F.lit("JSON parse error"))).otherwise(F.array().cast("array<string>")), health_warnings(F.col("new_messages"), F.col("size")))
     meta = F.struct(
         classify.normalize_source(classify.detect_tool(F.col("path"))).alias("source"), classify.infer_project(F.col("path")).alias("project"), iso_time(F.col("mtime_ms")).alias("created_at"), iso_time(F.col("mtime_ms")).alias("updated_at"), F.lit(None).cast("string").alias("model"),
-        F.col("path").alias("file_path"), F.col("new_prompt").alias("prompt"), estimate_tokens(text).alias("tokens"), F.col("level").alias("recognition_confidence"), F.when(F.size(warnings) > 0, warnings).alias("warnings"),
+        F.col("path").alias("file_path"), F.coalesce(filled(F.col("new_prompt")), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")).alias("prompt"), estimate_tokens(text).alias("tokens"), F.col("level").alias("recognition_confidence"), F.when(F.size(warnings) > 0, warnings).alias("warnings"),
     )
-    context = F.from_json(F.lit('{"files":[],"diffs":[]}'), CONTEXT_DDL)
+    of = lambda name, ddl: F.coalesce(F.from_json(F.when(F.col("confidence") == "high", F.coalesce(F.get_json_object("content", f"$.{name}"), F.get_json_object("content", f"$.context.{name}"))), ddl), F.array().cast(ddl))
+    files, diffs = of("files", "array<struct<path:string,snippet:string>>"), of("diffs", "array<struct<path:string,patch:string>>")
+    held = F.contains("content", F.lit('"files"')) | F.contains("content", F.lit('"diffs"'))
+    context = F.when(F.lower("path").endswith(".json") & held & F.get_json_object("content", "$.messages[0].role").isNotNull(), F.struct(files.alias("files"), diffs.alias("diffs"))).otherwise(F.from_json(F.lit('{"files":[],"diffs":[]}'), CONTEXT_DDL))
     return rows.select(F.lit(SCHEMA_VERSION).alias("schema_version"), classify.thread_id(F.col("path")).alias("thread_id"), "type", F.col("new_messages").alias("messages"), context.alias("context"), meta.alias("meta"))
 
 
@@ -274,7 +302,8 @@ def normalize_raw(files: DataFrame) -> DataFrame:
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     md = extract_markdown(files.where(F.col("ending").isin("md", "mdc", "cursorrules"))).withColumn("bad", zero)
     lines = files.where("ending = 'jsonl'")
-    lines = lines.join(extract_jsonl(lines), "path", "left").withColumns({"messages": F.coalesce("messages", F.expr(NONE)), "bad": F.coalesce("bad", zero), "prompt": none})
+    lines = lines.withColumn("text", F.xxhash64("content"))
+    lines = lines.join(extract_jsonl(lines), ["path", "text"], "left").withColumns({"messages": F.coalesce("messages", F.expr(NONE)), "bad": F.coalesce("bad", zero), "prompt": none})
     lines = lines.withColumn("confidence", F.when(F.size("messages") > 0, "high").otherwise("unknown"))
     rest = extract_json(files.where(~F.col("ending").isin("md", "mdc", "cursorrules", "jsonl"))).withColumn("prompt", none)
     strict = F.col("ending").isin("json", "db", "", "log")
@@ -295,7 +324,7 @@ def normalize_kv(rows: DataFrame, ingest_ms: int = 0) -> DataFrame:
     in_key = F.when(F.col("key").rlike(r"\d{13}"), iso_time(F.regexp_extract("key", r"(\d{13})", 1)))
     created = F.coalesce(stamp(F.col("created")), in_key, iso_time(F.lit(ingest_ms)))
     meta = F.struct(
-        classify.infer_source_kv(F.col("db_path")).alias("source"), classify.infer_project(F.col("db_path")).alias("project"), created.alias("created_at"), F.coalesce(stamp(F.col("updated")), created).alias("updated_at"), F.lit(None).cast("string").alias("model"),
+        classify.infer_source_kv(F.col("db_path")).alias("source"), classify.infer_project_kv(F.col("db_path")).alias("project"), created.alias("created_at"), F.coalesce(stamp(F.col("updated")), created).alias("updated_at"), F.lit(None).cast("string").alias("model"),
         F.col("db_path").alias("file_path"), F.coalesce(first_user_prompt(F.col("messages")), "key").alias("prompt"), estimate_tokens(text).alias("tokens"), F.lit("high").alias("recognition_confidence"), F.lit(None).cast("array<string>").alias("warnings"), F.col("key").alias("sqlite_key"),
     )
     return got.select(F.lit(SCHEMA_VERSION).alias("schema_version"), classify.thread_id(F.col("db_path"), F.col("key")).alias("thread_id"), F.lit("thread").alias("type"), "messages", F.from_json(F.lit('{"files":[],"diffs":[]}'), CONTEXT_DDL).alias("context"), meta.alias("meta"))

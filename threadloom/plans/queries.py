@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from threadloom.functions import classify
 from threadloom.functions import text as tx
 from threadloom.operators import backup, clean, convert, extract, stats, validate
 from threadloom.plans import fixtures as fx
+from threadloom.schema import THREAD
 from threadloom.sources import files as fs
 from threadloom.streaming.ingest import stream_ingest
 
@@ -27,6 +29,12 @@ SUMS = "CAST(count(*) AS BIGINT) {0}, CAST(sum(n) AS BIGINT) messages, CAST(sum(
 DOC = "WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 'Sure, I can help you with that. ' ELSE '' END) || coalesce(text,'') || ' tel ' || (13800000000 + doc_id) || ' card ' || (6222000000000000 + doc_id) || ' ip 10.0.3.' || (doc_id % 200) || ' key AKIA' || lpad(CAST(doc_id AS VARCHAR),16,'0') || ' end' AS t FROM documents WHERE doc_id IS NOT NULL)"
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp") + f"/{name}"
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -201,6 +209,9 @@ for _ in range(2):
     IP_SQL = "regexp_replace(" + IP_SQL + ",'(^|[^0-9])(?:10\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}|192\\.168\\.[0-9]{1,3}\\.[0-9]{1,3}|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]{1,3}\\.[0-9]{1,3})($|[^0-9])','\\1***ASSET_MASKED***\\2','g')"
 
 
+SECRET_SQL = ORACLE_SQL["mask_secrets"].split(" SELECT doc_id AS ord, ")[1].split(" AS content FROM d")[0]
+
+
 @query(DOC + f" SELECT doc_id AS ord, {IP_SQL} AS content FROM d")
 def mask_assets(spark: SparkSession, d: str) -> DataFrame:
     return clean.apply(fx.planted(spark, d), clean.mask_assets).select("ord", F.col("messages")[0]["content"].alias("content"))
@@ -216,12 +227,20 @@ def prune_long(spark: SparkSession, d: str) -> DataFrame:
     return clean.apply(fx.planted(spark, d), "prune").select("ord", F.col("messages")[0]["content"].alias("content"))
 
 
-@query(DOC + " SELECT 'AWS_AccessKey' AS type, CAST(sum(len(list_filter(regexp_extract_all(t,'[A-Z0-9]+'), lambda x: regexp_full_match(x,'(AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}')))) AS BIGINT) AS matches FROM d")
+KEYS_SQL = {"Baidu_AccessKey": "bce-v3/[A-Za-z0-9/]+", "Baidu_ALTAK": "ALTAK-[A-Za-z0-9]+", "OpenAI_Key": "sk-[a-zA-Z0-9]{32,}", "Anthropic_Key": "sk-ant-api03-[A-Za-z0-9_-]+", "GitHub_Token": "ghp_[A-Za-z0-9]{36}", "GitHub_OAuth": "gho_[A-Za-z0-9]{36}"}
+STATS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS type, CAST(sum(len(regexp_extract_all(t,'{v}'))) AS BIGINT) AS matches, count(*) AS records_scanned FROM d" for k, v in KEYS_SQL.items())
+
+
+@query(DOC + " " + STATS_SQL + " UNION ALL SELECT 'AWS_AccessKey' AS type, CAST(sum(len(list_filter(regexp_extract_all(t,'[A-Z0-9]+'), lambda x: regexp_full_match(x,'(AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}')))) AS BIGINT) AS matches, count(*) AS records_scanned FROM d")
 def clean_stats(spark: SparkSession, d: str) -> DataFrame:
-    return clean.clean_stats(fx.planted(spark, d), clean.mask_secrets).where("type = 'AWS_AccessKey'").select("type", "matches")
+    return clean.clean_stats(fx.planted(spark, d), clean.mask_secrets).select("type", "matches", "records_scanned")
 
 
-@query()
+@query(
+    DOC + f", s AS (SELECT doc_id, {SECRET_SQL} AS t FROM d), p AS (SELECT doc_id, {PII_SQL} AS t FROM s), a AS (SELECT doc_id, {IP_SQL} AS t FROM p),"
+    " c AS (SELECT doc_id, trim(CASE WHEN doc_id % 4 = 0 THEN substr(t, 33) ELSE t END, chr(9)||chr(10)||chr(13)||' ') AS t FROM a)"
+    " SELECT doc_id AS ord, CASE WHEN length(t) > 3000 THEN left(t,1500) || chr(10)||chr(10)||'...[TRUNCATED BY PRUNE PLUGIN]...'||chr(10)||chr(10) || right(t,1500) ELSE t END AS content FROM c"
+)
 def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_pipeline(fx.planted(spark, d)).select("ord", F.col("messages")[0]["content"].alias("content"))
 
@@ -265,14 +284,16 @@ def extract_kv(spark: SparkSession, d: str) -> DataFrame:
     return _messages(extract.extract_kv(fs.kv_key_filter(fx.kv_items(spark, d))))
 
 
-@query(T + " SELECT substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS thread_id, 'cursor' AS source, CAST(n AS INT) AS n FROM th")
+@query(T + " SELECT substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS thread_id, 'cursor' AS source, CAST(n AS INT) AS n, md5((SELECT string_agg(role || ':' || CASE ord % 4 WHEN 3 THEN trim(text, chr(9)||chr(10)||chr(13)||' ') ELSE text END, '|' ORDER BY i) FROM m WHERE m.ord = th.ord)) AS texts FROM th")
 def normalize_raw(spark: SparkSession, d: str) -> DataFrame:
-    return extract.normalize_raw(fx.raw_files(spark, d)).select("thread_id", F.col("meta.source").alias("source"), F.size("messages").alias("n"))
+    texts = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return extract.normalize_raw(fx.raw_files(spark, d)).select("thread_id", F.col("meta.source").alias("source"), F.size("messages").alias("n"), texts.alias("texts"))
 
 
-@query(T + " SELECT substr(sha1('/home/u/Windsurf/db' || (ord // 10) || '/state.vscdb' || 'aiChat.' || (1704067200000 + ord)),1,16) AS thread_id, 'windsurf' AS source, CAST(n AS INT) AS n FROM th WHERE ord % 5 <> 4")
+@query(T + " SELECT substr(sha1('/home/u/Windsurf/db' || (ord // 10) || '/state.vscdb' || 'aiChat.' || (1704067200000 + ord)),1,16) AS thread_id, 'windsurf' AS source, 'db' || (ord // 10) AS project, CAST(n AS INT) AS n, md5((SELECT string_agg(role || ':' || text, '|' ORDER BY i) FROM m WHERE m.ord = th.ord)) AS texts FROM th WHERE ord % 5 <> 4")
 def normalize_kv(spark: SparkSession, d: str) -> DataFrame:
-    return extract.normalize_kv(fs.kv_key_filter(fx.kv_items(spark, d))).select("thread_id", F.col("meta.source").alias("source"), F.size("messages").alias("n"))
+    texts = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return extract.normalize_kv(fs.kv_key_filter(fx.kv_items(spark, d))).select("thread_id", F.col("meta.source").alias("source"), F.col("meta.project").alias("project"), F.size("messages").alias("n"), texts.alias("texts"))
 
 
 @query(T + " SELECT ord, 'aiChat.' || (1704067200000 + ord) AS key FROM th WHERE ord % 5 <> 4")
@@ -322,16 +343,49 @@ def _native(tool: str):
     QUERIES[f"to_native_{tool}"] = run
 
 
-for _tool in ("cursor", "codex", "antigravity", "cline", "windsurf", "codebuddy", "default"):
+for _tool in ("cursor", "codex", "claude_code", "antigravity", "cline", "windsurf", "codebuddy", "default"):
     _native(_tool)
 ORACLE_SQL["to_native_antigravity"] = T + """, b AS (SELECT ord, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY i) AS body FROM m GROUP BY ord)
 SELECT 'session-' || left(md5(thread_id),8) || '.md' AS file, '---' || chr(10) || 'name: ' || coalesce(nullif(prompt,''), thread_id) || chr(10) || 'source: ' || source || chr(10) || 'created: ' || created_at || chr(10) || '---' || chr(10) || chr(10) || body AS content FROM th JOIN b USING (ord)"""
 
 
-@query()
+
+
+def _pairs_sql(file: str, content: str) -> str:
+    return T + f""", b AS (SELECT ord, list({{'role': role, 'content': text}} ORDER BY i) AS l FROM m GROUP BY ord) SELECT {file} AS file, CAST(to_json({content}) AS VARCHAR) AS content FROM th JOIN b USING (ord)"""
+
+
+ORACLE_SQL["to_native_cline"] = _pairs_sql("'conversation-' || left(md5(thread_id),8) || '.jsonl'", "{'id': thread_id, 'timestamp': created_at, 'messages': l}")
+ORACLE_SQL["to_native_windsurf"] = _pairs_sql("'conversations.json'", "{'id': thread_id, 'title': coalesce(nullif(prompt,''), thread_id), 'messages': l}")
+ORACLE_SQL["to_native_codebuddy"] = _pairs_sql("'session-' || left(md5(thread_id),8) || '.jsonl'", "{'session_id': thread_id, 'created': created_at, 'messages': l}")
+ORACLE_SQL["to_native_cursor"] = T + """, b AS (SELECT ord, list({'type': CASE WHEN role='assistant' THEN 'ai' ELSE 'human' END, 'rawText': text, 'timingInfo': {'clientStartTime': created_at}} ORDER BY i) AS l FROM m JOIN th USING (ord) GROUP BY ord)
+SELECT 'sessions.json' AS file, CAST(to_json({'id': thread_id, 'created': created_at, 'messages': l}) AS VARCHAR) AS content FROM th JOIN b USING (ord)"""
+ORACLE_SQL["to_native_codex"] = ORACLE_SQL["to_native_claude_code"] = T + """, f AS (SELECT 'session-' || left(md5(text),8) || '.jsonl' AS file, CAST(to_json({'type': CASE WHEN role='assistant' THEN 'response_item' ELSE 'input_text' END, 'timestamp': created_at, 'payload': {'type': 'message', 'role': role, 'content': text}}) AS VARCHAR) AS content, row_number() OVER (PARTITION BY left(md5(text),8) ORDER BY ord DESC, i DESC) AS k FROM m JOIN th USING (ord))
+SELECT file, content FROM f WHERE k = 1"""
+ORACLE_SQL["to_native_default"] = T + """, b AS (SELECT ord, list({'role': role, 'content': text} ORDER BY i) AS l FROM m GROUP BY ord), r AS (SELECT CAST(to_json({'schema_version': '1.0.0', 'thread_id': thread_id, 'type': 'thread', 'messages': l, 'context': {'files': []::VARCHAR[], 'diffs': []::VARCHAR[]},
+'meta': {'source': source, 'project': project, 'created_at': created_at, 'updated_at': created_at, 'file_path': '/home/u/.cursor/history-' || ord || '.json', 'prompt': prompt, 'tokens': tokens, 'recognition_confidence': 'high'}}) AS VARCHAR) AS content, prompt IS NULL AS bare FROM th JOIN b USING (ord))
+SELECT 'imported-sessions.json' AS file, CASE WHEN bare THEN replace(content, ',"prompt":null', '') ELSE content END AS content FROM r"""
+
+
+@query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
+def write_and_read_backup(spark: SparkSession, d: str) -> DataFrame:
+    """Threads written as a backup and read again."""
+    root = _folder(spark, "backup")
+    backup.write_backup(fx.threads(spark, d).drop("ord"), root, "json")
+    return fs.read_threads(spark, root, lines=True).select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
+
+
+@query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
+def write_and_read_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Threads written as JSON lines and imported again."""
+    root = _folder(spark, "lines") + "/threads.jsonl"
+    backup.write_jsonl(fx.threads(spark, d).drop("ord"), root)
+    rows = fs.read_import(spark, root).select(F.from_json("json", THREAD).alias("r")).select("r.*")
+    return rows.select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
+
+
+@query(T + " SELECT substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS thread_id, 'cursor' AS source FROM th")
 def stream_ingest_files(spark: SparkSession, d: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", "") or "/tmp"
-    folder = tempfile.mkdtemp(prefix="spark-ingest-", dir="/tmp").rsplit("/", 1)[-1]
-    root = f"{base.rstrip('/')}/{folder}"
+    root = _folder(spark, "ingest")
     fx.raw_files(spark, d).drop("ord").write.parquet(f"{root}/in")
     return stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").select("thread_id", F.col("meta.source").alias("source"))

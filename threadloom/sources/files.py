@@ -30,9 +30,9 @@ def read_kv_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("db_path", "key", "value")
 
 
-def read_threads(spark: SparkSession, path: str) -> DataFrame:
-    """Unified records of a JSON backup; the manifest and unreadable files are left out."""
-    rows = spark.read.schema(THREAD).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+def read_threads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Unified records of a JSON backup, a file each or (lines) a line each; the manifest and unreadable ones are left out."""
+    rows = spark.read.schema(THREAD).option("multiLine", not lines).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
     return rows.where(F.col("_metadata.file_name") != "manifest.json")
 
 

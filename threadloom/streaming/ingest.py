@@ -11,7 +11,9 @@ from threadloom.schema import THREAD
 
 def append_unseen(batch: DataFrame, target: str) -> None:
     spark = batch.sparkSession
-    threads = normalize_raw(batch).dropDuplicates(["thread_id"])
+    threads = normalize_raw(batch)
+    order = F.struct("meta.updated_at", F.xxhash64(F.to_json("messages")))  # of records of one id in a batch the latest, by a fixed rule
+    threads = threads.groupBy("thread_id").agg(F.max_by(F.struct(*[c for c in threads.columns if c != "thread_id"]), order).alias("r")).select("r.schema_version", "thread_id", "r.type", "r.messages", "r.context", "r.meta")
     try:
         seen = spark.read.parquet(target).select("thread_id")
     except Exception as e:  # the target doesn't exist before the first batch
