@@ -18,17 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import documents, in_fold, least_hashes, stored
+from threadloom.llm.shared import discard, documents, in_fold, stored
 from threadloom.llm.wordgrid import mix, slices, words
 
 HELD_OUT = 1
 N_STATES, N_FREQUENT, N_ENDINGS, ITERATIONS = 6, 2000, 64, 3
 BLOCK_BYTES = 16 << 20
-SEED_TEXTS = 2000  # training texts whose class profiles choose the first states
-PIECE = 512  # training sequences are cut into pieces of at most so many tokens; scoring never cuts
+ROUNDS = 3  # of k-means over all training texts, which give the first states
+PIECE, CONTEXT = 512, 8  # training sequences run in pieces, each with so many tokens of its neighbours; scoring never cuts
 END_HASH = 0  # no word hashes to it but by a chance of 2**-64
 DENSE = 1 << 20
 
@@ -136,20 +136,29 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # classes x states
 
-    def pieces(self, first: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and length of the sequences, cut to piece tokens (0: whole), by falling length."""
+    def pieces(self, first: np.ndarray, piece: int) -> tuple[np.ndarray, ...]:
+        """Begin and length of the sequences, cut to piece tokens (0: whole), by falling length, and the first and the end
+        of the tokens that are the piece's own and no context."""
         begin, size = first[:-1], np.diff(first)
+        own, end = np.zeros(len(size), np.int64), size
         if piece:
             n = -(-size // piece)
             owner = np.repeat(np.arange(len(size)), n)
             nth = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
-            begin, size = begin[owner] + nth * piece, np.minimum(size[owner] - nth * piece, piece)
+            left = size[owner] - nth * piece
+            own = np.where(nth > 0, CONTEXT, 0)
+            end = np.minimum(left, piece) + own
+            begin, size = begin[owner] + nth * piece - own, np.minimum(left, piece + CONTEXT) + own
         order = np.argsort(-size, kind="stable")
-        return begin[order], size[order]
+        return begin[order], size[order], own[order], end[order]
+
+    def usual(self) -> np.ndarray:
+        """The share of the states in the long run."""
+        return np.linalg.matrix_power(self.move, 1 << 12)[0]
 
     def log_likelihood(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of every whole class sequence (all have a token at least)."""
-        begin, size = self.pieces(first, 0)
+        begin, size = self.pieces(first, 0)[:2]
         out, live = np.zeros(len(size)), len(size)
         alpha = np.repeat(self.start[None], live, axis=0)
         for t in range(int(size[0]) if live else 0):
@@ -164,17 +173,19 @@ class Hmm:
         return result
 
     def expected(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected first states, transitions and emissions of all pieces (scaled forward and backward recursion)."""
-        begin, size = self.pieces(first, PIECE)
+        """Expected first states, transitions and emissions (scaled forward and backward recursion over pieces). A piece
+        begins CONTEXT tokens early, from the usual states, ends as many late, and counts none of these nor moves to them."""
+        begin, size, own, end = self.pieces(first, PIECE)
+        usual = self.usual()
         k = len(self.start)
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit)
-        width = max(1, DENSE // (PIECE * k))
+        width = max(1, DENSE // ((PIECE + 2 * CONTEXT) * k))
         for a in range(0, len(size), width):
-            b, n = begin[a : a + width], size[a : a + width]
+            b, n, early, late = (x[a : a + width] for x in (begin, size, own, end))
             steps = int(n[0])
             live = np.searchsorted(-n, -np.arange(steps), side="left")  # sequences longer than t
             forward, scales = [], []
-            alpha = np.repeat(self.start[None], len(n), axis=0)
+            alpha = np.where((early == 0)[:, None], self.start[None], usual[None])
             for t in range(steps):
                 m = live[t]
                 alpha = (alpha[:m] if t == 0 else alpha[:m] @ self.move) * self.emit[classes[b[:m] + t]]
@@ -186,12 +197,13 @@ class Hmm:
             for t in range(steps - 1, -1, -1):
                 m = live[t]
                 c = classes[b[:m] + t]
-                gamma = forward[t] * beta[:m]
+                counts = ((early[:m] <= t) & (t < late[:m]))[:, None]
+                gamma = forward[t] * beta[:m] * counts
                 seen.append(c)
                 weight.append(gamma)
                 if t:
                     back = self.emit[c] * beta[:m] / scales[t][:, None]
-                    moves += forward[t - 1][:m].T @ back
+                    moves += forward[t - 1][:m].T @ (back * counts)
                     beta[:m] = back @ self.move.T
             moves_seen, gammas = np.concatenate(seen), np.concatenate(weight)
             for s in range(k):
@@ -205,48 +217,66 @@ def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
+def _sums(encoded: DataFrame, count, size: int) -> np.ndarray:
+    """``size`` numbers that count gives for each 2,000 class sequences of training texts, summed over all tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            for a in range(0, b.num_rows, 2000):
+                total += count(*_arrays(b.slice(a, 2000)))
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "value"])
+
+    out = np.zeros(size)
+    for r in encoded.where("train").select("classes").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+        out[r["at"]] = r["value"]
+    return out
+
+
+def _profiles(classes: np.ndarray, first: np.ndarray, n_classes: int) -> np.ndarray:
+    """Shares of the classes in each text."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    counts = np.bincount(owner * n_classes + classes, minlength=(len(first) - 1) * n_classes).reshape(-1, n_classes)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
+
 def _first_model(encoded: DataFrame) -> Hmm:
-    """States from the class profiles of SEED_TEXTS training texts (those of least hash): k-means on square roots."""
+    """States from k-means on the square roots of all training texts' class profiles. The first clusters are the texts that
+    share one of the N_STATES commonest favourites, a text's most frequent word class."""
     n_classes = 1 + N_ENDINGS + N_FREQUENT
-    seeds = encoded.where("train and n_tokens > 1").select("doc_id", "classes", F.xxhash64("doc_id", F.lit("seed")).alias("order"))
-    rows = least_hashes(seeds, "order", SEED_TEXTS, "doc_id").select("classes").collect()
-    emit = np.full((n_classes, N_STATES), 1.0 / n_classes)
-    if rows:
-        profile = np.array([np.bincount(r["classes"], minlength=n_classes) / len(r["classes"]) for r in rows])
-        x = np.sqrt(profile)
-        centres = [x[0]]
-        while len(centres) < N_STATES:
-            far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-            centres.append(x[int(np.argsort(far, kind="stable")[int(0.9 * (len(x) - 1))])])
-        c = np.array(centres)
-        for _ in range(10):
-            near = np.argmax(x @ c.T - 0.5 * (c**2).sum(axis=1), axis=1)
-            c = np.array([x[near == s].mean(axis=0) if (near == s).any() else c[s] for s in range(N_STATES)])
-        whole = profile.mean(axis=0)
-        for s in range(N_STATES):
-            own = profile[near == s].mean(axis=0) if (near == s).any() else whole
-            emit[:, s] = 0.8 * own + 0.15 * whole + 0.05 / n_classes
+
+    def favourites(profile: np.ndarray) -> np.ndarray:
+        return profile[:, 1:].argmax(axis=1) + 1
+
+    liked = _sums(encoded, lambda c, f: np.bincount(favourites(_profiles(c, f, n_classes)), minlength=n_classes).astype(float), n_classes)
+    label = np.arange(n_classes) % N_STATES
+    label[np.argsort(-liked, kind="stable")[:N_STATES]] = np.arange(N_STATES)
+    centres, sums = None, np.zeros((N_STATES, 2 * n_classes + 1))
+    for _ in range(ROUNDS):
+
+        def cluster(c: np.ndarray, f: np.ndarray, centres=centres) -> np.ndarray:
+            profile = _profiles(c, f, n_classes)
+            x = np.sqrt(profile)
+            near = label[favourites(profile)] if centres is None else np.argmax(x @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
+            rows = np.hstack([profile, x, np.ones((len(x), 1))])
+            return (np.eye(N_STATES)[near].T @ rows).ravel()
+
+        sums = _sums(encoded, cluster, N_STATES * (2 * n_classes + 1)).reshape(N_STATES, -1)
+        many = np.maximum(sums[:, -1:], 1)
+        centres = sums[:, n_classes:-1] / many
+    whole = sums[:, :n_classes].sum(axis=0) / max(sums[:, -1].sum(), 1)
+    own = np.where(sums[:, -1:] > 0, sums[:, :n_classes] / np.maximum(sums[:, -1:], 1), whole)
+    emit = (0.8 * own + 0.15 * whole + 0.05 / n_classes).T
     move = np.full((N_STATES, N_STATES), 0.02 / max(N_STATES - 1, 1))
     np.fill_diagonal(move, 0.98)
-    return Hmm(np.full(N_STATES, 1.0 / N_STATES), move, emit)
+    return Hmm(np.full(N_STATES, 1.0 / N_STATES), move, emit / emit.sum(axis=0))
 
 
 def baum_welch(encoded: DataFrame, model: Hmm) -> Hmm:
     """One re-estimation from all training sequences."""
     k, n_classes = len(model.start), len(model.emit)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                got = np.concatenate([x.ravel() for x in model.expected(*_arrays(b.slice(a, 2000)))])
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "value"])
-
-    sums = np.zeros(k + k * k + n_classes * k)
-    for r in encoded.where("train").select("classes").mapInArrow(count, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-        sums[r["at"]] = r["value"]
+    sums = _sums(encoded, lambda c, f: np.concatenate([x.ravel() for x in model.expected(c, f)]), k + k * k + n_classes * k)
     start, move, emit = sums[:k] + 1e-3, sums[k : k + k * k].reshape(k, k) + 1e-3, sums[k + k * k :].reshape(n_classes, k) + 1e-3
     return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -261,9 +291,10 @@ def score_texts(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(n_blocks)).cast("int")
     dealt = row.select("doc_id", "text", (~in_fold(F.col("doc_id"), HELD_OUT)).alias("train"), block.alias("block"))
     own = dealt.groupBy("block").applyInArrow(_block_words, "block int, word long, own long, ending int")
-    by = Window.partitionBy("word")
-    counted = own.withColumns({"count": F.sum("own").over(by), "lead": F.col("block") == F.min("block").over(by)}).drop("own")
-    counted = stored(counted, "lm-words")
+    own = stored(own, "lm-block-words")
+    total = stored(own.groupBy("word").agg(F.sum("own").alias("count"), F.min("block").alias("least")), "lm-counts")  # summed before the shuffle
+    counted = stored(own.drop("own").join(total, "word").withColumn("lead", F.col("block") == F.col("least")).drop("least"), "lm-words")
+    discard(own)
     vocabulary = _vocabulary(counted)
     part = counted.select("block", "word", "count", "ending")
     encoded = dealt.groupBy("block").cogroup(part.groupBy("block")).applyInArrow(_encoder(vocabulary), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, inside double, classes array<short>")
@@ -284,4 +315,5 @@ def score_texts(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
 
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see score_texts for null and repeated texts and ids."""
     return score_texts(documents(spark, sf_dir))
