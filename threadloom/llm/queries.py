@@ -28,5 +28,21 @@ QUERIES = {
         op10_histogram_shards,
     )
 }
-# Models, automata, solvers and seeds are beyond SQL: tests compare with brute force, exact round trips and held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
+# Models, automata and solvers are beyond SQL: tests compare these with brute force, exact round trips and held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_components": f"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), {WORDS_SQL}) AS l FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(l[i:i+3], ' ') AS x FROM (SELECT r, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+c AS (SELECT r, r AS t FROM w UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.t),
+m AS (SELECT c.r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.t GROUP BY c.r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op7_seed_extend": f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text,''), {WORDS_SQL}) AS l FROM documents),
+v AS (SELECT r, i, array_to_string(l[i:i+34], ' ') AS x FROM (SELECT r, l, unnest(range(1, len(l) - 33)) AS i FROM w WHERE len(l) >= 35)),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM v WHERE x IN (SELECT x FROM v GROUP BY x HAVING count(*) > 1)),
+k AS (SELECT r, p, x FROM (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM w) ANTI JOIN g USING (r, p)),
+o AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM k GROUP BY r)
+SELECT doc_id, len(l) AS n_words, len(l) - coalesce(o.n, 0) AS n_removed, sha256(coalesce(o.t, '')) AS kept_sha256 FROM w LEFT JOIN o USING (r)""",
+}
