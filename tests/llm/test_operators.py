@@ -125,6 +125,21 @@ def test_repeats(docs):
         assert (r["n_words"], r["n_removed"], r["kept"]) == (len(w), len(drop), " ".join(x for i, x in enumerate(w) if i not in drop))
 
 
+def test_repeats_of_hot_windows(spark):
+    """A passage in two thirds of the texts, at the same and other places, in one partition and in many."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([*(f"u{i}x{j}" for j in range(r.randrange(40))), *passage, f"end{i}"]) for i in range(120)]
+    texts += [" ".join(f"q{i}x{j}" for j in range(60)) for i in range(58)] + ["again " * 300] * 2
+    want = Counter(tuple(w[i : i + 35]) for w in map(_words, texts) for i in range(len(w) - 34))
+    for parts in (1, 13):
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts, "doc_id")
+        for row in repeats.remove_repeats(rows).collect():
+            w = _words(texts[row["doc_id"]])
+            drop = {j for i in range(len(w) - 34) if want[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+            assert (row["n_removed"], row["kept"]) == (len(drop), " ".join(x for i, x in enumerate(w) if i not in drop))
+
+
 def test_media_round_trip(docs):
     got = _both(docs, lambda d: telephony.media_digest(telephony.store_payload(d)), ["doc_id", "payload_bytes", "payload_sha256"])
     for r in got:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.shared import documents
-from threadloom.llm.wordgrid import Words, run_hashes, slices, words
+from threadloom.llm.wordgrid import Words, combine, run_hashes, slices, words
 
 SPAN = 35
 
@@ -72,21 +72,49 @@ class Anchors:
         return cls(owner[new], anchor[new], begin, length, pair)
 
 
+def _lists(of: np.ndarray, values: pa.Array, rows: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), values)
+
+
+def _told(of: np.ndarray, key: np.ndarray, place: np.ndarray, salt: np.ndarray) -> list[pa.Array]:
+    """Lists of keys, places and known places of each row; ``of``, the row of each entry, is in order.
+
+    Of a key that a slice has three times or more, two entries go on and tell the other slices that it recurs. The rest
+    are known to recur, so they need not meet there: a row's come as one list, at the entry with its salt and no place."""
+    order = np.argsort(key, kind="stable")
+    known = np.zeros(len(key), dtype=bool)
+    known[order[2:]] = key[order[2:]] == key[order[:-2]]
+    some = np.unique(of[known])
+    row = np.concatenate([of[~known], some])
+    order = np.argsort(row, kind="stable")
+    keys = np.concatenate([key[~known], salt[some]])[order]
+    places = np.concatenate([place[~known], np.full(len(some), -1)])[order].astype(np.int32)
+    return [_lists(row[order], pa.array(keys), len(salt)), _lists(row[order], pa.array(places, mask=places < 0), len(salt)), _lists(of[known], pa.array(place[known].astype(np.int32)), len(salt))]
+
+
+def _recurring(rows: DataFrame, key: str, place: str, *ids: str) -> DataFrame:
+    """ids and the places (a set) of keys that occur twice or more, from the lists of ``_told``."""
+    entry = F.explode(F.arrays_zip(key, place)).alias("e")
+    rows = rows.select(*ids, "known", entry).select(*ids, F.col("e")[key].alias(key), F.col("e")[place].alias(place), F.when(F.col("e")[place].isNull(), F.col("known")).alias("known"))
+    rows = rows.withColumn("n", F.count(place).over(Window.partitionBy(key))).where("n >= 2 or known is not null")
+    return rows.select(*ids, F.explode(F.coalesce("known", F.array(place))).alias(place)).groupBy(*ids).agg(F.collect_set(place).alias(place))
+
+
 def _seeds(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A text's anchors; ``at`` numbers them. One whose words may occur twice in the text comes twice."""
         for b in slices(batches):
             owner, start, _, anchor, near = windows(words(b.column("text")), span)
-            lists: list = [([], [])] * b.num_rows
+            k1 = b.column("k1").to_numpy(zero_copy_only=False)
+            lists = [np.zeros(0, np.int64)] * 3
             if len(owner):
                 found = Anchors.of(owner, anchor)
                 n = len(found.text)
                 twice = (np.bincount(found.pair, minlength=n) > 1) | (np.bincount(found.pair, weights=np.logical_or.reduceat(near, found.begin), minlength=n) > 0)
-                bound = np.searchsorted(found.text, np.arange(b.num_rows + 1))
-                nth, times = np.arange(n) - bound[found.text], 1 + twice
-                signed = found.value.view(np.int64)
-                lists = [(np.repeat(signed[x:y], times[x:y]), np.repeat(nth[x:y], times[x:y])) for x, y in zip(bound, bound[1:])]
-            yield pa.record_batch([b.column("k1"), pa.array([x for x, _ in lists], pa.list_(pa.int64())), pa.array([y for _, y in lists], pa.list_(pa.int32()))], ["k1", "anchor", "at"])
+                nth = np.arange(n) - np.searchsorted(found.text, found.text)
+                lists = [np.repeat(x, 1 + twice) for x in (found.text, found.value.view(np.int64), nth)]
+            salt = combine(k1.view(np.uint64), np.arange(len(k1), dtype=np.uint64)).view(np.int64)  # copies have one k1
+            yield pa.record_batch([b.column("k1"), *_told(*lists, salt)], ["k1", "anchor", "at", "known"])
 
     return run
 
@@ -106,10 +134,8 @@ def _extended(span: int):
             shared[spot[spot < bound[1:][row]]] = True
             keep = np.flatnonzero(np.repeat(shared[found.pair], found.length))
             of = owner[keep]
-            bounds = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)
-            signed, place = whole[keep].view(np.int64), (start[keep] - w.first[:-1][of]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (signed, place)]
-            yield pa.record_batch([b.column("k1"), b.column("k2"), *lists], ["k1", "k2", "window", "place"])
+            lists = _told(of, whole[keep].view(np.int64), start[keep] - w.first[:-1][of], b.column("k1").to_numpy(zero_copy_only=False))
+            yield pa.record_batch([b.column("k1"), b.column("k2"), *lists], ["k1", "k2", "window", "place", "known"])
 
     return run
 
@@ -153,25 +179,24 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     Null and empty texts have no words; texts shorter than span lose none; equal texts of span words or more lose all,
     as each of their windows starts in the other; rows are told apart by their text (64-bit hash and checksum), so ids
-    may be null or repeat. Other columns are ignored."""
+    may be null or repeat. Other columns are ignored; an empty table gives no rows.
+
+    docs should be a scan or a stored table: the slices that a task cuts follow the order of its rows, which must be the
+    same when it runs again."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.crc32("text")})
     copies = keyed.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
-    seeds = keyed.select("k1", "text").mapInArrow(_seeds(span), "k1 long, anchor array<long>, at array<int>")
-    seeds = seeds.select("k1", F.explode(F.arrays_zip("anchor", "at")).alias("s")).select("k1", F.col("s.anchor").alias("anchor"), F.col("s.at").alias("at"))
-    shared = seeds.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n >= 2")
-    shared = shared.groupBy("k1").agg(F.collect_set("at").alias("at"))
-    info = copies.join(shared, "k1")
+    seeds = keyed.select("k1", "text").mapInArrow(_seeds(span), "k1 long, anchor array<long>, at array<int>, known array<int>")
+    info = copies.join(_recurring(seeds, "anchor", "at", "k1"), "k1")
     spread = keyed.join(info, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).select("k1", "k2", "text", "at")
-    found = spread.mapInArrow(_extended(span), "k1 long, k2 long, window array<long>, place array<int>")
-    found = found.select("k1", "k2", F.explode(F.arrays_zip("window", "place")).alias("s")).select("k1", "k2", F.col("s.window").alias("window"), F.col("s.place").alias("place"))
-    again = found.withColumn("n", F.count("*").over(Window.partitionBy("window"))).where("n >= 2")
-    again = again.groupBy("k1", "k2").agg(F.collect_list("place").alias("place"))
+    spread = spread.sortWithinPartitions("k1", "k2")  # a task that runs again cuts the same slices
+    found = spread.mapInArrow(_extended(span), "k1 long, k2 long, window array<long>, place array<int>, known array<int>")
+    again = _recurring(found, "window", "place", "k1", "k2")
     whole = keyed.join(copies.select("k1", "k2", "copies"), ["k1", "k2"], "left").join(again, ["k1", "k2"], "left")
     return whole.select("k1", "k2", "text", "doc_id", "copies", "place").mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 that start elsewhere too, removed; see remove_repeats for nulls, copies and repeated ids."""
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
