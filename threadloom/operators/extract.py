@@ -204,19 +204,25 @@ def json_messages(v: Column) -> Column:
     return out
 
 
-def extract_json(files: DataFrame) -> DataFrame:
+def once(rows: DataFrame, *names: str) -> DataFrame:
+    """The same rows. Columns of these names are worked out once a row: what stands below a generator is copied neither
+    into later filters nor into the branches of a union."""
+    return rows.select(*[c for c in rows.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
+def extract_json(files: DataFrame, content: Column = F.col("content")) -> DataFrame:  # noqa: B008
     """Adds messages, confidence and bad. Other objects or arrays of two members or more are one system message."""
-    v = files.withColumn("v", F.try_parse_json("content"))
+    v = files.withColumn("v", F.try_parse_json(content))
     v = v.withColumn("m", json_messages(F.col("v")))
     many = F.coalesce(F.size(F.try_variant_get("v", "$", "map<string,variant>")), F.size(items(F.col("v"), "")), F.lit(0)) >= 2
-    whole = F.array(message("system", _pretty(F.when(F.col("m").isNull() & many, F.col("content"))))).cast(MESSAGES_DDL)
+    whole = F.array(message("system", _pretty(F.when(F.col("m").isNull() & many, content)))).cast(MESSAGES_DDL)
     low = F.try_variant_get("v", "$[0].role", "string").isNotNull() | F.coalesce(get(F.col("v"), "convo"), get(F.col("v"), "threads"), get(F.col("v"), "sessionId")).isNotNull()
     level = F.when(F.col("m").isNotNull(), F.when(low, "low").otherwise("high")).when(many, "low").otherwise("unknown")
     return v.withColumns({"messages": F.coalesce("m", F.when(many, whole), F.expr(NONE)), "confidence": level, "bad": F.col("v").isNull().cast("long")}).drop("v", "m")
 
 
-def extract_markdown(files: DataFrame) -> DataFrame:
-    """Adds messages, prompt and confidence: front matter, then role sections, then the whole text."""
+def markdown_columns() -> dict[str, Column]:
+    """messages, prompt and confidence of a Markdown content: front matter, then role sections, then the whole text."""
     front = rf"\A---{BLANK_CLASS}*\n([\s\S]*?)\n---{BLANK_CLASS}*\n"
     head = F.regexp_extract("content", front, 1)
     section = rf"(?im)^#{{1,3}}{BLANK_CLASS}*(User|Assistant|System|Human|AI|Bot){BLANK_CLASS}*$"
@@ -233,7 +239,12 @@ def extract_markdown(files: DataFrame) -> DataFrame:
     named = F.when(head.rlike("name:"), trimmed(F.regexp_extract(head, r"name:\s*(.*)", 1)))
     prompt = F.when(is_front, named).when(is_sections, F.left(F.get(user, F.lit(0))["content"], F.lit(120))).when(some, trimmed(F.regexp_replace(line, r"^#+\s*", "")))
     level = F.when(~is_front & is_sections & (F.size(sections) > 1), "high").otherwise("low")
-    return files.withColumns({"messages": messages.cast(MESSAGES_DDL), "prompt": prompt, "confidence": level})
+    return {"messages": messages.cast(MESSAGES_DDL), "prompt": prompt, "confidence": level}
+
+
+def extract_markdown(files: DataFrame) -> DataFrame:
+    """Adds messages, prompt and confidence."""
+    return files.withColumns(markdown_columns())
 
 
 def extract_kv(rows: DataFrame) -> DataFrame:
@@ -299,21 +310,16 @@ def normalize_raw(files: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     ending = F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
     files = files.withColumn("ending", ending)
-    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
-    md = extract_markdown(files.where(F.col("ending").isin("md", "mdc", "cursorrules"))).withColumn("bad", zero)
-    lines = files.where("ending = 'jsonl'")
-    lines = lines.withColumn("text", F.xxhash64("content"))
-    lines = lines.join(extract_jsonl(lines), ["path", "text"], "left").withColumns({"messages": F.coalesce("messages", F.expr(NONE)), "bad": F.coalesce("bad", zero), "prompt": none})
+    lines = files.where("ending = 'jsonl'").withColumn("text", F.xxhash64("content"))
+    lines = lines.join(extract_jsonl(lines), ["path", "text"], "left").withColumns({"messages": F.coalesce("messages", F.expr(NONE)), "bad": F.coalesce("bad", F.lit(0).cast("long")), "prompt": F.lit(None).cast("string")})
     lines = lines.withColumn("confidence", F.when(F.size("messages") > 0, "high").otherwise("unknown"))
-    rest = extract_json(files.where(~F.col("ending").isin("md", "mdc", "cursorrules", "jsonl"))).withColumn("prompt", none)
-    strict = F.col("ending").isin("json", "db", "", "log")
-    other = extract_markdown(rest.where(~strict & (F.size("messages") == 0)).drop("messages", "prompt", "confidence"))
-    parts = [md, lines, rest.where(strict | (F.size("messages") > 0)), other]
+    is_md, strict = F.col("ending").isin("md", "mdc", "cursorrules"), F.col("ending").isin("json", "db", "", "log")
+    rest = once(extract_json(files.where("ending <> 'jsonl'"), F.when(~is_md, F.col("content"))), "messages", "confidence", "bad")
+    as_md = is_md | (~strict & (F.size("messages") == 0))
+    rest = rest.withColumn("prompt", F.lit(None).cast("string"))
+    rest = rest.withColumns({name: F.when(as_md, c).otherwise(F.col(name)) for name, c in markdown_columns().items()} | {"bad": F.when(is_md, 0).otherwise(F.col("bad"))})
     columns = ["path", "content", "mtime_ms", "size", "messages", "prompt", "confidence", "bad"]
-    out = parts[0].select(columns)
-    for p in parts[1:]:
-        out = out.union(p.select(columns))
-    return unified(out)
+    return unified(once(lines.select(columns).union(rest.select(columns)), "messages", "prompt", "confidence", "bad"))
 
 
 def normalize_kv(rows: DataFrame, ingest_ms: int = 0) -> DataFrame:
