@@ -117,3 +117,17 @@ def test_markdown_document_is_written(spark, tmp_path):
     convert.write_markdown(threads, f"{tmp_path}/doc")
     files = sorted(p for p in (tmp_path / "doc").iterdir() if p.suffix == ".txt")
     assert "".join(p.read_text() for p in files) == "".join(r["markdown"] for r in convert.markdown_doc(threads).collect()) + "\n"
+
+
+def test_prune_cuts_by_utf16_units(spark):
+    mid = "a" * 3000
+    assert _one(spark, clean.prune_long, "\U0001f600" * 1500) == "\U0001f600" * 1500
+    got = _one(spark, clean.prune_long, "x" + "\U0001f600" * 800 + mid + "\U0001f600" * 800 + "y")
+    assert got == "x" + "\U0001f600" * 749 + clean.CUT + "\U0001f600" * 749 + "y"
+
+
+def test_cleaning_without_hints(spark):
+    assert _one(spark, clean.mask_secrets.text, None) is None and _one(spark, clean.strip_chitchat, None) is None
+    text = "mysql://u:p@h:1/db and -----BEGIN CERTIFICATE-----\nx\n-----END CERTIFICATE----- sk-" + "a" * 32
+    assert _one(spark, clean.mask_assets.text, text) == "***ASSET_MASKED*** and ***ASSET_MASKED*** sk-" + "a" * 32
+    assert _one(spark, clean.mask_secrets.text, text).endswith("***MASKED***")

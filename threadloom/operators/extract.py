@@ -210,8 +210,9 @@ def once(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in names], F.inline(F.array(F.struct(*names))))
 
 
-def extract_json(files: DataFrame, content: Column = F.col("content")) -> DataFrame:  # noqa: B008
+def extract_json(files: DataFrame, content: Column | None = None) -> DataFrame:
     """Adds messages, confidence and bad. Other objects or arrays of two members or more are one system message."""
+    content = F.col("content") if content is None else content
     v = files.withColumn("v", F.try_parse_json(content))
     v = v.withColumn("m", json_messages(F.col("v")))
     many = F.coalesce(F.size(F.try_variant_get("v", "$", "map<string,variant>")), F.size(items(F.col("v"), "")), F.lit(0)) >= 2

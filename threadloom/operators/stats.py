@@ -45,9 +45,11 @@ def sources_seen(threads: DataFrame) -> DataFrame:
     return threads.select(F.col("meta.source").alias("source")).distinct().orderBy("source")
 
 
-def scan_report(files: DataFrame, threads: DataFrame) -> DataFrame:
-    a = files.agg(F.count("*").alias("total_files"))
-    b = threads.agg(F.count("*").alias("total_records"), F.count_if(F.size("meta.warnings") > 0).alias("warning_count"), F.array_join(F.sort_array(F.collect_set("meta.source")), ",").alias("sources_seen"))
+def scan_report(files: DataFrame, threads: DataFrame, stores: DataFrame) -> DataFrame:
+    """One row: raw files, threads of stores, and all threads (those of files and of stores) with their sources and warnings."""
+    a = files.agg(F.count("*").alias("total_files")).crossJoin(stores.agg(F.count("*").alias("total_sqlite")))
+    b = threads.select(F.col("meta.source").alias("source"), F.col("meta.warnings").alias("warnings")).union(stores.select("meta.source", "meta.warnings"))
+    b = b.agg(F.count("*").alias("total_records"), F.count_if(F.size("warnings") > 0).alias("warning_count"), F.array_join(F.sort_array(F.collect_set(F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")))), ",").alias("sources_seen"))
     return a.crossJoin(b)
 
 
@@ -55,9 +57,13 @@ def search_threads(threads: DataFrame, text: str) -> DataFrame:
     return threads.where(F.contains(F.lower(F.to_json(F.struct("thread_id", "type", "messages", "context", "meta"))), F.lit(text.lower())))
 
 
-def list_threads(threads: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
+def list_threads(threads: DataFrame, page: int = 1, size: int = 50, source: str | None = None, search: str | None = None) -> DataFrame:
+    """A page of the threads of a source that hold a text, without messages and context; total counts all of them."""
     size = max(1, min(size, 200))
-    return threads.drop("messages", "context").orderBy("meta.source", "thread_id").offset((page - 1) * size).limit(size)
+    threads = filter_source(threads, source) if source else threads
+    threads = search_threads(threads, search) if search else threads
+    items = threads.drop("messages", "context").orderBy("meta.source", "thread_id").offset((page - 1) * size).limit(size)
+    return items.crossJoin(F.broadcast(threads.agg(F.count("*").alias("total"))))  # one row
 
 
 def filter_source(threads: DataFrame, source: str) -> DataFrame:

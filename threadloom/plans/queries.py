@@ -104,9 +104,10 @@ def thread_totals(spark: SparkSession, d: str) -> DataFrame:
     return stats.thread_totals(fx.threads(spark, d))
 
 
-@query(T + " SELECT 'high' AS confidence, count(*) AS n FROM th HAVING count(*) > 0")
+@query(T + " SELECT CASE ord % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'unknown' END AS confidence, count(*) AS n FROM th GROUP BY 1")
 def confidence_dist(spark: SparkSession, d: str) -> DataFrame:
-    return stats.confidence_dist(fx.threads(spark, d))
+    level = F.when(F.col("ord") % 3 == 0, "high").when(F.col("ord") % 3 == 1, "low")
+    return stats.confidence_dist(fx.threads(spark, d).withColumn("meta", F.col("meta").withField("recognition_confidence", level)))
 
 
 @query(T + " SELECT DISTINCT source FROM th")
@@ -114,9 +115,11 @@ def sources_seen(spark: SparkSession, d: str) -> DataFrame:
     return stats.sources_seen(fx.threads(spark, d))
 
 
-@query(T + " SELECT (SELECT count(*) FROM th) AS total_files, count(*) AS total_records, CAST(0 AS BIGINT) AS warning_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_seen FROM th")
+@query(T + """, s AS (SELECT source FROM th UNION ALL SELECT 'windsurf' FROM th WHERE ord % 5 <> 4)
+SELECT (SELECT count(*) FROM th) AS total_files, (SELECT count(*) FROM th WHERE ord % 5 <> 4) AS total_sqlite, count(*) AS total_records, (SELECT count(*) FROM th WHERE ord % 4 = 0) AS warning_count, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_seen FROM s""")
 def scan_report(spark: SparkSession, d: str) -> DataFrame:
-    return stats.scan_report(fx.raw_files(spark, d), fx.threads(spark, d))
+    warned = F.col("meta").withField("warnings", F.when(F.col("ord") % 4 == 0, F.array(F.lit("JSON parse error"))))
+    return stats.scan_report(fx.raw_files(spark, d), fx.threads(spark, d).withColumn("meta", warned), extract.normalize_kv(fs.kv_key_filter(fx.kv_items(spark, d))))
 
 
 @query(T + " SELECT ord, thread_id, source FROM th WHERE source = 'codex'")
@@ -134,9 +137,14 @@ def search_threads(spark: SparkSession, d: str) -> DataFrame:
     return _flat(stats.search_threads(fx.threads(spark, d), "That"))
 
 
-@query(T + " SELECT thread_id, source FROM th ORDER BY source, thread_id LIMIT 20 OFFSET 20")
+@query(T + " SELECT thread_id, source, (SELECT count(*) FROM th) AS total FROM th ORDER BY source, thread_id LIMIT 20 OFFSET 20")
 def list_threads(spark: SparkSession, d: str) -> DataFrame:
-    return stats.list_threads(fx.threads(spark, d), 2, 20).select("thread_id", F.col("meta.source").alias("source"))
+    return stats.list_threads(fx.threads(spark, d), 2, 20).select("thread_id", F.col("meta.source").alias("source"), "total")
+
+
+@query(T + ", k AS (SELECT DISTINCT thread_id, source FROM th JOIN m USING (ord) WHERE source = 'codex' AND contains(lower(text), 'that')) SELECT thread_id, source, (SELECT count(*) FROM k) AS total FROM k ORDER BY thread_id LIMIT 5")
+def list_found_threads(spark: SparkSession, d: str) -> DataFrame:
+    return stats.list_threads(fx.threads(spark, d), 1, 5, "codex", "that").select("thread_id", F.col("meta.source").alias("source"), "total")
 
 
 @query(T + " SELECT ord, thread_id, source FROM th")
@@ -331,6 +339,39 @@ def scalar_rules(spark: SparkSession, d: str) -> DataFrame:
     return fx.raw_files(spark, d).select("ord", classify.identify_type(p).alias("kind"), classify.detect_tool(p).alias("tool"), classify.infer_project(p).alias("project"), classify.normalize_source(F.lit(" Claude ")).alias("renamed"), tx.magic(F.col("content")).alias("magic"), classify.thread_id(p).alias("id"), tx.iso_time(F.col("mtime_ms")).alias("at"))
 
 
+# Paths, source names, store folders and file heads of eight kinds, dealt to the threads, and what the rules say of each.
+RULED = [
+    ("/srv/work/app/.cursor/plan.md", "plan", "cursor", "app", "claude", "claude_code", "/u/Antigravity/x", "antigravity", '{"a":1}', "json"),
+    ("/srv/dev/tool/.claude/task.md", "task", "claude_code", "tool", "OpenAI ", "codex", "/u/Code - Insiders/x", "vscode_copilot", " [1]", "json-array"),
+    ("/data/repos/x/.codex/settings.json", "config", "codex", "x", "", "unknown", "/u/x", "cursor", "--- y", "yaml-or-markdown"),
+    ("/opt/a/windsurf/rules/style.mdc", "rule", "windsurf", "rules", "unknown", "unknown", "/u/VSCodium/s/x", "vscode_copilot", "# T", "markdown"),
+    ("/opt/Roo-Cline/chat.json", "thread", "cline", "Roo-Cline", "roo-cline", "cline", "/u/Trae/x", "trae", "plain", "text"),
+    ("/opt/b/Code/User/mcp.json", "mcp", "vscode_copilot", "User", "nobody", "other", "/u/Qoder/x", "qoder", "", "unknown"),
+    ("notes.txt", "thread", "unknown", "unknown", "mcp", "other", "/u/Claude/x", "claude", " {}", "json"),
+    ("/opt/.vscode/walkthrough-1.md", "walkthrough", "vscode_copilot", ".vscode", "Zed", "zed", "/u/Code/x", "vscode_copilot", "x # y", "text"),
+]
+_said = lambda at: "CASE ord % 8 " + " ".join(f"WHEN {i} THEN '{r[at]}'" for i, r in enumerate(RULED)) + " END"
+
+
+@query(T + f" SELECT ord, {_said(1)} AS kind, {_said(2)} AS tool, {_said(3)} AS project, {_said(5)} AS renamed, {_said(7)} AS store, {_said(9)} AS magic FROM th")
+def path_rules(spark: SparkSession, d: str) -> DataFrame:
+    dealt = lambda at: F.get(F.array(*[F.lit(r[at]) for r in RULED]), (F.col("ord") % 8).cast("int"))
+    rows = fx.threads(spark, d).select("ord", dealt(0).alias("path"), dealt(4).alias("named"), dealt(6).alias("db_path"), dealt(8).alias("content"))
+    p = F.col("path")
+    return rows.select("ord", classify.identify_type(p).alias("kind"), classify.detect_tool(p).alias("tool"), classify.infer_project(p).alias("project"), classify.normalize_source(F.col("named")).alias("renamed"), classify.infer_source_kv(F.col("db_path")).alias("store"), tx.magic(F.col("content")).alias("magic"))
+
+
+@query(T + """ SELECT ord, ord % 8 = 7 AS valid, CASE ord % 8 WHEN 0 THEN '/schema_version must match pattern' WHEN 1 THEN '/thread_id must not have fewer than 1 characters' WHEN 2 THEN '/type must be equal to one of the allowed values' WHEN 3 THEN '/messages must have role and content'
+WHEN 4 THEN '/meta must have required property ''project''' WHEN 5 THEN '/meta/tokens must be >= 0' WHEN 6 THEN '/meta/recognition_confidence must be equal to one of the allowed values' ELSE '' END AS errors FROM th""")
+def validation_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each thread with one fault, every eighth with none."""
+    at = lambda n, bad, good: F.when(F.col("ord") % 8 == n, bad).otherwise(good)
+    meta = F.col("meta")
+    meta = meta.withField("project", at(4, F.lit(None), meta["project"])).withField("tokens", at(5, F.lit(-1), meta["tokens"])).withField("recognition_confidence", at(6, F.lit("sure"), meta["recognition_confidence"]))
+    bad = {"schema_version": at(0, F.lit("1.0"), F.col("schema_version")), "thread_id": at(1, F.lit(""), F.col("thread_id")), "type": at(2, F.lit("talk"), F.col("type")), "messages": at(3, F.transform("messages", lambda m: m.withField("role", F.lit(None).cast("string"))), F.col("messages")), "meta": meta}
+    return validate.validate_threads(fx.threads(spark, d).withColumns(bad)).select("ord", "valid", F.array_join("errors", ";").alias("errors"))
+
+
 @query(T + " SELECT ord, prompt, CAST(tokens AS BIGINT) AS tokens, CAST(u AS BIGINT) AS user_tokens FROM th")
 def thread_scalars(spark: SparkSession, d: str) -> DataFrame:
     return fx.threads(spark, d).select("ord", extract.first_user_prompt(F.col("messages")).alias("prompt"), F.col("meta.tokens").alias("tokens"), tx.role_tokens(F.col("messages"), "user").alias("user_tokens"))
