@@ -49,8 +49,8 @@ g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM v WHERE x IN (SELECT
 k AS (SELECT r, p, x FROM (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM w) ANTI JOIN g USING (r, p)),
 o AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM k GROUP BY r)
 SELECT doc_id, len(l) AS n_words, len(l) - coalesce(o.n, 0) AS n_removed, sha256(coalesce(o.t, '')) AS kept_sha256 FROM w LEFT JOIN o USING (r)""",
-    "op11_secondary_sort_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
- FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    "op11_secondary_sort_negatives": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
 p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
 n AS (SELECT p.a, p.b AS p, s.b AS n, p.s AS ps, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)

@@ -12,6 +12,8 @@ whatever the vocabulary. In a partition the minimal acceptor of the words' middl
 from __future__ import annotations
 
 import sys
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,25 +22,53 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.shared import discard, documents, small_side, stored
+from threadloom.llm.wordgrid import slices
 
-LETTERS, UPPER, LOWER = r"[A-Za-z\x{C0}-\x{FF}]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LETTERS = bytes(ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else c if c >= 0xC0 else 32 for c in range(256))  # lower-cases A to Z
+HELD = 400_000  # words that a task adds up before it sends them on
 SHORTEST, LEAST_COUNT, MARGIN, EVERY = 5, 3, 2, 97
 MOST = 4096  # words of a partition, unless its tile is a single place: then letters and pairs of letters bound it
 KEY_BYTES = 200
 
 
-def damaged(run: Column, doc_id: Column) -> Column:
-    """The run without one code point where the hash of document and run says so; with a null id as it is."""
-    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), run))
-    at = (h % F.length(run)).cast("int")
-    return F.when(F.coalesce(h % EVERY == 0, F.lit(False)), F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+def damaged(run: bytes, opening: int) -> bytes | None:
+    """The Latin-1 run without one code point if the hash of document and run says so; opening: the hash of "<doc_id>:"."""
+    h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), opening)
+    return None if h % EVERY else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their counts, added up by tasks as far as memory allows. All letters are Latin-1 code points, others
+    become spaces."""
+    held: Counter = Counter()
+
+    def batch() -> pa.RecordBatch:
+        words = [w for w, n in held.items() if n and len(w) >= SHORTEST]
+        return pa.record_batch([pa.array([w.decode("latin-1") for w in words], pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+
+    for b in slices(batches):
+        for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+            runs = (text or "").encode("latin-1", "replace").translate(LETTERS).split()
+            held.update(runs)
+            if doc_id is None:
+                continue
+            opening = zlib.crc32(f"{doc_id}:".encode())
+            for run in set(runs):
+                other = damaged(run, opening)
+                if other is not None:
+                    n = runs.count(run)
+                    held[run] -= n
+                    held[other] += n
+        if len(held) >= HELD:
+            yield batch()
+            held.clear()
+    yield batch()
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n: the words of all texts (null: none) of SHORTEST code points and LEAST_COUNT occurrences or more."""
-    runs = docs.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.translate(F.col("text").cast("string"), UPPER, LOWER), F.lit(LETTERS), F.lit(0))).alias("run"))
-    words = runs.select(damaged(F.col("run"), F.col("id")).alias("word")).where(F.length("word") >= SHORTEST)
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    """word, n: the words of all texts (null: none; a null id damages no run) of SHORTEST code points and LEAST_COUNT occurrences or more."""
+    words = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
