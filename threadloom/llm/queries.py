@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.llm.cascade import op12_rule_cascade
 from threadloom.llm.decontamination import op6_template_leaks
 from threadloom.llm.hidden_markov import op9_hidden_markov
 from threadloom.llm.jaccard import op4_jaccard_components
@@ -29,6 +30,7 @@ QUERIES = {
         op9_hidden_markov,
         op10_histogram_shards,
         op11_secondary_sort_negatives,
+        op12_rule_cascade,
         op13_composed_variants,
     )
 }
@@ -55,4 +57,15 @@ s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_
 p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
 n AS (SELECT p.a, p.b AS p, s.b AS n, p.s AS ps, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
 SELECT a AS anchor_id, p AS positive_id, CAST(r AS INT) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10""",
+    "op12_rule_cascade": f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS_SQL}) AS l FROM documents),
+d AS (SELECT *, len(l) AS n, len(array_to_string(l, '')) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS sym, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+v AS (SELECT r, i, array_to_string(l[i:i+2], ' ') AS x FROM (SELECT r, l, unnest(range(1, len(l) - 1)) AS i FROM w WHERE len(l) >= 3)),
+g AS (SELECT r, count(DISTINCT p) AS rep FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS k FROM v) WHERE k > 1) GROUP BY r),
+u AS (SELECT r, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM w),
+q AS (SELECT r, count(*) FILTER (WHERE regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')) AS letters, count(*) FILTER (WHERE len(regexp_extract_all(x, '[A-Z]')) >= 2 AND NOT regexp_matches(x, '[a-z]')) AS caps,
+ count(*) FILTER (WHERE right(x, 1) IN ('!', '?')) AS excl, count(*) FILTER (WHERE x = y) AS same FROM (SELECT r, x, lag(x) OVER (PARTITION BY r ORDER BY p) AS y FROM u) GROUP BY r),
+o AS (SELECT r, max(k) AS top FROM (SELECT r, x, count(*) AS k FROM u GROUP BY r, x) GROUP BY r),
+a AS (SELECT d.*, coalesce(rep, 0) AS rep, len(lines) - len(list_distinct(lines)) AS dup, n < 50 OR 100 * coalesce(rep, 0) > 50 * n AS failed FROM d LEFT JOIN g USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(sym AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, failed AS base_failed,
+ NOT (failed OR chars < 2 * n OR chars > 12 * n OR 10 * sym > n OR 10 * letters < 8 * n OR 10 * caps > 3 * n OR 10 * excl > 3 * n OR 2 * dup > len(lines) OR 10 * same > n OR 10 * top > 3 * n) AS kept FROM a LEFT JOIN q USING (r) LEFT JOIN o USING (r)""",
 }
