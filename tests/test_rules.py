@@ -85,7 +85,7 @@ def test_response_items_and_canvas(spark):
         '{"type":"image","url":"u"}', '{"type":"image_url","image_url":"v"}', '{"type":"resource","resource":"r"}', '{"type":"artifact","artifact":"plain"}', '{"type":"artifact","artifact":{"type":"t","title":"n","content":"c","code":"d","generated_file":"f"}}',
         '{"type":"canvas","canvas":{"content":"text"}}', '{"type":"canvas","canvas":{"canvas_data":{"code":"x","html":"h","css":"s","description":"e"}}}', '{"type":"other"}',
     ]
-    row = _normalized(spark, '{"type":"response","response":{"content":[' + ",".join(items) + "]}}", "{broken", "{worse")
+    row = _normalized(spark, '{"type":"response","content":[' + ",".join(items) + "]}", "{broken", "{worse")
     got = [(m["role"], m["content"]) for m in row["messages"]]
     assert got == [
         ("assistant", "hi"), ("assistant", '[Tool Use] ls\n{\n  "a": [\n    1\n  ]\n}'), ("user", "[Tool Result] ok"), ("user", "[Tool Error] no"), ("assistant", "[Thinking] hm"), ("assistant", "[Reasoning] so"),

@@ -78,3 +78,8 @@ def write_backup(threads: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def write_lines(rows: DataFrame, path: str, by: str) -> None:
+    """The column line of the rows as JSON lines in their order, in folders by a column."""
+    rows.select(by, F.to_json("line").alias("value")).write.partitionBy(by).text(path)

@@ -54,14 +54,15 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*_record(n, message, _day(n)))
 
 
-def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threads as raw files in four dialects by ord % 4: JSON messages, JSONL lines, shared conversations, Markdown."""
+def raw_files(spark: SparkSession, sf_dir: str, dialect: int | None = None) -> DataFrame:
+    """The threads as raw files in one of four dialects, or in all by ord % 4: JSON messages, JSONL lines, shared
+    conversations, Markdown."""
     t = threads(spark, sf_dir)
     pairs = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     shared = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").otherwise(m["role"]).alias("from"), m["content"].alias("value")))
     lines = F.array_join(F.transform(pairs, lambda m: F.to_json(m)), "\n")
     md = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("## "), F.initcap(m["role"]), F.lit("\n"), m["content"])), "\n")
-    kind = F.col("ord") % 4
+    kind = F.col("ord") % 4 if dialect is None else F.lit(dialect)
     content = F.when(kind == 0, F.to_json(F.struct(pairs.alias("messages")))).when(kind == 1, lines).when(kind == 2, F.to_json(F.struct(shared.alias("conversations")))).otherwise(md)
     ending = F.when(kind.isin(0, 2), ".json").when(kind == 1, ".jsonl").otherwise(".md")
     path = F.concat(F.lit("/home/u/.cursor/chat-"), F.col("ord").cast("string"), ending)

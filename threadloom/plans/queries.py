@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,39 +9,11 @@ from threadloom.functions import classify
 from threadloom.functions import text as tx
 from threadloom.operators import backup, clean, convert, extract, stats, validate
 from threadloom.plans import fixtures as fx
+from threadloom.plans.registry import DOC, ORACLE_SQL, P, QUERIES, SUMS, T, folder, query
 from threadloom.schema import THREAD
 from threadloom.sources import files as fs
 from threadloom.streaming.ingest import stream_ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-# The threads of fixtures.py in SQL.
-T = """WITH m AS (SELECT conv_id AS ord, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
-th AS (SELECT ord, CAST(ord AS VARCHAR) AS thread_id, ['cursor','claude_code','codex','windsurf','other'][CAST(ord % 5 + 1 AS INT)] AS source, 'proj' || (ord % 7) AS project,
- strftime(DATE '2024-01-01' + CAST(ord % 5000 AS INT), '%Y-%m-%dT00:00:00.000Z') AS created_at, count(*) AS n, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS tokens,
- coalesce(sum(CASE WHEN role='user' THEN length(text)//4 END),0) AS u, coalesce(sum(CASE WHEN role='assistant' THEN length(text)//4 END),0) AS a, left(arg_min(text, i) FILTER (WHERE role='user'), 120) AS prompt FROM m GROUP BY ord)"""
-P = """, p AS (SELECT x.ord, x.i - 1 AS pos, trim(x.text) AS instruction, trim(y.text) AS output FROM m x JOIN m y ON x.ord = y.ord AND y.i = x.i + 1 WHERE x.role='user' AND y.role='assistant' AND length(trim(x.text))>=20 AND length(trim(y.text))>=20)"""
-SUMS = "CAST(count(*) AS BIGINT) {0}, CAST(sum(n) AS BIGINT) messages, CAST(sum(tokens) AS BIGINT) tokens, CAST(sum(u) AS BIGINT) user_tokens, CAST(sum(a) AS BIGINT) ai_tokens, CAST(max(a) AS BIGINT) max_ai, CAST(max(u) AS BIGINT) max_user, CAST(count(*) AS BIGINT) high, CAST(0 AS BIGINT) low, CAST(0 AS BIGINT) unknown"
-DOC = "WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 4 = 0 THEN 'Sure, I can help you with that. ' ELSE '' END) || coalesce(text,'') || ' tel ' || (13800000000 + doc_id) || ' card ' || (6222000000000000 + doc_id) || ' ip 10.0.3.' || (doc_id % 200) || ' key AKIA' || lpad(CAST(doc_id AS VARCHAR),16,'0') || ' end' AS t FROM documents WHERE doc_id IS NOT NULL)"
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp") + f"/{name}"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _flat(threads: DataFrame) -> DataFrame:
     return threads.select("ord", "thread_id", F.col("meta.source").alias("source"))
 
@@ -271,20 +240,33 @@ def _messages(rows: DataFrame) -> DataFrame:
     return rows.select("ord", F.posexplode("messages").alias("at", "m")).select("ord", "at", "m.role", "m.content")
 
 
-@query(MESSAGES_SQL.format("text", "ord % 4 = 1"))
+@query(MESSAGES_SQL.format("text", "true"))
 def extract_jsonl(spark: SparkSession, d: str) -> DataFrame:
-    raw = fx.raw_files(spark, d).where("ord % 4 = 1")
+    raw = fx.raw_files(spark, d, 1)
     return _messages(extract.extract_jsonl(raw).join(raw.select("path", "ord"), "path"))
 
 
-@query(MESSAGES_SQL.format("text", "ord % 4 IN (0, 2)"))
+@query(MESSAGES_SQL.format("text", "true") + " UNION ALL SELECT -1 - ord, CAST(i - 1 AS INT), role, text FROM m")
 def extract_json(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(extract.extract_json(fx.raw_files(spark, d).where("ord % 4 in (0, 2)")))
+    """Every conversation as plain messages, and (with ord as -1 - ord) in the shared form."""
+    shared = fx.raw_files(spark, d, 2).withColumn("ord", -1 - F.col("ord"))
+    return _messages(extract.extract_json(fx.raw_files(spark, d, 0).union(shared)))
 
 
-@query(MESSAGES_SQL.format("trim(text, chr(9)||chr(10)||chr(13)||' ')", "ord % 4 = 3"))
+@query(MESSAGES_SQL.format("trim(text, chr(9)||chr(10)||chr(13)||' ')", "true"))
 def extract_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(extract.extract_markdown(fx.raw_files(spark, d).where("ord % 4 = 3")))
+    return _messages(extract.extract_markdown(fx.raw_files(spark, d, 3)))
+
+
+@query(T + " SELECT ord % 16 AS file, CAST(row_number() OVER (PARTITION BY ord % 16 ORDER BY ord, i) - 1 AS INT) AS at, role, text AS content FROM m")
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of all conversations in 16 JSONL files, which are read in blocks and put together again."""
+    root = folder(spark, "logs")
+    rows = fx.threads(spark, d).select((F.col("ord") % 16).alias("file"), "ord", F.posexplode("messages").alias("i", "m"))
+    rows = rows.repartition("file").sortWithinPartitions("file", "ord", "i")
+    backup.write_lines(rows.select("file", F.struct("m.role", "m.content").alias("line")), f"{root}/.cursor", "file")
+    got = extract.extract_lines(fs.read_lines(spark, f"{root}/.cursor", names="*.txt"))
+    return got.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), F.posexplode("messages").alias("at", "m")).select("file", "at", "m.role", "m.content")
 
 
 @query(MESSAGES_SQL.format("text", "ord % 5 <> 4"))
@@ -411,7 +393,7 @@ SELECT 'imported-sessions.json' AS file, CASE WHEN bare THEN replace(content, ',
 @query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
 def write_and_read_backup(spark: SparkSession, d: str) -> DataFrame:
     """Threads written as a backup and read again."""
-    root = _folder(spark, "backup")
+    root = folder(spark, "backup")
     backup.write_backup(fx.threads(spark, d).drop("ord"), root, "json")
     return fs.read_threads(spark, root, lines=True).select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
 
@@ -419,7 +401,7 @@ def write_and_read_backup(spark: SparkSession, d: str) -> DataFrame:
 @query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
 def write_and_read_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Threads written as JSON lines and imported again."""
-    root = _folder(spark, "lines") + "/threads.jsonl"
+    root = folder(spark, "lines") + "/threads.jsonl"
     backup.write_jsonl(fx.threads(spark, d).drop("ord"), root)
     rows = fs.read_import(spark, root).select(F.from_json("json", THREAD).alias("r")).select("r.*")
     return rows.select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
@@ -427,6 +409,9 @@ def write_and_read_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 @query(T + " SELECT substr(sha1('/home/u/.cursor/chat-' || ord || CASE ord % 4 WHEN 1 THEN '.jsonl' WHEN 3 THEN '.md' ELSE '.json' END),1,16) AS thread_id, 'cursor' AS source FROM th")
 def stream_ingest_files(spark: SparkSession, d: str) -> DataFrame:
-    root = _folder(spark, "ingest")
+    root = folder(spark, "ingest")
     fx.raw_files(spark, d).drop("ord").write.parquet(f"{root}/in")
     return stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").select("thread_id", F.col("meta.source").alias("source"))
+
+
+from threadloom.plans import dialects  # noqa: E402, F401  registers its queries

@@ -20,12 +20,26 @@ STORE_PATTERNS = ["%conversation%", "%aiChat%", "%chat%", "%composer%", "%aiServ
 LARGEST, HEADER, STORE_ROWS = 10 << 20, 512, 2000
 
 
-def read_raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, mtime_ms, size of every log file below the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}").load(root)
+def tool_folders(root: str) -> str:
+    """A pattern for the tools' own folders in the root, itself a path or pattern ("/home/*"). Spark passes over folders
+    whose names begin with a dot, unless a path or pattern names them."""
+    return f"{root.rstrip('/')}/{{{','.join(DEEP)}}}"
+
+
+def read_raw_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """path, content, mtime_ms, size of every log file below the roots, each a path or a pattern."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}").load(list(roots))
     return files.where(F.col("length") <= LARGEST).select("path", F.decode("content", "UTF-8").alias("content"), (F.unix_millis("modificationTime")).cast("double").alias("mtime_ms"), F.col("length").alias("size"))
 
 
+def read_lines(spark: SparkSession, *roots: str, names: str = "*.jsonl") -> DataFrame:
+    """path, block, at, line, mtime_ms, size of every line of the JSONL files below the roots, of any size: a file is cut
+    into blocks that tasks read side by side, and its lines are in order by block (a byte offset) and at."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(list(roots))
+    at = F.col("_metadata")
+    return rows.select(at["file_path"].alias("path"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), F.unix_millis(at["file_modification_time"]).cast("double").alias("mtime_ms"), at["file_size"].alias("size"))
+
+
 def read_kv_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("db_path", "key", "value")
 
