@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import filled, trimmed, utf16_length
@@ -72,28 +72,37 @@ def write_markdown(threads: DataFrame, path: str) -> None:
     markdown_doc(threads).select(F.regexp_replace("markdown", r"\A\n", "")).write.mode("overwrite").text(path)
 
 
+def _last_of(rows: DataFrame, *order: str) -> DataFrame:
+    """file, content of the last row of each file. Only names and positions are grouped; the contents join back once."""
+    last = rows.groupBy("file").agg(F.max(F.struct(*order)).alias("last")).select("file", *[F.col(f"last.{c}").alias(c) for c in order])
+    return rows.join(last, ["file", *order], "left_semi").select("file", "content")
+
+
 def to_native(threads: DataFrame, tool: str) -> DataFrame:
-    """file, content: what the tool reads. Rows of array files are the array's elements; equal names: the last wins."""
+    """file, content: what the tool reads. Rows of array files are the array's elements; of equal names of other files the
+    last wins, by ord and then by the message's place. Fields without a value are left out."""
     created = F.col("meta.created_at")
+    short = lambda c: F.left(F.md5(F.coalesce(c, F.lit(""))), F.lit(8))
     if tool in ("codex", "claude_code"):
         m = threads.select("ord", created.alias("created"), F.posexplode("messages").alias("i", "m"))
-        line = F.to_json(F.struct(F.when(F.col("m.role") == "assistant", "response_item").otherwise("input_text").alias("type"), F.coalesce(filled(F.col("m.timestamp")), "created").alias("timestamp"), F.struct(F.lit("message").alias("type"), F.col("m.role").alias("role"), F.col("m.content").alias("content")).alias("payload")))
-        name = F.concat(F.lit("session-"), F.left(F.md5("m.content"), F.lit(8)), F.lit(".jsonl"))
-        last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("ord"), F.desc("i")))
-        return m.select(name.alias("file"), line.alias("content"), "ord", "i").withColumn("n", last).where("n = 1").select("file", "content")
-    pairs = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    short = F.left(F.md5("thread_id"), F.lit(8))
+        ai = F.col("m.role") == "assistant"
+        payload = F.struct(F.lit("message").alias("type"), F.when(ai, "assistant").otherwise("user").alias("role"), F.col("m.content").alias("content"))
+        line = F.to_json(F.struct(F.when(ai, "response_item").otherwise("input_text").alias("type"), F.coalesce(filled(F.col("m.timestamp")), "created").alias("timestamp"), payload.alias("payload")))
+        name = F.concat(F.lit("session-"), short(F.col("m.content")), F.lit(".jsonl"))
+        return _last_of(m.select(name.alias("file"), line.alias("content"), "ord", "i"), "ord", "i")
     if tool == "cursor":
-        bubbles = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "assistant", "ai").otherwise("human").alias("type"), m["content"].alias("rawText"), F.struct(F.coalesce(filled(m["timestamp"]), created).alias("clientStartTime")).alias("timingInfo")))
+        bubbles = F.transform("messages", lambda m: F.struct(F.when(m["role"] == "assistant", "ai").otherwise("human").alias("type"), m["content"].alias("rawText"), F.struct(m["timestamp"].alias("clientStartTime")).alias("timingInfo")))
         return threads.select(F.lit("sessions.json").alias("file"), F.to_json(F.struct(F.col("thread_id").alias("id"), created.alias("created"), bubbles.alias("messages"))).alias("content"))
-    if tool == "antigravity":
-        front = F.concat(F.lit("---\nname: "), F.coalesce(filled(F.col("meta.prompt")), "thread_id"), F.lit("\nsource: "), F.col("meta.source"), F.lit("\ncreated: "), created, F.lit("\n---\n\n"))
-        body = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("## "), m["role"], F.lit("\n\n"), m["content"], F.lit("\n"))), "\n")
-        return threads.select(F.concat(F.lit("session-"), short, F.lit(".md")).alias("file"), F.concat(front, body).alias("content"))
-    if tool == "cline":
-        return threads.select(F.concat(F.lit("conversation-"), short, F.lit(".jsonl")).alias("file"), F.to_json(F.struct(F.col("thread_id").alias("id"), created.alias("timestamp"), pairs.alias("messages"))).alias("content"))
     if tool == "windsurf":
-        return threads.select(F.lit("conversations.json").alias("file"), F.to_json(F.struct(F.col("thread_id").alias("id"), F.coalesce(filled(F.col("meta.prompt")), "thread_id").alias("title"), pairs.alias("messages"))).alias("content"))
-    if tool == "codebuddy":
-        return threads.select(F.concat(F.lit("session-"), short, F.lit(".jsonl")).alias("file"), F.to_json(F.struct(F.col("thread_id").alias("session_id"), created.alias("created"), pairs.alias("messages"))).alias("content"))
-    return threads.select(F.lit("imported-sessions.json").alias("file"), F.to_json(F.struct("schema_version", "thread_id", "type", "messages", "context", "meta")).alias("content"))
+        return threads.select(F.lit("conversations.json").alias("file"), F.to_json(F.struct(F.col("thread_id").alias("id"), F.col("meta.prompt").alias("title"), "messages")).alias("content"))
+    if tool == "antigravity":
+        front = F.array(F.lit("---"), F.concat(F.lit("name: "), F.coalesce(filled(F.col("meta.prompt")), "thread_id")), F.concat(F.lit("source: "), F.col("meta.source")), F.concat(F.lit("created: "), created), F.lit("---"), F.lit(""))
+        body = F.transform("messages", lambda m: F.concat(F.lit("## "), m["role"], F.lit("\n\n"), m["content"]))
+        name, content = F.concat(F.lit("session-"), short(F.col("thread_id")), F.lit(".md")), F.array_join(F.concat(front, body), "\n")
+    elif tool == "cline":
+        name, content = F.concat(F.lit("conversation-"), short(F.col("thread_id")), F.lit(".jsonl")), F.to_json(F.struct(F.col("thread_id").alias("id"), created.alias("timestamp"), "messages"))
+    elif tool == "codebuddy":
+        name, content = F.concat(F.lit("session-"), short(F.col("thread_id")), F.lit(".jsonl")), F.to_json(F.struct(F.col("thread_id").alias("session_id"), created.alias("created"), "messages"))
+    else:
+        return threads.select(F.lit("imported-sessions.json").alias("file"), F.to_json(F.struct("schema_version", "thread_id", "type", "messages", "context", "meta")).alias("content"))
+    return _last_of(threads.select(name.alias("file"), content.alias("content"), "ord"), "ord")

@@ -40,6 +40,20 @@ def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.union(t.where("ord % 3 = 0").withColumn("ord", F.col("ord") + 1_000_000_000))
 
 
+def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads with a time and a model at every other message and no prompt in every fourth; of every third a first
+    writing without messages, and the later one with a message more."""
+    t = threads(spark, sf_dir)
+    odd = lambda i, v: F.when(i % 2 == 0, v)
+    messages = F.transform("messages", lambda m, i: m.withField("timestamp", odd(i, F.lit("2024-05-01T00:00:00.000Z"))).withField("model", odd(i, F.lit("model-x"))))
+    again = F.array(F.struct(F.lit("user").alias("role"), F.lit("again").alias("content"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("model"))).cast(MESSAGES_DDL)
+    messages = F.when(F.col("ord") % 3 == 0, F.concat(messages, again)).otherwise(messages)
+    prompt = F.when(F.col("ord") % 4 != 1, F.col("meta.prompt"))
+    t = t.withColumns({"messages": messages, "meta": F.col("meta").withField("prompt", prompt)})
+    early = t.where("ord % 3 = 0").withColumns({"messages": F.expr(f"cast(array() as {MESSAGES_DDL})"), "ord": F.col("ord") - (1 << 40)})
+    return t.unionByName(early)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(threads(spark, sf_dir).where("ord % 3 = 0")).select("hash", "sha256", F.col("meta.source").alias("source"), "thread_id", "file")
 

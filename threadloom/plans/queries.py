@@ -361,33 +361,33 @@ def thread_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 def _native(tool: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return convert.to_native(fx.threads(spark, d), tool)
+        return convert.to_native(fx.stamped(spark, d), tool)
 
     QUERIES[f"to_native_{tool}"] = run
 
 
 for _tool in ("cursor", "codex", "claude_code", "antigravity", "cline", "windsurf", "codebuddy", "default"):
     _native(_tool)
-ORACLE_SQL["to_native_antigravity"] = T + """, b AS (SELECT ord, string_agg('## ' || role || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY i) AS body FROM m GROUP BY ord)
-SELECT 'session-' || left(md5(thread_id),8) || '.md' AS file, '---' || chr(10) || 'name: ' || coalesce(nullif(prompt,''), thread_id) || chr(10) || 'source: ' || source || chr(10) || 'created: ' || created_at || chr(10) || '---' || chr(10) || chr(10) || body AS content FROM th JOIN b USING (ord)"""
 
-
-
-
-def _pairs_sql(file: str, content: str) -> str:
-    return T + f""", b AS (SELECT ord, list({{'role': role, 'content': text}} ORDER BY i) AS l FROM m GROUP BY ord) SELECT {file} AS file, CAST(to_json({content}) AS VARCHAR) AS content FROM th JOIN b USING (ord)"""
-
-
-ORACLE_SQL["to_native_cline"] = _pairs_sql("'conversation-' || left(md5(thread_id),8) || '.jsonl'", "{'id': thread_id, 'timestamp': created_at, 'messages': l}")
-ORACLE_SQL["to_native_windsurf"] = _pairs_sql("'conversations.json'", "{'id': thread_id, 'title': coalesce(nullif(prompt,''), thread_id), 'messages': l}")
-ORACLE_SQL["to_native_codebuddy"] = _pairs_sql("'session-' || left(md5(thread_id),8) || '.jsonl'", "{'session_id': thread_id, 'created': created_at, 'messages': l}")
-ORACLE_SQL["to_native_cursor"] = T + """, b AS (SELECT ord, list({'type': CASE WHEN role='assistant' THEN 'ai' ELSE 'human' END, 'rawText': text, 'timingInfo': {'clientStartTime': created_at}} ORDER BY i) AS l FROM m JOIN th USING (ord) GROUP BY ord)
-SELECT 'sessions.json' AS file, CAST(to_json({'id': thread_id, 'created': created_at, 'messages': l}) AS VARCHAR) AS content FROM th JOIN b USING (ord)"""
-ORACLE_SQL["to_native_codex"] = ORACLE_SQL["to_native_claude_code"] = T + """, f AS (SELECT 'session-' || left(md5(text),8) || '.jsonl' AS file, CAST(to_json({'type': CASE WHEN role='assistant' THEN 'response_item' ELSE 'input_text' END, 'timestamp': created_at, 'payload': {'type': 'message', 'role': role, 'content': text}}) AS VARCHAR) AS content, row_number() OVER (PARTITION BY left(md5(text),8) ORDER BY ord DESC, i DESC) AS k FROM m JOIN th USING (ord))
-SELECT file, content FROM f WHERE k = 1"""
-ORACLE_SQL["to_native_default"] = T + """, b AS (SELECT ord, list({'role': role, 'content': text} ORDER BY i) AS l FROM m GROUP BY ord), r AS (SELECT CAST(to_json({'schema_version': '1.0.0', 'thread_id': thread_id, 'type': 'thread', 'messages': l, 'context': {'files': []::VARCHAR[], 'diffs': []::VARCHAR[]},
-'meta': {'source': source, 'project': project, 'created_at': created_at, 'updated_at': created_at, 'file_path': '/home/u/.cursor/history-' || ord || '.json', 'prompt': prompt, 'tokens': tokens, 'recognition_confidence': 'high'}}) AS VARCHAR) AS content, prompt IS NULL AS bare FROM th JOIN b USING (ord))
-SELECT 'imported-sessions.json' AS file, CASE WHEN bare THEN replace(content, ',"prompt":null', '') ELSE content END AS content FROM r"""
+# The stamped threads of fixtures.py in SQL: every other message has a time and a model, every fourth thread no prompt, and
+# a later copy of every third comes with another ending.
+STAMPED = T + """, mm AS (SELECT ord, i, role, text, CASE WHEN i % 2 = 1 THEN '2024-05-01T00:00:00.000Z' END AS ts, CASE WHEN i % 2 = 1 THEN 'model-x' END AS model FROM m UNION ALL SELECT ord, 1 + (SELECT max(i) FROM m x WHERE x.ord = m.ord), 'user', 'again', NULL, NULL FROM m WHERE i = 1 AND ord % 3 = 0),
+tt AS (SELECT ord, thread_id, source, project, created_at, CASE WHEN ord % 4 <> 1 THEN prompt END AS prompt, tokens FROM th),
+j AS (SELECT ord, string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || coalesce(',"timestamp":' || to_json(ts), '') || coalesce(',"model":' || to_json(model), '') || '}', ',' ORDER BY i) AS messages FROM mm GROUP BY ord),
+tj AS (SELECT tt.*, '[' || messages || ']' AS messages, CAST(to_json(thread_id) AS VARCHAR) AS id, CAST(to_json(created_at) AS VARCHAR) AS made FROM tt JOIN j USING (ord))"""
+SHORT = "left(md5(thread_id),8)"
+ORACLE_SQL["to_native_cline"] = STAMPED + f""" SELECT 'conversation-' || {SHORT} || '.jsonl' AS file, '{{"id":' || id || ',"timestamp":' || made || ',"messages":' || messages || '}}' AS content FROM tj"""
+ORACLE_SQL["to_native_codebuddy"] = STAMPED + f""" SELECT 'session-' || {SHORT} || '.jsonl' AS file, '{{"session_id":' || id || ',"created":' || made || ',"messages":' || messages || '}}' AS content FROM tj"""
+ORACLE_SQL["to_native_windsurf"] = STAMPED + """ SELECT 'conversations.json' AS file, '{"id":' || id || coalesce(',"title":' || to_json(prompt), '') || ',"messages":' || messages || '}' AS content FROM tj UNION ALL
+SELECT 'conversations.json', '{"id":' || to_json(thread_id) || coalesce(',"title":' || to_json(prompt), '') || ',"messages":[]}' FROM tt WHERE ord % 3 = 0"""
+ORACLE_SQL["to_native_antigravity"] = STAMPED + f""" SELECT 'session-' || {SHORT} || '.md' AS file, '---' || chr(10) || 'name: ' || coalesce(nullif(prompt,''), thread_id) || chr(10) || 'source: ' || source || chr(10) || 'created: ' || created_at || chr(10) || '---' || chr(10) || chr(10) || body AS content
+FROM tt JOIN (SELECT ord, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) ORDER BY i) AS body FROM mm GROUP BY ord) USING (ord)"""
+ORACLE_SQL["to_native_cursor"] = STAMPED + """, b AS (SELECT ord, string_agg('{"type":"' || CASE WHEN role='assistant' THEN 'ai' ELSE 'human' END || '","rawText":' || to_json(text) || ',"timingInfo":{' || coalesce('"clientStartTime":' || to_json(ts), '') || '}}', ',' ORDER BY i) AS messages FROM mm GROUP BY ord)
+SELECT 'sessions.json' AS file, '{"id":' || to_json(thread_id) || ',"created":' || to_json(created_at) || ',"messages":[' || messages || ']}' AS content FROM tt JOIN b USING (ord) UNION ALL SELECT 'sessions.json', '{"id":' || to_json(thread_id) || ',"created":' || to_json(created_at) || ',"messages":[]}' FROM tt WHERE ord % 3 = 0"""
+ORACLE_SQL["to_native_codex"] = ORACLE_SQL["to_native_claude_code"] = STAMPED + """, f AS (SELECT 'session-' || left(md5(text),8) || '.jsonl' AS file, '{"type":"' || CASE WHEN role='assistant' THEN 'response_item' ELSE 'input_text' END || '","timestamp":' || to_json(coalesce(ts, created_at)) || ',"payload":{"type":"message","role":"' || CASE WHEN role='assistant' THEN 'assistant' ELSE 'user' END || '","content":' || to_json(text) || '}}' AS content,
+ row_number() OVER (PARTITION BY left(md5(text),8) ORDER BY ord DESC, i DESC) AS k FROM mm JOIN tt USING (ord)) SELECT file, content FROM f WHERE k = 1"""
+DEFAULT = """'{"schema_version":"1.0.0","thread_id":' || to_json(thread_id) || ',"type":"thread","messages":' || messages || ',"context":{"files":[],"diffs":[]},"meta":{"source":' || to_json(source) || ',"project":' || to_json(project) || ',"created_at":' || to_json(created_at) || ',"updated_at":' || to_json(created_at) || ',"file_path":"/home/u/.cursor/history-' || ord || '.json"' || coalesce(',"prompt":' || to_json(prompt), '') || ',"tokens":' || tokens || ',"recognition_confidence":"high"}}'"""
+ORACLE_SQL["to_native_default"] = STAMPED + f""" SELECT 'imported-sessions.json' AS file, {DEFAULT} AS content FROM tj UNION ALL SELECT 'imported-sessions.json', {DEFAULT.replace("messages ||", "'[]' ||")} FROM tt WHERE ord % 3 = 0"""
 
 
 @query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
