@@ -122,12 +122,101 @@ def apply(threads: DataFrame, step: Cleaner | str) -> DataFrame:
     return out.withColumn("meta", meta)
 
 
-def clean_pipeline(threads: DataFrame, steps=(mask_secrets, mask_pii, mask_assets, "chitchat", "prune")) -> DataFrame:
+CHAIN = (mask_secrets, mask_pii, mask_assets, "chitchat", "prune")
+
+
+def clean_pipeline(threads: DataFrame, steps=CHAIN) -> DataFrame:
     for step in steps:
         threads = apply(threads, step)
     return threads
 
 
+def kinds(steps=CHAIN) -> list[tuple[str, str]]:
+    """Cleanup and type of each counter of a chain, in order."""
+    own = {"chitchat": [("chitchat", "Fluff_Removed")], "prune": [("prune", "Truncated_Messages")]}
+    return [x for s in steps for x in (own[s] if isinstance(s, str) else [(s.name, kind) for kind, _ in s.steps])]
+
+
+def _counted(text: Column, change, count) -> Column:
+    """State after a change of its text; count(before, after) is added to its counters."""
+    def step(s: Column) -> Column:
+        both = F.transform(F.array(change(s["text"])), lambda t: F.struct(t.alias("text"), F.concat(s["n"], F.array(F.coalesce(count(s["text"], t), F.lit(0)).cast("long"))).alias("n")))
+        return F.get(both, F.lit(0))
+
+    return F.transform(text, step)
+
+
+def _fluff(state: Column) -> Column:
+    """Takes filler out, pattern by pattern; each that changes the text counts, trimming included."""
+    zero = lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n"), F.lit(0).cast("long").alias("k"))
+    state = F.transform(state, zero)
+    patterns = [lambda t, p=p: F.regexp_replace(t, p, "") for p in OPENINGS] + [lambda t, p=p, h=h: _where_held(t, h, lambda x: F.regexp_replace(x, rf"(?s)\A(.*?)(?m:(?-s:^{p}))", "$1")) for p, h in zip(LINES, LINE_HINTS)]
+
+    def without(change):
+        return lambda s: F.get(F.transform(F.array(trimmed(change(s["text"]))), lambda t: F.struct(t.alias("text"), s["n"].alias("n"), (s["k"] + F.when(t != s["text"], 1).otherwise(0)).cast("long").alias("k"))), F.lit(0))
+
+    for change in patterns:
+        state = F.transform(state, without(change))
+    return F.transform(state, lambda s: F.struct(s["text"].alias("text"), F.concat(s["n"], F.array(s["k"])).alias("n")))
+
+
+def _worked(text: Column, steps, role: Column | None = None, field: str | None = None) -> Column:
+    """text and n (the chain's counters) of a message's text or a meta field, in an array of one. Steps that don't touch the
+    text count 0."""
+    state = F.array(F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("n")))
+    idle = lambda k: lambda s: F.struct(s["text"].alias("text"), F.concat(s["n"], F.array_repeat(F.lit(0).cast("long"), k)).alias("n"))
+    for s in steps:
+        if isinstance(s, Cleaner):
+            if field is not None and field not in s.fields:
+                state = F.transform(state, idle(len(s.steps)))
+                continue
+            for kind, pattern in s.steps:
+                state = F.transform(state, s._counting(kind, pattern))
+        elif field is not None:
+            state = F.transform(state, idle(1))
+        elif s == "chitchat":
+            state = F.when(role == "assistant", _fluff(state)).otherwise(F.transform(state, idle(1)))
+        else:
+            state = _counted(state, prune_long, lambda before, after: F.when(utf16_length(before) > LONGEST, 1))
+    return state
+
+
+def clean_chain(threads: DataFrame, steps=CHAIN) -> DataFrame:
+    """The threads as clean_pipeline leaves them, and cleaned: the counters of kinds(steps) for each, from the same pass.
+
+    Null texts stay null and count nothing; other columns are kept."""
+    fields = sorted({f for s in steps if isinstance(s, Cleaner) for f in s.fields})
+    parts = F.transform("messages", lambda m: F.get(F.transform(_worked(m["content"], steps, m["role"]), lambda s: F.struct(m.withField("content", s["text"]).alias("m"), s["n"].alias("n"))), F.lit(0)))
+    work = F.struct(parts.alias("messages"), *[F.get(_worked(F.col(f"meta.{f}"), steps, field=f), F.lit(0)).alias(f) for f in fields])
+    names = [c for c in threads.columns if c not in ("messages", "meta")]
+    rows = threads.select(*names, "meta", F.inline(F.array(F.struct(work.alias("w_")))))  # worked out once a row
+    zero = F.array_repeat(F.lit(0).cast("long"), len(kinds(steps)))
+    total = F.aggregate(F.concat(F.coalesce("w_.messages.n", F.array().cast("array<array<bigint>>")), F.array(*[F.col(f"w_.{f}.n") for f in fields])), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    meta = F.col("meta")
+    for f in fields:
+        meta = meta.withField(f, F.col(f"w_.{f}.text"))
+    new = {"messages": F.col("w_.messages.m").alias("messages"), "meta": meta.alias("meta")}
+    return rows.select(*[new.get(c, F.col(c)) for c in threads.columns], total.alias("cleaned"))
+
+
+def chain_stats(cleaned: DataFrame, steps=CHAIN) -> DataFrame:
+    """cleanup, type, matches, records_scanned, records_modified (by the cleanup) from the counters of clean_chain only."""
+    names = kinds(steps)
+    own = lambda c: [i for i, (name, _) in enumerate(names) if name == c]
+    n = F.col("cleaned")
+    sums = [F.coalesce(F.sum(n[i]), F.lit(0)).alias(f"n{i}") for i in range(len(names))]
+    changed = {c: F.count_if(F.aggregate(F.array(*[n[i] for i in own(c)]), F.lit(0).cast("long"), lambda a, x: a + x) > 0).alias(f"r_{c}") for c in dict.fromkeys(c for c, _ in names)}
+    one = cleaned.select("cleaned").agg(F.count("*").alias("rows"), *sums, *changed.values())
+    lines = [F.struct(F.lit(c).alias("cleanup"), F.lit(k).alias("type"), F.col(f"n{i}").alias("matches"), F.col("rows").alias("records_scanned"), F.col(f"r_{c}").alias("records_modified")) for i, (c, k) in enumerate(names)]
+    return one.select(F.inline(F.array(*lines)))
+
+
+def write_cleaned(threads: DataFrame, path: str, steps=CHAIN) -> DataFrame:
+    """Write the cleaned threads with their counters as Parquet, and return the statistics, which read that column only."""
+    clean_chain(threads, steps).write.mode("overwrite").parquet(path)
+    return chain_stats(threads.sparkSession.read.parquet(path), steps)
+
+
 def clean_stats(threads: DataFrame, cleaner: Cleaner) -> DataFrame:
     """type, matches, records_scanned, records_modified of one masker over messages and its meta fields."""
     texts = F.concat(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), F.array(*[F.coalesce(F.col(f"meta.{f}"), F.lit("")) for f in cleaner.fields]))

@@ -68,6 +68,21 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*_record(n, message, _day(n)))
 
 
+def riddled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted documents with what every other masker and filler pattern looks for, and a prompt of its own."""
+    t = planted(spark, sf_dir)
+    n, key = F.col("ord"), F.lpad(F.col("ord").cast("string"), 36, "k")
+    some = lambda k, text: F.when(n % k == 0, text).otherwise("")
+    block = lambda kind: F.concat(F.lit(f"\n-----BEGIN {kind}-----\nab"), n.cast("string"), F.lit(f"\n-----END {kind}-----\n"))
+    text = F.concat(
+        F.col("messages")[0]["content"], some(2, F.concat(F.lit(" ghp_"), key, F.lit(" gho_"), key)), some(3, F.concat(F.lit(" sk-"), key, F.lit(" sk-ant-api03-x_"), n.cast("string"))), some(5, F.lit(" bce-v3/Ab/9 ALTAK-x9")), some(7, F.lit(" id 110101199003071234 mail a.b@c.org")),
+        some(2, F.lit(" at mysql://u:p@db.example:3306/main and")), some(3, block("RSA PRIVATE KEY")), some(4, block("CERTIFICATE")), some(5, F.lit("\nIf you have any more questions, feel free to ask!")),
+    )
+    user = F.struct(F.lit("user").alias("role"), F.concat(F.lit("Sure, I can help you with that. mail u@v.org "), F.repeat(F.lit("long "), (n % 1000).cast("int"))).alias("content"), F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("model"))
+    messages = F.array(user, F.col("messages")[0].withField("content", text)).cast(MESSAGES_DDL)
+    return t.withColumns({"messages": messages, "meta": F.col("meta").withField("prompt", F.concat(F.lit("ask 13912345678 AKIA"), F.lpad(n.cast("string"), 16, "0")))})
+
+
 def raw_files(spark: SparkSession, sf_dir: str, dialect: int | None = None) -> DataFrame:
     """The threads as raw files in one of four dialects, or in all by ord % 4: JSON messages, JSONL lines, shared
     conversations, Markdown."""

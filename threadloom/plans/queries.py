@@ -222,6 +222,54 @@ def clean_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return clean.clean_pipeline(fx.planted(spark, d)).select("ord", F.col("messages")[0]["content"].alias("content"))
 
 
+# The riddled documents of fixtures.py in SQL: a row for each text, with its role (null: the prompt).
+RIDDLED = DOC + """, x AS (SELECT doc_id, 'assistant' AS role, t || (CASE WHEN doc_id % 2 = 0 THEN ' ghp_' || k || ' gho_' || k ELSE '' END) || (CASE WHEN doc_id % 3 = 0 THEN ' sk-' || k || ' sk-ant-api03-x_' || doc_id ELSE '' END) || (CASE WHEN doc_id % 5 = 0 THEN ' bce-v3/Ab/9 ALTAK-x9' ELSE '' END) || (CASE WHEN doc_id % 7 = 0 THEN ' id 110101199003071234 mail a.b@c.org' ELSE '' END)
+ || (CASE WHEN doc_id % 2 = 0 THEN ' at mysql://u:p@db.example:3306/main and' ELSE '' END) || (CASE WHEN doc_id % 3 = 0 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'ab' || doc_id || chr(10) || '-----END RSA PRIVATE KEY-----' || chr(10) ELSE '' END)
+ || (CASE WHEN doc_id % 4 = 0 THEN chr(10) || '-----BEGIN CERTIFICATE-----' || chr(10) || 'ab' || doc_id || chr(10) || '-----END CERTIFICATE-----' || chr(10) ELSE '' END) || (CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'If you have any more questions, feel free to ask!' ELSE '' END) AS c0 FROM (SELECT *, lpad(CAST(doc_id AS VARCHAR), 36, 'k') AS k FROM d)
+UNION ALL SELECT doc_id, 'user', 'Sure, I can help you with that. mail u@v.org ' || repeat('long ', doc_id % 1000) FROM d
+UNION ALL SELECT doc_id, NULL, 'ask 13912345678 AKIA' || lpad(CAST(doc_id AS VARCHAR),16,'0') FROM d)"""
+_edge = lambda body, own, most=2: [("(^|[^" + own + "])" + body + "($|[^" + own + "])", "\\1{mask}\\2")] * most
+_plain = lambda body: [(body, "{mask}")]
+MASKERS = {
+    "secrets": ("***MASKED***", [(k, _plain(KEYS_SQL[k])) for k in KEYS_SQL] + [("AWS_AccessKey", _edge("(?:AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}", "A-Z0-9"))]),
+    "pii": ("***PII_MASKED***", [("ID_Card", _edge("[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9X]", "0-9")), ("Phone", _edge("1[3-9][0-9]{9}", "0-9")), ("Bank_Card", _edge("[1-9][0-9]{12,18}", "0-9")), ("Email", _plain("[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"))]),
+    "assets": ("***ASSET_MASKED***", [("DB_URI", _plain("(?:mysql|postgresql|mongodb|redis|mssql)://[a-zA-Z0-9_.-]+:[a-zA-Z0-9_.-]+@[a-zA-Z0-9.-]+(?::[0-9]+)?/[a-zA-Z0-9_.-]*")), ("Internal_IP", _edge("(?:10\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}|192\\.168\\.[0-9]{1,3}\\.[0-9]{1,3}|172\\.(?:1[6-9]|2[0-9]|3[01])\\.[0-9]{1,3}\\.[0-9]{1,3})", "0-9")),
+               ("RSA_Private_Key", _plain("(?s)-----BEGIN RSA PRIVATE KEY-----.+?-----END RSA PRIVATE KEY-----")), ("Certificate", _plain("(?s)-----BEGIN CERTIFICATE-----.+?-----END CERTIFICATE-----"))]),
+}
+
+
+def _chain_sql() -> str:
+    """Each pattern's text from the one before, and how many more masks it holds."""
+    steps, counts, last = [], [], "c0"
+    for cleanup, (mask, types) in MASKERS.items():
+        for kind, patterns in types:
+            new = last
+            for body, to in patterns:
+                new = f"regexp_replace({new}, '{body}', '{to.format(mask=mask)}', 'g')"
+            name = f"c{len(steps) + 1}"
+            steps.append(f"SELECT *, {new} AS {name} FROM (@)")
+            masks = lambda c, mask=mask: f"(len({c}) - len(replace({c}, '{mask}', ''))) // {len(mask)}"
+            counts.append((cleanup, kind, f"{masks(name)} - {masks(last)}"))
+            last = name
+    blank = "chr(9)||chr(10)||chr(13)||' '"
+    steps.append(f"SELECT *, CASE WHEN role = 'assistant' THEN trim(regexp_replace({last}, '(?i)^Sure, I can help you with that\\.?[ \\t\\r\\n]*', ''), {blank}) ELSE {last} END AS f1 FROM (@)")
+    steps.append(f"SELECT *, CASE WHEN role = 'assistant' THEN trim(regexp_replace(f1, '(?m)^If you have any more questions, feel free to ask![ \\t\\r\\n]*$', ''), {blank}) ELSE f1 END AS f2 FROM (@)")
+    counts += [("chitchat", "Fluff_Removed", f"CAST(f1 <> {last} AS INT) + CAST(f2 <> f1 AS INT)"), ("prune", "Truncated_Messages", "CASE WHEN role IS NOT NULL AND len(f2) > 3000 THEN 1 ELSE 0 END")]
+    rows = "SELECT * FROM x"
+    for s in steps:
+        rows = s.replace("(@)", f"({rows})")
+    each = ", ".join(f"sum({c}) AS n{i}" for i, (_, _, c) in enumerate(counts))
+    own = lambda name: " + ".join(f"n{i}" for i, (c, _, _) in enumerate(counts) if c == name)
+    out = " UNION ALL ".join(f"SELECT '{c}' AS cleanup, '{k}' AS type, CAST(sum(n{i}) AS BIGINT) AS matches, count(*) AS records_scanned, count(*) FILTER (WHERE {own(c)} > 0) AS records_modified FROM w" for i, (c, k, _) in enumerate(counts))
+    return f"{RIDDLED}, w AS (SELECT doc_id, {each} FROM ({rows}) GROUP BY doc_id) {out}"
+
+
+@query(_chain_sql())
+def clean_chain_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cleaned by all five cleanups and written; matches of every type from the same pass."""
+    return clean.write_cleaned(fx.riddled(spark, d), folder(spark, "cleaned"))
+
+
 @query(T + " SELECT count(*) AS total, count(*) AS valid, CAST(0 AS BIGINT) AS invalid FROM th")
 def validation_summary(spark: SparkSession, d: str) -> DataFrame:
     return validate.validation_summary(validate.validate_threads(fx.threads(spark, d)))
