@@ -12,7 +12,7 @@ from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import DOC, ORACLE_SQL, P, QUERIES, SUMS, T, folder, query
 from threadloom.schema import THREAD
 from threadloom.sources import files as fs
-from threadloom.streaming.ingest import stream_ingest
+from threadloom.streaming.ingest import stream_files, stream_ingest
 
 def _flat(threads: DataFrame) -> DataFrame:
     return threads.select("ord", "thread_id", F.col("meta.source").alias("source"))
@@ -462,4 +462,32 @@ def stream_ingest_files(spark: SparkSession, d: str) -> DataFrame:
     return stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").select("thread_id", F.col("meta.source").alias("source"))
 
 
+SECTIONS = T + " SELECT ord // 100 AS file, CAST(row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, i) - 1 AS INT) AS at, role, trim(text, chr(9)||chr(10)||chr(13)||' ') AS content FROM m"
+
+
+def _section_files(spark: SparkSession, d: str) -> str:
+    """A folder of text files with the messages of a hundred conversations each, as Markdown sections."""
+    root = folder(spark, "notes")
+    rows = fx.threads(spark, d).select(F.floor(F.col("ord") / 100).alias("file"), "ord", F.posexplode("messages").alias("i", "m")).repartition("file").sortWithinPartitions("file", "ord", "i")
+    rows.select("file", F.concat(F.lit("## "), F.initcap("m.role"), F.lit("\n"), "m.content").alias("value")).write.partitionBy("file").text(f"{root}/history")
+    return root
+
+
+def _sections(threads: DataFrame) -> DataFrame:
+    return threads.select(F.regexp_extract("meta.file_path", "file=([0-9]+)", 1).cast("long").alias("file"), F.posexplode("messages").alias("at", "m")).select("file", "at", "m.role", "m.content")
+
+
+@query(SECTIONS)
+def read_raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """Log files read whole and normalised."""
+    return _sections(extract.normalize_raw(fs.candidate_files(fs.read_raw_files(spark, _section_files(spark, d)))))
+
+
+@query(SECTIONS)
+def stream_raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """Log files that arrive in a folder, normalised batch by batch."""
+    root = _section_files(spark, d)
+    return _sections(stream_files(spark, f"{root}/history", f"{root}/out", f"{root}/state", 100))
+
+
 from threadloom.plans import dialects  # noqa: E402, F401  registers its queries

@@ -26,10 +26,15 @@ def tool_folders(root: str) -> str:
     return f"{root.rstrip('/')}/{{{','.join(DEEP)}}}"
 
 
+def raw_columns(files: DataFrame, most: int = LARGEST) -> DataFrame:
+    """path, content, mtime_ms, size of binary files of at most so many bytes."""
+    return files.where(F.col("length") <= most).select("path", F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").cast("double").alias("mtime_ms"), F.col("length").alias("size"))
+
+
 def read_raw_files(spark: SparkSession, *roots: str) -> DataFrame:
     """path, content, mtime_ms, size of every log file below the roots, each a path or a pattern."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}").load(list(roots))
-    return files.where(F.col("length") <= LARGEST).select("path", F.decode("content", "UTF-8").alias("content"), (F.unix_millis("modificationTime")).cast("double").alias("mtime_ms"), F.col("length").alias("size"))
+    return raw_columns(files)
 
 
 def read_lines(spark: SparkSession, *roots: str, names: str = "*.jsonl") -> DataFrame:
