@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words in a lowered path and the tool they name, in the order of the tests.
 TOOLS = {
@@ -80,5 +81,20 @@ def thread_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat(*parts)), 1, 16)
 
 
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_fields(x, kind.elementType))
+    return value
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """JSON with the fields of every object by name and without nulls, so that neither the order of columns nor a new column
+    without values changes it."""
+    return F.to_json(_sorted_fields(value, kind))
+
+
 def content_hash(record: Column) -> Column:
     return F.substring(F.sha1(record), 1, 12)

@@ -33,6 +33,13 @@ def thread_totals(threads: DataFrame) -> DataFrame:
     return _slim(threads, []).agg(*_measures()).withColumnRenamed("threads", "total_records")
 
 
+def thread_report(threads: DataFrame, dims: list[str] = ["project", "source"]) -> DataFrame:  # noqa: B006
+    """thread_stats and thread_totals in one pass: the groups, and a row with is_total and no dimensions for all threads.
+    Without threads there are no rows."""
+    rows = _slim(threads, dims)
+    return rows.groupingSets([[F.col(c) for c in dims], []], *[F.col(c) for c in dims]).agg((F.grouping(F.col(dims[0])) == 1).alias("is_total"), *_measures())
+
+
 def rank_groups(stats: DataFrame, dims: list[str]) -> DataFrame:
     return stats.orderBy(F.desc("threads"), *dims)
 
@@ -66,6 +73,17 @@ def list_threads(threads: DataFrame, page: int = 1, size: int = 50, source: str
     return items.crossJoin(F.broadcast(threads.agg(F.count("*").alias("total"))))  # one row
 
 
+def list_after(threads: DataFrame, after: tuple[str, str] | None = None, size: int = 50, source: str | None = None, search: str | None = None) -> DataFrame:
+    """The threads that come after (source, thread_id), without messages and context. Each page costs the same, however deep:
+    the condition cuts rows in the scan, and tasks send on a page of rows at most."""
+    size = max(1, min(size, 200))
+    threads = filter_source(threads, source) if source else threads
+    threads = search_threads(threads, search) if search else threads
+    if after is not None:
+        threads = threads.where((F.col("meta.source") > after[0]) | ((F.col("meta.source") == after[0]) & (F.col("thread_id") > after[1])))
+    return threads.drop("messages", "context").orderBy("meta.source", "thread_id").limit(size)
+
+
 def filter_source(threads: DataFrame, source: str) -> DataFrame:
     return threads.where(F.col("meta.source") == source)
 

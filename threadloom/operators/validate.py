@@ -5,11 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.json_schema import faults
+
 # Allowed types, sources and confidence levels.
 TYPES = ["thread", "plan", "task", "walkthrough", "artifact", "mcp", "rule", "config"]
 SOURCES = ["cursor", "antigravity", "codex", "augment", "claude_code", "iflow", "trae", "codebuddy", "qoder", "windsurf", "vscode_copilot", "imported", "api_capture", "unknown", "other"]
 LEVELS = ["high", "low", "unknown"]
 
+TEXT, OBJECT = {"type": "string"}, {"type": "object"}
+_pairs = lambda a, b: {"type": "array", "items": OBJECT | {"properties": {a: TEXT, b: TEXT}}}
+# The record's schema.
+SCHEMA = OBJECT | {
+    "required": ["schema_version", "thread_id", "messages", "meta"],
+    "properties": {
+        "schema_version": TEXT | {"pattern": r"^\d+\.\d+\.\d+$"},
+        "thread_id": TEXT | {"minLength": 1},
+        "type": TEXT | {"enum": TYPES},
+        "messages": {"type": "array", "items": OBJECT | {"required": ["role", "content"], "properties": {"role": TEXT, "content": TEXT, "timestamp": TEXT, "model": TEXT, "meta": OBJECT}}},
+        "context": OBJECT | {"properties": {"files": _pairs("path", "snippet"), "diffs": _pairs("path", "patch")}},
+        "meta": OBJECT | {
+            "required": ["source", "project", "created_at"],
+            "properties": {
+                "source": TEXT | {"enum": SOURCES}, "project": TEXT, "created_at": TEXT, "model": {"type": ["string", "null"]}, "file_path": TEXT, "tokens": {"type": "integer", "minimum": 0}, "prompt": TEXT,
+                "recognition_confidence": TEXT | {"enum": LEVELS}, "source_detail": TEXT, "tool_version": TEXT, "warnings": {"type": "array", "items": TEXT}, "extra": OBJECT,
+            },
+        },
+    },
+}
+
+
+def validate_json(rows: DataFrame, column: str = "json", schema: dict = SCHEMA) -> DataFrame:
+    """Adds errors ("<path> <message>", in the schema's order) and valid to rows of records as JSON text, whatever their types.
+    A text that is no JSON has one error, a null text too."""
+    v = F.try_parse_json(column)
+    errors = F.coalesce(faults(v, schema), F.array(F.lit("(root) must be JSON")))
+    return rows.select("*", F.inline(F.array(F.struct(errors.alias("errors"))))).withColumn("valid", F.size("errors") == 0)
+
 
 def validate_threads(threads: DataFrame, sources: list[str] = SOURCES) -> DataFrame:
     """ord, thread_id, valid, errors ("<path> <message>")."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,6 +464,83 @@ def stream_ingest_files(spark: SparkSession, d: str) -> DataFrame:
     return stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").select("thread_id", F.col("meta.source").alias("source"))
 
 
+FAULTS: list[tuple[str, str, str]] = [
+    ('"schema_version":"1.0.0"', '"schema_version":"1.0"', '/schema_version must match pattern "^\\d+\\.\\d+\\.\\d+$"'),
+    ('"schema_version":"1.0.0",', "", "(root) must have required property 'schema_version'"),
+    ('"thread_id":"', '"thread_id":"","t":"', "/thread_id must not have fewer than 1 characters"),
+    ('"thread_id":"', '"thread_id":5,"t":"', "/thread_id must be string"),
+    ('"type":"thread"', '"type":"talk"', "/type must be equal to one of the allowed values"),
+    ('"type":"thread"', '"type":null', "/type must be string;/type must be equal to one of the allowed values"),
+    ('"messages":[', '"messages":{},"m":[', "/messages must be array"),
+    ('"messages":[{"role":', '"messages":[5,{"r":', "/messages/0 must be object;/messages/1 must have required property ''role''"),
+    ('"messages":[{"role":', '"messages":[{"model":1,"content":[],"timestamp":"x","meta":{}},{"role":', "/messages/0 must have required property ''role'';/messages/0/content must be string;/messages/0/model must be string"),
+    ('"files":[]', '"files":[{"path":"p","snippet":7},{"path":null}]', "/context/files/0/snippet must be string;/context/files/1/path must be string"),
+    ('"context":{', '"context":"x","c":{', "/context must be object"),
+    ('"source":"', '"source":"nobody","s":"', "/meta/source must be equal to one of the allowed values"),
+    ('"project":"', '"p":"', "/meta must have required property ''project''"),
+    ('"tokens":', '"tokens":"x","k":', "/meta/tokens must be integer"),
+    ('"tokens":', '"tokens":-1,"k":', "/meta/tokens must be >= 0"),
+    ('"tokens":', '"tokens":1.5,"k":', "/meta/tokens must be integer"),
+    ('"tokens":', '"tokens":3.0,"k":', ""),
+    ('"meta":{', '"meta":{"warnings":3,"model":null,"extra":[],"tool_version":false,', "/meta/tool_version must be string;/meta/warnings must be array;/meta/extra must be object"),
+    ('"meta":{', '"meta":{"warnings":["a",1],"model":5,', "/meta/model must be string,null;/meta/warnings/1 must be string"),
+    ('"recognition_confidence":"high"', '"recognition_confidence":"sure"', "/meta/recognition_confidence must be equal to one of the allowed values"),
+    ('{"schema_version"', '[1,{"schema_version"', "(root) must be JSON"),
+    ("{", "{", ""),
+]
+
+
+@query(T + f" SELECT ord, CASE ord % {len(FAULTS)} " + " ".join("WHEN {} THEN '{}'".format(k, e.replace("''", "'").replace("'", "''")) for k, (_, _, e) in enumerate(FAULTS)) + " END AS errors FROM th")
+def validate_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Every thread as JSON with a fault, and what the schema says of it."""
+    part = lambda at: F.get(F.array(*[F.lit(f[at]) for f in FAULTS]), (F.col("ord") % len(FAULTS)).cast("int"))
+    rows = fx.threads(spark, d).select("ord", F.to_json(F.struct(*backup.RECORD)).alias("json"))
+    place = F.call_function("locate", part(0), F.col("json"))
+    once = F.concat(F.left("json", place - 1), part(1), F.substring("json", place + F.length(part(0)), F.length("json")))
+    return validate.validate_json(rows.select("ord", once.alias("json"))).select("ord", F.array_join("errors", ";").alias("errors"))
+
+
+CANONICAL = T + """, b AS (SELECT ord, string_agg('{"content":' || to_json(text) || ',"role":' || to_json(role) || '}', ',' ORDER BY i) AS messages FROM m GROUP BY ord),
+r AS (SELECT th.*, '{"context":{"diffs":[],"files":[]},"messages":[' || messages || '],"meta":{"created_at":' || to_json(created_at) || ',"file_path":"/home/u/.cursor/history-' || ord || '.json","project":' || to_json(project) || coalesce(',"prompt":' || to_json(prompt), '') || ',"recognition_confidence":"high","source":' || to_json(source) || ',"tokens":' || CAST(tokens AS BIGINT) || ',"updated_at":' || to_json(created_at) || '},"schema_version":"1.0.0","thread_id":' || to_json(thread_id) || ',"type":"thread"}' AS j FROM th JOIN b USING (ord)),
+h AS (SELECT ord, source, left(sha1(j), 12) AS hash, sha256(j) AS sha256, trim(left(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(prompt, thread_id)), '[\\x00-\\x1f\\x7f]', '', 'g'), '[/?%*:|"<>\\\\]', '-', 'g'), '[ \\t\\r\\n]+', '_', 'g'), 50), '_') AS slug FROM r)"""
+
+
+@query(CANONICAL + " SELECT ord, hash, sha256, source || '-' || (CASE WHEN slug = '' THEN 'untitled' ELSE slug END) || '-' || hash || '.json' AS file FROM h")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Hash, checksum and file name of each thread, whatever the order of its columns."""
+    t = fx.threads(spark, d)
+    swapped = t.select(*reversed(t.columns)).withColumn("meta", F.struct(*[F.col(f"meta.{f.name}").alias(f.name) for f in reversed(t.schema["meta"].dataType.fields)], F.lit(None).cast("string").alias("added")))
+    return backup.hashed(swapped).select("ord", "hash", "sha256", "file")
+
+
+@query(T + " SELECT project, source, false AS is_total, " + SUMS.format("threads") + " FROM th GROUP BY project, source UNION ALL SELECT NULL, NULL, true, " + SUMS.format("threads") + " FROM th")
+def thread_report(spark: SparkSession, d: str) -> DataFrame:
+    return stats.thread_report(fx.threads(spark, d))
+
+
+@query(T + " SELECT thread_id, source FROM th WHERE (source, thread_id) > ('codex', '12') ORDER BY source, thread_id LIMIT 20")
+def list_threads_after(spark: SparkSession, d: str) -> DataFrame:
+    return stats.list_after(fx.threads(spark, d), ("codex", "12"), 20).select("thread_id", F.col("meta.source").alias("source"))
+
+
+@query(T + " SELECT ord, thread_id, source FROM th WHERE ord % 3 <> 0")
+def incremental_from_table(spark: SparkSession, d: str) -> DataFrame:
+    """New threads against a manifest that is kept as a table in buckets."""
+    path = folder(spark, "manifest")
+    table = "manifest_" + re.sub(r"\W", "_", path)[-40:]
+    backup.save_manifest(fx.manifest(spark, d), table, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _flat(backup.incremental_new(backup.hashed(fx.threads(spark, d)), spark.table(table)))
+
+
+@query(T + " SELECT ord, CAST(tokens AS BIGINT) AS tokens, CAST(n AS INT) AS n, source, prompt FROM th")
+def write_backup_again(spark: SparkSession, d: str) -> DataFrame:
+    """Threads backed up in two runs, each of them twice, and read again."""
+    root, t = folder(spark, "backup"), fx.threads(spark, d)
+    for k in (0, 0, 1, 1):
+        backup.write_backup(t.where(F.col("ord") % 2 == k).drop("ord"), root, run=str(k))
+    return spark.read.parquet(root).select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
+
+
 SECTIONS = T + " SELECT ord // 100 AS file, CAST(row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, i) - 1 AS INT) AS at, role, trim(text, chr(9)||chr(10)||chr(13)||' ') AS content FROM m"
 
 
