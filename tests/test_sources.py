@@ -91,3 +91,32 @@ def test_backup_twice(spark, tmp_path):
 def test_dedupe_with_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "")], "ord long, thread_id string")
     assert sorted(r["ord"] for r in backup.dedupe_threads(rows).collect()) == [1, 3, 5]
+
+
+def test_search_reads_candidate_files_only(spark, tmp_path):
+    from threadloom.operators import search, stats
+
+    t = fixtures.threads(spark, DATA).drop("ord").withColumn("type", F.when(F.col("meta.source") == "codex", "Zürich-Only").otherwise(F.col("type")))
+    backup.write_backup(t, f"{tmp_path}/b")
+    search.write_index(spark, f"{tmp_path}/b", f"{tmp_path}/i")
+    files = search.candidate_files(spark, f"{tmp_path}/i", "züRICH-only")
+    assert files and all("/source=codex/" in f for f in files)
+    for text in ("züRICH-only", "the", "e", "", "no such text anywhere", "\U0001f600"):
+        got = search.search_backup(spark, f"{tmp_path}/b", f"{tmp_path}/i", text)
+        assert sorted(r["thread_id"] for r in got.collect()) == sorted(r["thread_id"] for r in stats.search_threads(t, text).collect())
+
+
+def test_imports(spark, tmp_path):
+    from threadloom.operators import imports
+
+    none = spark.createDataFrame([], "hash string")
+    for name, text in {"a.json": '[{"messages":[{"role":"user","content":"x"}]}, {"schema_version":"1.0.0","thread_id":"t","messages":[],"meta":{"project":"p"}}]', "b.json": '{"conversation":[{"role":"user","content":"x"}]}', "c.jsonl": '{"role":"user","content":"x"}\n\n{oops\n{"role":"user","content":"y"}\n{"role":"user","content":"x"}\n', "d.json": "{oops", "e.jsonl": ""}.items():
+        (tmp_path / name).write_text(text)
+        got = {apart: imports.import_records(spark, f"{tmp_path}/{name}", none, 0, f"/u/{name}", apart).collect() for apart in (False, True)}
+        want = {"a.json": 2, "b.json": 1, "c.jsonl": 2, "d.json": 0, "e.jsonl": 0}[name]
+        assert len(got[False]) == len(got[True]) == want, name
+        assert len({r["thread_id"] for r in got[True]}) == want and len({r["thread_id"] for r in got[False]}) == (1 if name == "c.jsonl" else want)
+        assert all(r["file"] == f"imported-{r['hash']}.json" for r in got[True])
+        assert [r["meta"]["source"] for r in got[True] if r["thread_id"] == "t"] == ["imported"] * (name == "a.json")
+        again = spark.createDataFrame([(r["hash"],) for r in got[True]], "hash string")
+        assert imports.import_records(spark, f"{tmp_path}/{name}", again, 0, f"/u/{name}", True).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import classify
 from threadloom.functions import text as tx
-from threadloom.operators import backup, clean, convert, extract, stats, validate
+from threadloom.operators import backup, clean, convert, extract, imports, search, stats, validate
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import DOC, ORACLE_SQL, P, QUERIES, SUMS, T, folder, query
 from threadloom.schema import THREAD
@@ -541,6 +541,88 @@ def write_backup_again(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(root).select(F.col("thread_id").cast("long").alias("ord"), "meta.tokens", F.size("messages").alias("n"), "meta.source", "meta.prompt")
 
 
+@query(T + " SELECT DISTINCT ord, source FROM th JOIN m USING (ord) WHERE contains(lower(text), 'that')")
+def search_backup(spark: SparkSession, d: str) -> DataFrame:
+    """A text looked for in a backup with an index of trigrams."""
+    root = folder(spark, "searched")
+    backup.write_backup(fx.threads(spark, d).drop("ord"), f"{root}/threads")
+    search.write_index(spark, f"{root}/threads", f"{root}/index")
+    return search.search_backup(spark, f"{root}/threads", f"{root}/index", "That").select(F.col("thread_id").cast("long").alias("ord"), "meta.source")
+
+
+IMPORTED = T + """, b AS (SELECT ord, string_agg(role || ':' || text, '|' ORDER BY i) AS t, count(*) AS n FROM m GROUP BY ord)
+SELECT CASE ord % 3 WHEN 0 THEN source ELSE 'claude_code' END AS source, CAST(n AS INT) AS n, md5(t) AS texts FROM th JOIN b USING (ord) WHERE ord % 3 < 2
+UNION ALL SELECT CASE WHEN ord % 2 = 0 THEN source ELSE 'imported' END, CAST(0 AS INT), md5('') FROM th WHERE ord % 3 = 2"""
+
+
+@query(IMPORTED.replace("CAST(n AS INT) AS n", "CAST(b.n AS INT) AS n"))
+def import_records(spark: SparkSession, d: str) -> DataFrame:
+    """A dump of unified records, some without a source, and of records of another shape, with bad lines and repeats."""
+    root = folder(spark, "dump") + "/dump.jsonl"
+    t = fx.threads(spark, d)
+    pairs = F.to_json(F.struct(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")))
+    bare = t.withColumns({"messages": F.expr("slice(messages, 1, 0)"), "meta": F.col("meta").withField("source", F.when(F.col("ord") % 2 == 0, F.col("meta.source")))})
+    whole = lambda t: t.select("ord", F.to_json(F.struct(*backup.RECORD)).alias("value"))
+    lines = whole(t.where("ord % 3 = 0")).union(t.where("ord % 3 = 1").select("ord", pairs.alias("value"))).union(whole(bare.where("ord % 3 = 2")))
+    lines = lines.union(lines.where("ord % 5 = 0")).union(lines.where("ord % 7 = 0").select("ord", F.lit("{bad")))
+    lines.select("value").write.text(root)
+    none = spark.createDataFrame([], "hash string")
+    rows = imports.import_records(spark, root, none, 1704067200000, "/u/.claude/dump.jsonl", apart=True)
+    texts = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return rows.select("meta.source", F.size("messages").alias("n"), texts.alias("texts"))
+
+
+# File name, whether its content has messages, their role and content, and the file's size.
+HEALTH = [
+    ("chat.json", "[{\"r\":1},%]", "user", "text", 100), ("chat.json", "%", "", "text", 100), ("chat.json", "%", "unknown", " \n", 1 << 20), ("chat.json", "%", "user", "", (1 << 20) + 1), ("chat.json", "%", "user", "text", 5 * (1 << 20) + (1 << 19)),
+    ("chat.json", "[]", "user", "text", 1), ("plan-x.json", "{}", "user", "text", 1), ("settings.json", "{}", "user", "text", 1), ("rules.json", "{bad", "user", "text", 1), ("chat.json", "{bad", "user", "text", 1),
+]
+
+
+def _said_of(k: int, name: str, content: str, role: str, text: str, size: int) -> str:
+    """SELECT of the record of a file of the kind."""
+    messages, bad = content == "%", content == "{bad"
+    keep = not messages and name in ("settings.json", "rules.json")
+    warnings = ["'JSON parse error'"] * bad
+    if not messages and not keep:
+        return ""
+    whole = "n || ' message(s) have {}'"
+    warnings += [whole.format("missing/unknown role")] * (messages and role in ("", "unknown")) + [whole.format("empty content")] * (messages and not text.strip()) + [f"'Large file: {size / (1 << 20):.1f}MB'"] * (size > 1 << 20)
+    kind = {"chat.json": "thread", "plan-x.json": "plan", "settings.json": "config", "rules.json": "rule"}[name]
+    return f"SELECT ord, '{kind}' AS type, CAST({'n' if messages else 1} AS INT) AS n, {' || chr(59) || '.join(warnings) or chr(39) * 2} AS warnings FROM th WHERE ord % {len(HEALTH)} = {k}"
+
+
+@query(T + " " + " UNION ALL ".join(x for x in (_said_of(k, *h) for k, h in enumerate(HEALTH) if k) if x) + f" UNION ALL SELECT ord, 'thread', CAST(1 AS INT), '' FROM th WHERE ord % {len(HEALTH)} = 0")
+def file_health(spark: SparkSession, d: str) -> DataFrame:
+    """Files with and without messages, of several types and sizes: which become records, and with what warnings."""
+    part = lambda at: F.get(F.array(*[F.lit(h[at]) for h in HEALTH]), (F.col("ord") % len(HEALTH)).cast("int"))
+    one = lambda m: F.struct(F.nullif(part(2), F.lit("")).alias("role"), F.when(part(3) == "text", m["content"]).otherwise(part(3)).alias("content"))
+    said = F.array_join(F.transform("messages", lambda m: F.to_json(one(m))), ",")
+    content = F.when(F.col("ord") % len(HEALTH) == 0, F.lit('[{"r":1},5]')).when(part(1) == "%", F.concat(F.lit('{"convo":['), said, F.lit("]}"))).otherwise(part(1))
+    rows = fx.threads(spark, d).select(F.concat(F.lit("/u/"), F.col("ord").cast("string"), F.lit("/"), part(0)).alias("path"), content.alias("content"), F.lit(0.0).alias("mtime_ms"), part(4).cast("long").alias("size"))
+    got = extract.normalize_raw(rows)
+    return got.select(F.regexp_extract("meta.file_path", "/u/([0-9]+)/", 1).cast("long").alias("ord"), "type", F.size("messages").alias("n"), F.coalesce(F.array_join("meta.warnings", ";"), F.lit("")).alias("warnings"))
+
+
+@query(MD + ", l AS (SELECT unnest(string_split(CASE WHEN ord > (SELECT min(ord) FROM k) THEN chr(10) || '---' || chr(10) || chr(10) || markdown ELSE markdown END, chr(10))) AS line, ord FROM k) SELECT line, count(*) - CASE WHEN line = '' THEN (SELECT count(*) - 1 FROM k) ELSE 0 END AS n FROM l GROUP BY line")
+def write_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """All threads as one Markdown document in files; its lines, counted."""
+    root = folder(spark, "markdown")
+    convert.write_markdown(fx.threads(spark, d), root)
+    return spark.read.option("lineSep", "\n").text(root).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(ORACLE_SQL["normalize_kv"])
+def read_kv_items(spark: SparkSession, d: str) -> DataFrame:
+    """Dumps of stores, half as Parquet and half as JSON lines, read and normalised."""
+    root, items = folder(spark, "stores"), fx.kv_items(spark, d)
+    items.where("ord % 2 = 0").drop("ord").write.parquet(f"{root}/a")
+    items.where("ord % 2 = 1").drop("ord").write.json(f"{root}/b")
+    rows = fs.read_kv_items(spark, f"{root}/a").union(fs.read_kv_items(spark, f"{root}/b", "json"))
+    texts = F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|"))
+    return extract.normalize_kv(fs.kv_key_filter(rows)).select("thread_id", F.col("meta.source").alias("source"), F.col("meta.project").alias("project"), F.size("messages").alias("n"), texts.alias("texts"))
+
+
 SECTIONS = T + " SELECT ord // 100 AS file, CAST(row_number() OVER (PARTITION BY ord // 100 ORDER BY ord, i) - 1 AS INT) AS at, role, trim(text, chr(9)||chr(10)||chr(13)||' ') AS content FROM m"
 
 

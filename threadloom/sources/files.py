@@ -45,8 +45,9 @@ def read_lines(spark: SparkSession, *roots: str, names: str = "*.jsonl") -> Data
     return rows.select(at["file_path"].alias("path"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), F.unix_millis(at["file_modification_time"]).cast("double").alias("mtime_ms"), at["file_size"].alias("size"))
 
 
-def read_kv_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("db_path", "key", "value")
+def read_kv_items(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """db_path, key, value of a dump of stores in Spark's format of this name."""
+    return spark.read.format(fmt).schema("db_path string, key string, value string").load(path)
 
 
 def read_threads(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
