@@ -64,7 +64,7 @@ def read_import(spark: SparkSession, path: str) -> DataFrame:
     v = F.try_parse_json("value")
     many = F.try_variant_get(v, "$", "array<variant>")
     rows = spark.read.option("wholetext", True).text(path).where(v.isNotNull())
-    return rows.select(F.explode(F.coalesce(F.transform(many, F.to_json), F.array("value"))).alias("json"))
+    return rows.select(F.explode(F.coalesce(F.transform(many, lambda x: F.to_json(x)), F.array("value"))).alias("json"))
 
 
 def candidate_files(files: DataFrame) -> DataFrame:
