@@ -69,3 +69,22 @@ def test_components_of_a_path_and_a_star(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 540)}, 8: 8, 9: 8}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_in_many_slices_are_one_set(spark):
+    from threadloom.llm import jaccard as jc
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    text = " ".join(r.choices(words, k=100))
+    near = text.split()
+    near[50] = "other"
+    rows = [(i, text) for i in range(40)] + [(100, " ".join(near)), (101, " ".join(r.choices(words, k=100)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(10)
+    prints, nodes, edges = jc.links(df, 4, 85)
+    row = df.selectExpr("doc_id", "xxhash64(text) as key", "text")
+    lists = jc.postings(row, nodes, 4, 85).collect()
+    assert nodes.count() == 3 and len({(x["h"], x["node"]) for x in lists}) == len(lists) > 0
+    assert min(x["pos"] for x in lists) >= 0
+    got = {x["doc_id"]: x["component_id"] for x in jc.jaccard_components(df, 4, 85).collect()}
+    assert got == {i: 0 for i in [*range(40), 100]} | {101: 101}

@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-1. Equal sets are one node (their 128-bit prints are equal): copies are not looked at again.
+1. Equal sets are one node (their 128-bit prints are equal). A slice of texts sends a set once, however often it holds it;
+   what several slices send of one set is added up to one row for each shingle before sets meet.
 2. Index lists. If |A & B| >= t |A | B| then A lacks at most K(n) = (1 - t) n of its n shingles in B. Of both sets the
    K + K / 4 + 1 shingles of least hash (the portion) therefore have K(least possible partner) / 4 + 1 in common, and
    these sets have a common shingle among their first ones in any order. The order is by frequency, rare first, so a
@@ -15,7 +16,8 @@
    component have each other's answers and are skipped as pairs, the others meet the rest block by block.
 
 Links are decided on whole shingle sets. A task gives a spanning forest of its links, so what it emits grows with its sets
-and not with its pairs. No list, group or number of partners is capped.
+and not with its pairs, but in a group over MEMBERS whose sets mostly aren't linked, sets are sent to a task for each block
+that they meet. No list, group or number of partners is capped.
 """
 
 from __future__ import annotations
@@ -154,6 +156,7 @@ def postings(row: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     rows = rows.join(hot, "bucket", "left").withColumn("part", F.pmod("salt", F.coalesce("parts", F.lit(1))))
     spread = known.select("bucket", "values", "total", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     shared = rows.groupBy("bucket", "part").cogroup(spread.groupBy("bucket", "part")).applyInArrow(_shared, "f1 long, h long, total long")
+    shared = shared.groupBy("f1", "h").agg(F.max("total").alias("total"))  # copies in several slices are one set
     by = Window.partitionBy("f1", "node")
     placed = shared.join(nodes.select("f1", "node", "n"), "f1").withColumns({"others": _sql(portion, F.col("n"), percent) - F.count("*").over(by), "rank": F.row_number().over(by.orderBy("total", "h"))})
     pos = F.col("others") + F.col("rank") - 1
