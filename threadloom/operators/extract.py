@@ -202,7 +202,9 @@ def line_rows(lines: DataFrame) -> DataFrame:
     uses = F.when(get(v, "type") == "response", F.transform(items(v, "content"), lambda p: F.when((get(p, "type") == "tool_use") & is_true(p, "input"), F.to_json(F.try_variant_get(p, "$.input", "variant")))))
     lines = lines.withColumn("p_inputs", _pretty_each(uses))
     names = [f"p_{f}" for f in (*nested, "inputs")]
-    return lines.withColumns({"messages": line_messages(v, {n[2:]: F.col(n) for n in names}), "bad": v.isNull()}).drop("v_", *names)
+    pretty = {n[2:]: F.col(n) for n in names}
+    messages = F.get(F.transform(F.array(v), lambda x: line_messages(x, pretty)), F.lit(0))  # in a lambda, as its code would take long to compile
+    return lines.withColumns({"messages": messages, "bad": v.isNull()}).drop("v_", *names)
 
 
 def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
