@@ -76,6 +76,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def text_features(docs: DataFrame) -> DataFrame:
+    """doc_id and features of every row: zeros for null and empty texts; ids may be null or repeat, an empty table gives none."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_feature_batches, "doc_id long, features array<double>")
 
 

@@ -86,7 +86,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, found: array of (kind, start, end), code points, end exclusive, by start and kind, for every row.
 
-    Null and empty texts have none; ids may be null or repeat; other columns are ignored."""
+    Null and empty texts have none; ids may be null or repeat; other columns are ignored; an empty table gives no rows."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
@@ -95,6 +95,7 @@ def _is(kind: str):
 
 
 def op3_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, counted for the base kinds and listed for all; see find_secrets for nulls and repeats."""
     found = find_secrets(documents(spark, sf_dir))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))

@@ -158,7 +158,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store_payload(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text's UTF-8 bytes (null: none), zeros appended up to a positive multiple of 64,
-    as mu-law samples of a WAVE file. Ids may be null or repeat; other columns are ignored."""
+    as mu-law samples of a WAVE file. Ids may be null or repeat; other columns are ignored. An empty table gives no rows."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
@@ -187,11 +187,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digest(stored_media: DataFrame) -> DataFrame:
+    """The payload that comes back from each stored file, its checksums and the feature, a row for every row. Ids may be null
+    or repeat; equal files have equal values; an empty table gives no rows."""
     return stored_media.mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def pcm_column(media: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
-    """doc_id, rate, pcm (16-bit little-endian samples at out_rate) of stored files."""
+    """doc_id, rate, pcm (16-bit little-endian samples at out_rate) of the files that store_payload makes, which are never
+    null; ids may be null or repeat, an empty table gives no rows."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,4 +205,5 @@ def pcm_column(media: DataFrame, out_rate: int = OUT_RATE) -> DataFrame:
 
 
 def op5_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as telephony audio and read back; a null text is an empty one, see store_payload and media_digest."""
     return media_digest(stored(store_payload(documents(spark, sf_dir)), "media"))
