@@ -6,7 +6,9 @@ fewer words is one window, which documents are cut for at its length too. A capi
 a name there and none here, as that depends on what is before it: such windows are cut in both forms. Words and numbers
 as they stand are a second form of every text, so that a shared run of WINDOW of them can't be missed whatever its case
 and line breaks. Slots of matched windows are then paired, for each place where the item lies: a re-parameterised copy
-maps each value of the item to one value of the document, whichever it is.
+maps each value of the item to one value of the document, whichever it is. Windows of numbers with few plain words say
+little alone, so the plain words of all windows of a place are counted together. An item of fewer than FEW words is
+looked for as a whole sentence only, with its own values.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.shared import documents, small_side, stored, unused
 
-WINDOW, LITERALS = 10, 6
-FLAGS = 1 << 18  # bytes of the map that keeps most windows without a match from being cut
-BROADCAST_ROWS = 200_000  # item windows (some 100 bytes each) up to which they are sent to all tasks; beyond, a shuffle join
+WINDOW, LITERALS, FEW = 10, 6, 4
+LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 20  # entries of the map that keeps most windows without a match from being cut
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = r"(?<=[0-9])(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
 NAME = r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
@@ -59,9 +61,9 @@ def _texts(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"h0": F.transform("t0", lambda t: F.xxhash64(t)), "h1": F.transform("t1", lambda t: F.xxhash64(_mark(t)))})
 
 
-def _cut(form: int, length: Column, named: bool, flags: bytes | None) -> Column:
-    """The windows of one form and length as structs, those that flags has no byte for left out; named: only windows that
-    open with a word that begins a sentence, taken for a name."""
+def _cut(form: int, length: Column, named: bool, flags: int) -> Column:
+    """The windows of one form and length as structs, those that the map of so many flags (0: none) hasn't left out; named:
+    only windows that open with a word that begins a sentence, taken for a name."""
     t, h, size = f"t{form}", f"h{form}", F.size(f"t{form}")
 
     def hashed(i: Column) -> Column:
@@ -72,27 +74,35 @@ def _cut(form: int, length: Column, named: bool, flags: bytes | None) -> Column:
         return F.struct(F.lit(form).alias("form"), i.alias("at"), hashed(i).alias("hash"), words.alias("words"), size.alias("of"))
 
     def flagged(i: Column) -> Column:
-        return F.substring(F.lit(bytearray(flags)), F.pmod(hashed(i), F.lit(FLAGS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\1"))
+        return F.get("flags", F.pmod(hashed(i), F.lit(flags)).cast("int"))
 
     at = F.when((size >= length) & (size > 0), F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
     at = F.filter(at, lambda i: F.get("raw", i).startswith(INITIAL)) if named else at
-    return F.transform(at if flags is None else F.filter(at, flagged), window)
+    return F.transform(F.filter(at, flagged) if flags else at, window)
 
 
-def _windows(texts: DataFrame, key: str, lengths: dict[int, list[int]], flags: bytes | None = None) -> DataFrame:
-    """key, row, form, at, hash and words of each window, and how many tokens its text has. Windows of documents have each
-    of the lengths; those of items (flags None) have WINDOW tokens, or all if these are fewer."""
-    sizes = {form: [F.least(F.size(f"t{form}"), F.lit(WINDOW))] if flags is None else [F.lit(n) for n in lengths[form]] for form in (LITERAL, TEMPLATE)}
-    cuts = [_cut(form, n, named, flags) for form in sizes for n in sizes[form] for named in (False, True)[: form + 1]]
-    return texts.select(key, "row", F.explode(F.concat(*cuts)).alias("w")).select(key, "row", "w.*")
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_id, row, form, at, hash and words of each window of WINDOW tokens (all, if fewer), and how many the text has."""
+    cuts = [_cut(form, F.least(F.size(f"t{form}"), F.lit(WINDOW)), named, 0) for form in (LITERAL, TEMPLATE) for named in (False, True)[: form + 1]]
+    return _texts(items, "item_id").select("item_id", "row", F.explode(F.concat(*cuts)).alias("w")).select("item_id", "row", "w.*")
 
 
-def _flags(item: DataFrame) -> bytes:
-    """A byte 1 at each window hash modulo FLAGS."""
-    out = bytearray(FLAGS)
-    for r in item.select(F.pmod("hash", F.lit(FLAGS)).alias("i")).distinct().toLocalIterator():
-        out[r["i"]] = 1
-    return bytes(out)
+def _doc_windows(docs: DataFrame, lengths: set[tuple[int, int]], flags: list[bool]) -> DataFrame:
+    """The same for documents, windows of the given forms and lengths. The map is a column read by a scalar subquery: as a
+    literal, its digits would stand in every text of the plan that the driver keeps."""
+    table = docs.sparkSession.createDataFrame([(flags,)], "flags array<boolean>")
+    cuts = [_cut(form, F.lit(n), named, len(flags)) for form, n in sorted(lengths) for named in (False, True)[: form + 1]]
+    rows = _texts(docs, "doc_id").withColumn("flags", table.scalar())
+    return rows.select("doc_id", "row", F.explode(F.concat(*cuts)).alias("w")).select("doc_id", "row", "w.*")
+
+
+def _flags(item: DataFrame) -> list[bool]:
+    """True at each window hash modulo the length, which is eight times the windows or more, up to MOST_FLAGS."""
+    n = min(max(LEAST_FLAGS, 1 << (8 * item.count()).bit_length()), MOST_FLAGS)
+    out = [False] * n
+    for r in item.select(F.pmod("hash", F.lit(n)).alias("i")).distinct().toLocalIterator():
+        out[r["i"]] = True
+    return out
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -101,26 +111,37 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     Windows that match at one distance between document and item are one occurrence. It counts if its slots map one value
     to one value; else those of its windows count whose values are all equal. n_slots and same_values are those of the
     occurrence with the most windows, n_windows is of all. Windows in which fewer than LITERALS of WINDOW words are plain
-    must have equal values, unless a short item meets a document as short. Null ids and null or empty texts match
-    nothing; rows that share an id are one document; other columns are ignored."""
-    item = _windows(_texts(items, "item_id"), "item_id", {})
+    must have equal values, unless a short item meets a document as short, or the windows of the occurrence have LITERALS
+    different plain words together, or are all of the item's and have three. Items of fewer than FEW words lie only where
+    they are a whole sentence (from a sentence's or line's begin to its end) of equal values. Null ids and null or empty
+    texts match nothing; rows that share an id are one document; other columns are ignored."""
+    item = _item_windows(items)
     # Counted from the end, as a name at the beginning may be one word or two.
-    item = stored(item.select("item_id", F.col("row").alias("item_row"), "form", (F.col("at") - F.col("of")).alias("item_at"), "hash", F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template")), "leak-items")
-    few = item.count() <= BROADCAST_ROWS
-    lengths = {form: [WINDOW] for form in (LITERAL, TEMPLATE)}
-    for r in item.select("form", F.size("template").alias("n")).where(f"n < {WINDOW}").distinct().collect():
-        lengths[r["form"]].append(r["n"])
-    doc = _windows(_texts(docs, "doc_id"), "doc_id", lengths, _flags(item))
-    hit = doc.join(F.broadcast(item) if few else item, ["hash", "form"]).where(F.transform("words", _mark) == F.col("template"))
+    slots, template = F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template")
+    item = stored(item.select("item_id", F.col("row").alias("item_row"), "form", (F.col("at") - F.col("of")).alias("item_at"), "hash", slots, template, F.greatest(F.col("of") - WINDOW + 1, F.lit(1)).alias("item_windows")), "leak-items")
+    item_bytes = item.agg(F.sum(64 + F.length(F.to_json(F.struct("item_slots", "template"))))).first()[0] or 0
+    lengths = {(r["form"], r["n"]) for r in item.select("form", F.size("template").alias("n")).distinct().collect()}  # at most WINDOW a form
+    flags = _flags(item)
+    doc = _doc_windows(docs, {(form, n) for form, n in lengths if n >= FEW} | {(TEMPLATE, WINDOW)}, flags)
+    if few := {(form, n) for form, n in lengths if n < FEW}:
+        sentences = docs.select("doc_id", F.explode(F.split(F.col("text").cast("string"), SENTENCE_END)).alias("text"))
+        doc = doc.union(_doc_windows(sentences, few, flags).where(F.col("of") == F.size("words")))
+    hit = doc.join(small_side(item, item_bytes, 2), ["hash", "form"]).where(F.transform("words", _mark) == F.col("template"))
     pairs = F.zip_with("item_slots", F.filter("words", _slot), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hit = hit.select("doc_id", "row", "item_id", "item_row", "form", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"), F.size("words").alias("n"), "of")
+    plain = F.filter("template", lambda t: ~_slot(t)).alias("plain")
+    hit = hit.select("doc_id", "row", "item_id", "item_row", "item_windows", "form", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"), plain, F.size("words").alias("n"), "of")
     hit = hit.withColumn("equal", F.forall("pairs", lambda p: p["a"] == p["b"]))
-    plain = (F.col("n") - F.size("pairs")) * WINDOW >= F.col("n") * LITERALS
-    hit = hit.where(plain | F.col("equal") | ((F.col("n") < WINDOW) & (F.col("n") == F.col("of"))))
-    place = hit.groupBy("doc_id", "row", "item_id", "item_row", "form", "shift").agg(F.collect_set(F.struct("item_at", "pairs", "equal")).alias("all"))
+    much = (F.size("plain") * WINDOW >= F.col("n") * LITERALS) | ((F.col("n") < WINDOW) & (F.col("n") == F.col("of")))
+    hit = hit.withColumn("sure", F.col("equal") | ((F.col("n") >= FEW) & much))
+    hit = hit.where(F.col("sure") | ((F.col("n") >= FEW) & (F.size(F.array_distinct("plain")) >= 2)))
+    place = hit.groupBy("doc_id", "row", "item_id", "item_row", "form", "shift").agg(F.max("item_windows").alias("of"), F.collect_set(F.struct("item_at", "pairs", "equal", "sure", "plain")).alias("all"))
     paired = lambda windows: F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"])))
-    one = F.size(F.array_distinct(F.transform(paired("all"), lambda p: p["a"]))) == F.size(paired("all"))
-    place = place.withColumn("kept", F.when(one, F.col("all")).otherwise(F.filter("all", lambda w: w["equal"]))).where(F.size("kept") > 0)
+    one = lambda windows: F.size(F.array_distinct(F.transform(paired(windows), lambda p: p["a"]))) == F.size(paired(windows))
+    words = F.size(F.array_distinct(F.flatten(F.transform("all", lambda w: w["plain"]))))
+    covered = F.size(F.array_distinct(F.transform("all", lambda w: w["item_at"]))) >= F.col("of")
+    place = place.withColumn("certain", F.filter("all", lambda w: w["sure"]))
+    kept = F.when(one("all") & ((words >= LITERALS) | (covered & (words >= 3))), F.col("all")).when(one("certain"), F.col("certain")).otherwise(F.filter("all", lambda w: w["equal"]))
+    place = place.withColumn("kept", kept).where(F.size("kept") > 0)
     place = place.select("doc_id", "item_id", "form", F.array_distinct(F.transform("kept", lambda w: w["item_at"])).alias("at"), F.forall("kept", lambda w: w["equal"]).alias("equal"), F.size(paired("kept")).alias("slots"))
     matched = lambda form: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("form") == form, F.col("at"))))))
     found = place.groupBy("doc_id", "item_id").agg(F.max(F.struct("form", F.size("at").alias("n"), "equal", "slots")).alias("best"), matched(TEMPLATE).alias("template"), matched(LITERAL).alias("literal"))
