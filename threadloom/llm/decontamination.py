@@ -100,8 +100,10 @@ def _flags(item: DataFrame) -> list[bool]:
     """True at each window hash modulo the length, which is eight times the windows or more, up to MOST_FLAGS."""
     n = min(max(LEAST_FLAGS, 1 << (8 * item.count()).bit_length()), MOST_FLAGS)
     out = [False] * n
-    for r in item.select(F.pmod("hash", F.lit(n)).alias("i")).distinct().toLocalIterator():
-        out[r["i"]] = True
+    at = item.select(F.pmod("hash", F.lit(n)).alias("i"))
+    for r in at.groupBy(F.floor(F.col("i") / 4096)).agg(F.collect_set("i").alias("at")).collect():  # at most MOST_FLAGS numbers
+        for i in r["at"]:
+            out[i] = True
     return out
 
 
