@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.shared import documents, small_side, stored, unused
 
 WINDOW, LITERALS, FEW = 10, 6, 4
-LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 20  # entries of the map that keeps most windows without a match from being cut
+LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 18  # entries of the map that keeps most windows without a match from being cut
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = r"(?<=[0-9])(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
