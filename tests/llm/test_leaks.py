@@ -114,3 +114,15 @@ def test_extra_columns_repeated_ids_and_very_long_texts(spark):
     items = spark.createDataFrame([(0, item, "x"), (0, item, "y"), (None, item, "z")], "item_id long, text string, doc_id string")
     assert sorted((r["doc_id"], r["item_id"], r["same_values"]) for r in d.leaks(docs, items).collect()) == [(1, 0, True), (2, 0, True)]
     assert d.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_the_map_is_in_bits_and_tokens_are_found_once(spark):
+    """The map lets a window through that is an item's, and no filter below finds the tokens a second time."""
+    items = spark.createDataFrame([(0, "every winter morning seven grey geese cross our frozen river again")], "item_id long, text string")
+    item = d._item_windows(items)
+    flags = d._flags(item.withColumnRenamed("part", "item_part"))
+    assert 0 < sum(bin(w & (2**64 - 1)).count("1") for w in flags) <= item.count() and len(flags) * 64 >= d.LEAST_FLAGS
+    docs = spark.createDataFrame([(1, "so every winter morning seven grey geese cross our frozen river again"), (2, "nothing like " * 20)], "doc_id long, text string")
+    found = d._doc_windows(docs, {(0, 10), (1, 10)}, flags)
+    assert {r["hash"] for r in found.where("doc_id = 1").collect()} >= {r["hash"] for r in item.where("at = 1").collect()}
+    assert not [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Filter" in line and "regexp_extract_all" in line]

@@ -19,22 +19,28 @@ from pyspark.sql import functions as F
 from threadloom.llm.shared import documents, small_side, stored, unused
 
 WINDOW, LITERALS, FEW = 10, 6, 4
-LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 18  # entries of the map that keeps most windows without a match from being cut
+LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 21  # bits of the map that keeps most windows without a match from being cut
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-UNIT = r"(?<=[0-9])(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
-NAME = r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
-INITIAL_NAME = r"(?=\p{Lu})(?<![\p{Ll},;]\x20)(?<![\p{L}])\p{Lu}\p{Ll}++(?!\p{L})"
+UNIT_NAME = r"(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
+UNIT = rf"(?<=[0-9]){UNIT_NAME}"
+# What must stand before a name is asked after its first letter, so that a search looks behind at few places only.
+NAME = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
+INITIAL_NAME = r"\p{Lu}(?<![\p{Ll},;]\x20\p{Lu})(?<![\p{L}\uE002]\p{Lu})\p{Ll}++(?!\p{L})"
 # Private-use characters that open a number, a unit and a name, close a slot, and stand before a capitalised word that is
 # no slot; such characters of a text are dropped.
 OPEN_NUMBER, OPEN_UNIT, OPEN_NAME, CLOSE, INITIAL = (chr(0xE000 + i) for i in range(5))
-TOKEN = f"[{OPEN_NUMBER}-{OPEN_NAME}][^{CLOSE}]*{CLOSE}|{INITIAL}?\\p{{L}}+"
+TOKEN = f"\\p{{L}}+|{INITIAL}\\p{{L}}+|[{OPEN_NUMBER}-{OPEN_NAME}][^{CLOSE}]*{CLOSE}"
 TEMPLATE, LITERAL = 1, 0
 
 
 def tokens(text: Column) -> Column:
     """Template words; a slot is its mark and its value, INITIAL stands before a word that begins a sentence."""
-    text = F.regexp_replace(_plain(text), UNIT, f" {OPEN_UNIT}{CLOSE} ")
+    return _tokens(_plain(text))
+
+
+def _tokens(plain: Column) -> Column:
+    text = F.regexp_replace(plain, f"([0-9]){UNIT_NAME}", f"$1 {OPEN_UNIT}{CLOSE} ")  # UNIT: no match ends in a digit
     text = F.regexp_replace(text, NAME, f"{OPEN_NAME}$0{CLOSE}")
     text = F.regexp_replace(text, INITIAL_NAME, f"{INITIAL}$0")
     text = F.regexp_replace(text, NUMBER, f"{OPEN_NUMBER}$0{CLOSE}")
@@ -42,7 +48,8 @@ def tokens(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN_NUMBER + OPEN_UNIT + OPEN_NAME + CLOSE + INITIAL, "     ")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(text.rlike(f"[{OPEN_NUMBER}-{INITIAL}]"), F.translate(text, OPEN_NUMBER + OPEN_UNIT + OPEN_NAME + CLOSE + INITIAL, "     ")).otherwise(text)
 
 
 def _slot(token: Column) -> Column:
@@ -53,57 +60,80 @@ def _mark(token: Column) -> Column:
     return F.when(_slot(token), F.left(token, F.lit(1))).otherwise(token)
 
 
-def _texts(rows: DataFrame, key: str) -> DataFrame:
-    """key, row (a hash of the text) and, for each form, its tokens t, their hashes h and the words that begin sentences."""
-    rows = rows.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null")
-    rows = rows.select(key, F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("raw"), F.regexp_extract_all(F.lower(_plain(F.col("text"))), F.lit(NUMBER + r"|\p{L}+"), F.lit(0)).alias("t0"))
-    rows = rows.withColumn("t1", F.transform("raw", lambda t: F.ltrim(t, F.lit(INITIAL))))
-    return rows.withColumns({"h0": F.transform("t0", lambda t: F.xxhash64(t)), "h1": F.transform("t1", lambda t: F.xxhash64(_mark(t)))})
-
-
-def _cut(form: int, length: Column, named: bool, flags: int) -> Column:
-    """The windows of one form and length as structs, those that the map of so many flags (0: none) hasn't left out; named:
-    only windows that open with a word that begins a sentence, taken for a name."""
-    t, h, size = f"t{form}", f"h{form}", F.size(f"t{form}")
-
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(F.concat(F.array(F.xxhash64(F.lit(OPEN_NAME))), F.slice(h, i + 2, length - 1)) if named else F.slice(h, i + 1, length))
-
-    def window(i: Column) -> Column:
-        words = F.concat(F.array(F.concat(F.lit(OPEN_NAME), F.get(t, i), F.lit(CLOSE))), F.slice(t, i + 2, length - 1)) if named else F.slice(t, i + 1, length)
-        return F.struct(F.lit(form).alias("form"), i.alias("at"), hashed(i).alias("hash"), words.alias("words"), size.alias("of"))
+def _bare(token: Column) -> Column:
+    return F.when(token.startswith(INITIAL), F.substr(token, F.lit(2))).otherwise(token)
 
-    def flagged(i: Column) -> Column:
-        return F.get("flags", F.pmod(hashed(i), F.lit(flags)).cast("int"))
 
-    at = F.when((size >= length) & (size > 0), F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
-    at = F.filter(at, lambda i: F.get("raw", i).startswith(INITIAL)) if named else at
-    return F.transform(F.filter(at, flagged) if flags else at, window)
+def _texts(rows: DataFrame, key: str) -> DataFrame:
+    """key, row (a hash of the text) and, for each form, its tokens t (template words that begin sentences after INITIAL)
+    and their hashes h."""
+    rows = rows.select(F.col(key).cast("long").alias(key), "text").where(f"{key} is not null")
+    rows = rows.select(key, F.xxhash64("text").alias("row"), _plain(F.col("text")).alias("plain"))
+    rows = rows.select(key, "row", F.regexp_extract_all(F.lower("plain"), F.lit(NUMBER + r"|\p{L}+"), F.lit(0)).alias("t0"), _tokens(F.col("plain")).alias("t1"))
+    marked = lambda t: F.when(t < OPEN_NUMBER, t).when(t < CLOSE, F.left(t, F.lit(1))).otherwise(_bare(t))
+    return rows.withColumns({"h0": F.transform("t0", lambda t: F.xxhash64(t)), "h1": F.transform("t1", lambda t: F.xxhash64(marked(t)))})
+
+
+def _spots(lengths: list[tuple[int, Column]], whole: bool = False) -> Column:
+    """A number for each window of the given forms and lengths (whole: those that are the whole text): 16 times its place in
+    the tokens of both forms, one after the other, and its length."""
+    none, parts = F.array().cast("array<bigint>"), []
+    for form, n in lengths:
+        size, first = F.size(f"t{form}").cast("long"), (n + 16 * F.size("t0") * form).cast("long")
+        fits = (size == n) if whole else (size >= n)
+        parts.append(F.when(fits & (size > 0), F.sequence(first, (size - n) * 16 + first, F.lit(16).cast("long"))).otherwise(none))
+    return F.concat(none, *parts)
+
+
+def _windows(rows: DataFrame, key: str, bits: int = 0) -> DataFrame:
+    """key, row, form, at, hash and words of each window at the spots of rows of _texts, and of (how many words the text has),
+    but those whose part the map of 2^bits words hasn't got; without a map (0) also part. A window that opens with a word that begins
+    a sentence comes twice, with that word and with a name.
+
+    part is a number from three words' hashes, which costs a fraction of the window's hash; the first word isn't among them,
+    so it holds for both forms of a window. Its highest bits are the place of a word of the map, its lowest six, which are
+    the last word's, that of a bit. Spots become rows before they are looked up, as functions of arrays aren't compiled."""
+    rows = rows.select(key, "row", F.size("t0").alias("first"), F.size("t1").alias("second"), F.concat("t0", "t1").alias("t"), F.concat("h0", "h1").alias("h"), *["flags"] * (bits > 0), "spots")
+    # Of an inner explode the optimizer infers a filter on the spots, for which it would find the tokens twice.
+    rows = rows.select("*", F.explode_outer("spots").alias("spot")).drop("spots").where("spot is not null")
+    at, n = F.shiftright("spot", 4).cast("int"), F.col("spot").bitwiseAND(15).cast("int")
+    word = lambda i: F.get("h", at + i)
+    part = word(n - 1).bitwiseXOR(F.shiftleft(word(F.shiftright(n, 1)), 21)).bitwiseXOR(F.shiftleft(word(F.lit(1)), 42))
+    if bits:
+        rows = rows.where(F.getbit(F.get("flags", F.shiftrightunsigned(part, 64 - bits).cast("int")), word(n - 1).bitwiseAND(63).cast("int")) == 1)
+    rows = rows.select(key, "row", at.alias("spot"), "first", "second", F.slice("t", at + 1, n).alias("t"), *[part.alias("part")] * (not bits))
+    opens = F.startswith(F.get("t", F.lit(0)), F.lit(INITIAL))
+    rows = rows.select("*", F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("named"))
+    words = F.transform("t", lambda t, i: F.when(F.col("named") & (i == 0), F.concat(F.lit(OPEN_NAME), _bare(t), F.lit(CLOSE))).otherwise(_bare(t)))
+    literal = F.col("spot") < F.col("first")
+    rows = rows.select(key, "row", F.when(literal, LITERAL).otherwise(TEMPLATE).alias("form"), F.when(literal, F.col("spot")).otherwise(F.col("spot") - F.col("first")).alias("at"), words.alias("words"), F.when(literal, F.col("first")).otherwise(F.col("second")).alias("of"), *["part"] * (not bits))
+    return rows.withColumn("hash", F.xxhash64(F.transform("words", lambda t: F.xxhash64(_mark(t)))))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """item_id, row, form, at, hash and words of each window of WINDOW tokens (all, if fewer), and how many the text has."""
-    cuts = [_cut(form, F.least(F.size(f"t{form}"), F.lit(WINDOW)), named, 0) for form in (LITERAL, TEMPLATE) for named in (False, True)[: form + 1]]
-    return _texts(items, "item_id").select("item_id", "row", F.explode(F.concat(*cuts)).alias("w")).select("item_id", "row", "w.*")
-
-
-def _doc_windows(docs: DataFrame, lengths: set[tuple[int, int]], flags: list[bool]) -> DataFrame:
-    """The same for documents, windows of the given forms and lengths. The map is a column read by a scalar subquery: as a
-    literal, its digits would stand in every text of the plan that the driver keeps."""
-    table = docs.sparkSession.createDataFrame([(flags,)], "flags array<boolean>")
-    cuts = [_cut(form, F.lit(n), named, len(flags)) for form, n in sorted(lengths) for named in (False, True)[: form + 1]]
-    rows = _texts(docs, "doc_id").withColumn("flags", table.scalar())
-    return rows.select("doc_id", "row", F.explode(F.concat(*cuts)).alias("w")).select("doc_id", "row", "w.*")
-
-
-def _flags(item: DataFrame) -> list[bool]:
-    """True at each window hash modulo the length, which is eight times the windows or more, up to MOST_FLAGS."""
-    n = min(max(LEAST_FLAGS, 1 << (8 * item.count()).bit_length()), MOST_FLAGS)
-    out = [False] * n
-    at = item.select(F.pmod("hash", F.lit(n)).alias("i"))
-    for r in at.groupBy(F.floor(F.col("i") / 4096)).agg(F.collect_set("i").alias("at")).collect():  # at most MOST_FLAGS numbers
-        for i in r["at"]:
-            out[i] = True
+    """Each window of WINDOW tokens (all, if fewer) of items."""
+    rows = _texts(items, "item_id")
+    return _windows(rows.withColumn("spots", _spots([(form, F.least(F.size(f"t{form}"), F.lit(WINDOW))) for form in (LITERAL, TEMPLATE)])), "item_id")
+
+
+def _doc_windows(docs: DataFrame, lengths: set[tuple[int, int]], flags: list[int], whole: bool = False) -> DataFrame:
+    """The same for documents, windows of the given forms and lengths, or (whole, without the
+    map) those that are the whole text. The map is a column read by a scalar subquery: as a literal, its digits would stand in every text of the plan that the driver
+    keeps."""
+    table = docs.sparkSession.createDataFrame([(flags,)], "flags array<bigint>")
+    rows = _texts(docs, "doc_id").withColumns({"spots": _spots([(form, F.lit(n)) for form, n in sorted(lengths)], whole), **({} if whole else {"flags": table.scalar()})})
+    return _windows(rows, "doc_id", 0 if whole else len(flags).bit_length() - 1)
+
+
+def _flags(item: DataFrame) -> list[int]:
+    """Words of 64 bits; those of the parts of all windows are set. The bits are 64 times the windows or more, up
+    to MOST_FLAGS."""
+    n = min(max(LEAST_FLAGS, 1 << (64 * item.count()).bit_length()), MOST_FLAGS) // 64
+    out = [0] * n
+    keys = item.select(F.col("item_part").alias("k")).where("k is not null")
+    at = F.shiftrightunsigned("k", 65 - n.bit_length()).cast("int").alias("i")
+    for r in keys.groupBy(at).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k").bitwiseAND(63).cast("int"))).alias("word")).collect():  # at most MOST_FLAGS / 64 numbers
+        out[r["i"]] = r["word"]
     return out
 
 
@@ -120,14 +150,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     item = _item_windows(items)
     # Counted from the end, as a name at the beginning may be one word or two.
     slots, template = F.filter("words", _slot).alias("item_slots"), F.transform("words", _mark).alias("template")
-    item = stored(item.select("item_id", F.col("row").alias("item_row"), "form", (F.col("at") - F.col("of")).alias("item_at"), "hash", slots, template, F.greatest(F.col("of") - WINDOW + 1, F.lit(1)).alias("item_windows")), "leak-items")
+    item = stored(item.select("item_id", F.col("row").alias("item_row"), "form", (F.col("at") - F.col("of")).alias("item_at"), "hash", slots, template, F.greatest(F.col("of") - WINDOW + 1, F.lit(1)).alias("item_windows"), F.col("part").alias("item_part")), "leak-items")
     item_bytes = item.agg(F.sum(64 + F.length(F.to_json(F.struct("item_slots", "template"))))).first()[0] or 0
     lengths = {(r["form"], r["n"]) for r in item.select("form", F.size("template").alias("n")).distinct().collect()}  # at most WINDOW a form
     flags = _flags(item)
     doc = _doc_windows(docs, {(form, n) for form, n in lengths if n >= FEW} | {(TEMPLATE, WINDOW)}, flags)
     if few := {(form, n) for form, n in lengths if n < FEW}:
         sentences = docs.select("doc_id", F.explode(F.split(F.col("text").cast("string"), SENTENCE_END)).alias("text"))
-        doc = doc.union(_doc_windows(sentences, few, flags).where(F.col("of") == F.size("words")))
+        doc = doc.unionByName(_doc_windows(sentences, few, flags, whole=True).drop("part"))
     hit = doc.join(small_side(item, item_bytes, 2), ["hash", "form"]).where(F.transform("words", _mark) == F.col("template"))
     pairs = F.zip_with("item_slots", F.filter("words", _slot), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     plain = F.filter("template", lambda t: ~_slot(t)).alias("plain")
