@@ -56,3 +56,14 @@ def test_the_trees_decide_on_loose_candidates(spark):
     rows = {x["doc_id"]: x for x in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(not rows[i]["added"] for i in range(500))
     assert all(len(rows[i]["added"]) == 1 for i in range(500, len(texts)))
+
+
+def test_all_candidates_take_part_in_training(spark, monkeypatch):
+    """The stored training rows stand for every candidate, however many there are."""
+    kept = {}
+    monkeypatch.setattr(pii, "stored", lambda df, name: kept.setdefault(name, df.cache()))
+    texts = [f"see 10.0.{i % 250}.{i % 7} or 10.1.{i % 250}.{i % 300} and 555 123 {i % 9000:04d}" for i in range(25_000)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    pii.train(found)
+    total = found.selectExpr("sum(size(found)) as n").first()["n"]
+    assert total > 50_000 and kept["pii-train"].selectExpr("sum(n) as n").first()["n"] == total

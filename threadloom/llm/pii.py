@@ -17,11 +17,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import documents, least_hashes, stored
+from threadloom.llm.shared import documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000  # most labelled candidates, base and loose each, that the trees are fitted on: those of least hash
 TREES, DEPTH = 10, 3
+BINS = 1024  # most values of a feature that splits are tried at; Spark looks for them in a sample beyond BINS**2 different rows
 PRECISION, SUPPORT = 0.9, 20
 CHUNK = 256  # matches whose places are added up at a time
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -77,12 +77,12 @@ def _passes(kind: str, match: Column) -> Column:
 
 def _features(kind: str, strict: bool, match: Column, near: Column, after: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
-    n = lambda c: (F.length(match) - F.length(F.replace(match, F.lit(c)))).cast("double")
+    n = lambda c: F.length(match) - F.length(F.replace(match, F.lit(c)))
     values = (
         F.length(match), F.length(digits), F.size(F.split(match, "[^0-9]+")), n("+"), n("@"), n("."), n("-"), n(" "), n("(") + n("[") + n(")") + n("]"), F.length(F.regexp_replace(match, "[^A-Z]", "")),
         near.rlike("[A-Za-z0-9]$"), after.rlike("[A-Za-z0-9]"), F.size(F.array_distinct(F.split(digits, ""))), F.lit(2 * KINDS.index(kind) + strict),
     )
-    return F.array(*[v.cast("double") for v in values])
+    return F.array(*[v.cast("int") for v in values])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -121,22 +121,24 @@ def _tree(node, features: Column) -> Column:
 
 def train(found: DataFrame):
     """A function from a features column to a score, and the threshold of each kind (None: none reaches PRECISION); None
-    where a label has fewer than 10 candidates."""
-    c = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").withColumns({"label": F.col("valid").cast("double"), "order": F.xxhash64("doc_id", "start", "rank")})
-    some = [least_hashes(c.where(F.col("strict") == strict), "order", TRAIN_ROWS, "doc_id", "start") for strict in (True, False)]
-    rows = stored(some[0].union(some[1]).select("label", "strict", "rank", F.pmod("order", F.lit(5)).alias("fold"), "features"), "pii-train")
-    counts = {r["label"]: r["n"] for r in rows.where("fold > 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    where a label has fewer than 10 candidates.
+
+    All candidates take part: equal ones (label, features, fold) are counted, and the trees are fitted on the different ones
+    with their numbers as weights, which are few, as features are small whole numbers."""
+    c = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").withColumns({"label": F.col("valid").cast("double"), "fold": F.pmod(F.xxhash64("doc_id", "start", "rank"), F.lit(5))})
+    rows = stored(c.groupBy("label", "strict", "rank", "fold", "features").agg(F.count("*").cast("double").alias("n")), "pii-train")
+    counts = {r["label"]: r["n"] for r in rows.where("fold > 0").groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
         return None
-    vectors = rows.where("fold > 0").select("label", array_to_vector("features").alias("vector")).coalesce(1)
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(vectors)
+    vectors = rows.where("fold > 0").groupBy("label", "features").agg(F.sum("n").alias("n")).select("label", "n", array_to_vector(F.col("features").cast("array<double>")).alias("vector"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxBins=BINS, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(vectors)
     roots, weights = [t._java_obj.rootNode() for t in model.trees], list(model.treeWeights)
 
     def score(features: Column) -> Column:
         margin = sum((_tree(r, features) * float(w) for r, w in zip(roots, weights)), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = rows.where("fold = 0 and not strict").groupBy("rank", F.floor(score(F.col("features")) * 100).cast("int").alias("bin")).agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    held = rows.where("fold = 0 and not strict").groupBy("rank", F.floor(score(F.col("features")) * 100).cast("int").alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     thresholds: list[float | None] = [None] * len(KINDS)
     seen = [[0.0, 0] for _ in KINDS]
     for r in sorted(held.collect(), key=lambda r: -r["bin"]):  # at most 101 rows a kind
