@@ -1,6 +1,8 @@
 """Cleaning with counters, schema faults, reports and pages."""
 
 import json
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,3 +67,13 @@ def test_report_and_pages(spark):
         pages += [tuple(r) for r in page]
         after = pages[-1]
     assert pages == [tuple(r) for r in t.select("meta.source", "thread_id").orderBy("meta.source", "thread_id").collect()]
+
+
+def test_addresses_are_found_without_reading_a_run_twice(spark):
+    texts = ["a@b.co.x@y.org", "a@b.co1@e.fr", "@e.fr a@@b.co x@y z@y.c q.w+e@r-t.uio,", "u@v.org" * 3, "é@a.bc 1%a@b.c.de.f9", "a@b.co@c.de@f.gh"]
+    want = [re.sub(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "***PII_MASKED***", t) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [r["t"] for r in rows.select("i", clean.mask_pii.text(F.col("t")).alias("t")).orderBy("i").collect()] == want
+    began = time.time()
+    long = spark.createDataFrame([("a" * 400_000 + " @ " + "b" * 400_000 + "@c.de",)], "t string")
+    assert long.select(clean.mask_pii.text(F.col("t")).endswith("***PII_MASKED***").alias("t")).first()["t"] and time.time() - began < 20

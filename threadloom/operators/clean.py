@@ -26,7 +26,8 @@ PII = {
     "ID_Card": r"[1-9](?<!\d[1-9])\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dX](?!\d)",
     "Phone": r"1(?<!\d1)[3-9]\d{9}(?!\d)",
     "Bank_Card": r"[1-9](?<!\d[1-9])\d{12,18}(?!\d)",
-    "Email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+    # Begins where a run of its characters does or the match before ended, and never gives any back: no run is read twice.
+    "Email": r"(?:(?<![a-zA-Z0-9._%+-])|\G)[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
 }
 ASSETS = {
     "DB_URI": r"(?:mysql|postgresql|mongodb|redis|mssql)://[a-zA-Z0-9_.-]+:[a-zA-Z0-9_.-]+@[a-zA-Z0-9.-]+(?::\d+)?/[a-zA-Z0-9_.-]*",
