@@ -88,3 +88,16 @@ def test_copies_in_many_slices_are_one_set(spark):
     assert min(x["pos"] for x in lists) >= 0
     got = {x["doc_id"]: x["component_id"] for x in jc.jaccard_components(df, 4, 85).collect()}
     assert got == {i: 0 for i in [*range(40), 100]} | {101: 101}
+
+
+def test_sets_are_taken_in_small_slices():
+    """What a task holds at once is bounded by 1 MB of text (a text at least), and the sets don't depend on it."""
+    import pyarrow as pa
+
+    from threadloom.llm import jaccard
+
+    texts = [" ".join(f"w{(i * 7 + k) % 50_000}" for i in range(90_000)) for k in range(4)]
+    batch = pa.record_batch([pa.array(range(4)), pa.array(range(4)), pa.array(texts)], ["doc_id", "key", "text"])
+    parts = list(jaccard._prints(5)(iter([batch])))
+    alone = [b for i in range(4) for b in jaccard._prints(5)(iter([batch.slice(i, 1)]))]
+    assert len(parts) > 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches(alone).combine_chunks())

@@ -38,6 +38,7 @@ WORDS, PERCENT = 4, 85
 MEMBERS, ELEMENTS = 1024, 2 << 20  # sets, and shingles of sets, in one block of a group
 BUCKET, OWNERS = 250_000, 8 << 20  # portion shingles in a hash bucket (more for a large corpus), and in one part of it
 INDEX_BYTES = 4 << 20  # text in a slice that counts its distinct shingles
+SET_BYTES = 1 << 20  # text in a slice whose sets are taken one by one, so that its length is a matter of memory only
 SPARSE = 6  # holders up to which a shingle's pairs of sets are listed one by one
 
 
@@ -81,7 +82,7 @@ def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Set size and a 128-bit print of the set."""
-        for b in slices(batches):
+        for b in slices(batches, most=SET_BYTES):
             s = shingle_sets(words(b.column("text")), size)
             yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(s.sizes), pa.array(s.prints(1)), pa.array(s.prints(2))], ["doc_id", "key", "n_shingles", "f1", "f2"])
 
@@ -174,7 +175,7 @@ def groups(lists: DataFrame, percent: int) -> DataFrame:
 
 def _elements(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=SET_BYTES):
             s = shingle_sets(words(b.column("text")), size)
             yield pa.record_batch([b.column("node"), pa.array(s.sizes), b.column("places"), pa.array([s.of(i).tobytes() for i in range(b.num_rows)], pa.binary())], ["node", "n", "places", "elements"])
 
