@@ -1,6 +1,7 @@
 """Cleaning with counters, schema faults, reports and pages."""
 
 import json
+import random
 import re
 import time
 
@@ -77,3 +78,28 @@ def test_addresses_are_found_without_reading_a_run_twice(spark):
     began = time.time()
     long = spark.createDataFrame([("a" * 400_000 + " @ " + "b" * 400_000 + "@c.de",)], "t string")
     assert long.select(clean.mask_pii.text(F.col("t")).endswith("***PII_MASKED***").alias("t")).first()["t"] and time.time() - began < 20
+
+
+def test_masks_and_counts_are_those_of_plain_patterns(spark):
+    """Types but one are searched only in texts with a literal that they need; what masks a match counts it, once, whatever
+    stands around it."""
+    maskers = (clean.mask_secrets, clean.mask_pii, clean.mask_assets)
+    assert {k for m in maskers for k, _ in m.steps} - set(clean.HINTS) == {"Bank_Card"}
+    plain = {
+        "AWS_AccessKey": r"(?<![A-Z0-9])(?:AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])", "ID_Card": r"(?<![0-9])[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9X](?![0-9])",
+        "Phone": r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])", "Bank_Card": r"(?<![0-9])[1-9][0-9]{12,18}(?![0-9])", "Email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
+        "DB_URI": clean.ASSETS["DB_URI"].replace("(?=[mpr])", ""), "Internal_IP": r"(?<![0-9])(?:10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|192\.168\.[0-9]{1,3}\.[0-9]{1,3}|172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3})(?![0-9])",
+    }
+    r = random.Random(3)
+    bits = ["AKIA", "ASIA0123456789ABCDEF", "0123456789ABCDEF", "110101199003071234", "11010120000307123X", "13912345678", "6222000000000001", "7", "X", "@", "@", "a.b", "c.org", "é", " ", "\n", ".", "10.0.3.7", "192.168.1.1", "172.16.0.9", "172.40.0.1",
+            "mysql://", "redis://u:p@h:1/d", "postgresql://a:b@c.d/e", "sk-", "k" * 36, "ghp_", "gho_", "sk-ant-api03-", "bce-v3/", "ALTAK-", "-----BEGIN CERTIFICATE-----", "-----END CERTIFICATE-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "***MASKED***", "***PII_MASKED***", "***PII_MASKED", "PII_MASKED***", "🙂"]
+    texts = ["".join(r.choices(bits, k=r.randrange(12))) for _ in range(1500)] + ["***PII_MASKED13912345678PII_MASKED***"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for m in maskers:
+        got = rows.select("i", m.text(F.col("t")).alias("t"), m.counts(F.col("t")).alias("n")).orderBy("i").collect()
+        for row, text in zip(got, texts):
+            counts = []
+            for kind, pattern in m.steps:
+                text, n = re.subn(plain.get(kind, pattern), m.mask, text)
+                counts.append(n)
+            assert (row["t"], row["n"]) == (text, counts)
