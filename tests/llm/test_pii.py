@@ -67,3 +67,23 @@ def test_all_candidates_take_part_in_training(spark, monkeypatch):
     pii.train(found)
     total = found.selectExpr("sum(size(found)) as n").first()["n"]
     assert total > 50_000 and kept["pii-train"].selectExpr("sum(n) as n").first()["n"] == total
+
+
+def test_thresholds_come_from_all_candidates_and_splits_from_all_rows(spark, monkeypatch):
+    """What sets the thresholds adds up to every loose candidate, and no row number lets Spark sample for splits."""
+    assert all(n <= pii.bins(n) ** 2 for n in (0, 1, 1 << 20, (1 << 20) + 1, 10**9)) and pii.bins(5) == pii.BINS
+    fitted, scored = [], []
+    fit = pii._fit
+
+    def spy(rows):
+        fitted.append(rows.selectExpr("sum(n) as n").first()["n"])
+        return fit(rows)
+
+    monkeypatch.setattr(pii, "_fit", spy)
+    monkeypatch.setattr(pii, "sorted", lambda rows, **how: scored.extend(rows) or sorted(rows, **how), raising=False)
+    texts = [f"{'phone' if i % 3 else 'x'} 555 123 {i % 9000:04d} or 10.0.{i % 250}.{i % 300}" for i in range(2000)]
+    found = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    pii.train(found)
+    total, loose = found.selectExpr("sum(size(found)) as n", "sum(size(filter(found, x -> not x.strict))) as m").first()
+    assert fitted[0] == total and sum(total - n for n in fitted[1:]) == total
+    assert loose == 2000 and sum(r["n"] for r in scored) == loose

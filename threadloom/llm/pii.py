@@ -4,14 +4,18 @@ Generators of high recall propose overlapping spans: the base patterns before th
 with spelled-out signs and IPv6. Each candidate gets format and context features. The labels are none of them: a base
 candidate is positive if it passes its checks (Luhn, ranges, digits), a loose one if a cue word such as "mail" or "phone"
 stands before it. So the trees learn which forms people announce as personal data, and decide on every loose candidate,
-announced or not. For each kind the threshold is the least score from which on PRECISION of the loose candidates of a
-held-out fifth are positive; a kind with fewer than SUPPORT of them there adds nothing. The trees become one SQL
+announced or not. The trees are fitted on all candidates. For each kind the threshold is the least score from which on
+PRECISION of all loose candidates are positive, each scored by trees that were fitted on the other folds (FOLDS in all); a
+kind with fewer than SUPPORT of them there adds nothing. The trees become one SQL
 expression, so scoring stays a projection without a shuffle. Base spans are kept whatever the model says; a loose span is
 added where it scores enough and overlaps no base span.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +25,8 @@ from threadloom.llm.shared import documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TREES, DEPTH = 10, 3
-BINS = 1024  # most values of a feature that splits are tried at; Spark looks for them in a sample beyond BINS**2 different rows
+FOLDS = 2
+BINS = 1024  # values of a feature that splits are tried at, at least
 PRECISION, SUPPORT = 0.9, 20
 CHUNK = 256  # matches whose places are added up at a time
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -119,26 +124,40 @@ def _tree(node, features: Column) -> Column:
     return F.when(features[split.featureIndex()] <= float(split.threshold()), _tree(node.leftChild(), features)).otherwise(_tree(node.rightChild(), features))
 
 
-def train(found: DataFrame):
-    """A function from a features column to a score, and the threshold of each kind (None: none reaches PRECISION); None
-    where a label has fewer than 10 candidates.
+def bins(rows: int) -> int:
+    """maxBins for so many training rows. Spark looks for splits in a sample if there are more than its square, so there never are."""
+    return max(BINS, math.isqrt(max(rows - 1, 0)) + 1)
 
-    All candidates take part: equal ones (label, features, fold) are counted, and the trees are fitted on the different ones
-    with their numbers as weights, which are few, as features are small whole numbers."""
-    c = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").withColumns({"label": F.col("valid").cast("double"), "fold": F.pmod(F.xxhash64("doc_id", "start", "rank"), F.lit(5))})
-    rows = stored(c.groupBy("label", "strict", "rank", "fold", "features").agg(F.count("*").cast("double").alias("n")), "pii-train")
-    counts = {r["label"]: r["n"] for r in rows.where("fold > 0").groupBy("label").agg(F.sum("n").alias("n")).collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < 10:
-        return None
-    vectors = rows.where("fold > 0").groupBy("label", "features").agg(F.sum("n").alias("n")).select("label", "n", array_to_vector(F.col("features").cast("array<double>")).alias("vector"))
-    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxBins=BINS, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(vectors)
+
+def _fit(rows: DataFrame):
+    """A function from a features column to a score, by trees fitted on all rows (label, features, n: how many there are)."""
+    vectors = rows.groupBy("label", "features").agg(F.sum("n").alias("n")).select("label", "n", array_to_vector(F.col("features").cast("array<double>")).alias("vector"))
+    vectors = stored(vectors, "pii-vectors")  # each tree reads them several times
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxBins=bins(vectors.count()), maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(vectors)
     roots, weights = [t._java_obj.rootNode() for t in model.trees], list(model.treeWeights)
 
     def score(features: Column) -> Column:
         margin = sum((_tree(r, features) * float(w) for r, w in zip(roots, weights)), F.lit(0.0))
         return 1 / (1 + F.exp(-2 * margin))
 
-    held = rows.where("fold = 0 and not strict").groupBy("rank", F.floor(score(F.col("features")) * 100).cast("int").alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
+    return score
+
+
+def train(found: DataFrame):
+    """A function from a features column to a score, and the threshold of each kind (None: none reaches PRECISION); None
+    where a label has fewer than 10 candidates, in all or outside a fold.
+
+    All candidates take part in the trees and in the thresholds: equal ones (label, features, fold) are counted, and the
+    trees are fitted on the different ones with their numbers as weights, which are few, as features are small whole
+    numbers. The score that is compared with a threshold comes from all, those that set it from the other folds."""
+    c = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").withColumns({"label": F.col("valid").cast("double"), "fold": F.pmod(F.xxhash64("doc_id", "start", "rank"), F.lit(FOLDS)).cast("int")})
+    rows = stored(c.groupBy("label", "strict", "rank", "fold", "features").agg(F.count("*").cast("double").alias("n")), "pii-train")
+    counts = {(r["label"], r["fold"]): r["n"] for r in rows.groupBy("label", "fold").agg(F.sum("n").alias("n")).collect()}
+    if min(sum(n for (x, f), n in counts.items() if x == label and f != fold) for label in (0.0, 1.0) for fold in range(FOLDS)) < 10:
+        return None
+    score, others = _fit(rows), [_fit(rows.where(F.col("fold") != fold)) for fold in range(FOLDS)]
+    own = reduce(lambda rest, fold: F.when(F.col("fold") == fold, others[fold](F.col("features"))).otherwise(rest), range(FOLDS), F.lit(0.0))
+    held = rows.where("not strict").groupBy("rank", F.floor(own * 100).cast("int").alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     thresholds: list[float | None] = [None] * len(KINDS)
     seen = [[0.0, 0] for _ in KINDS]
     for r in sorted(held.collect(), key=lambda r: -r["bin"]):  # at most 101 rows a kind
