@@ -116,6 +116,17 @@ def test_extra_columns_repeated_ids_and_very_long_texts(spark):
     assert d.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_thousands_of_names_or_parts_of_a_number_in_a_row(spark):
+    """A pattern that calls itself for each of them overflows the stack, which ends the executor."""
+    names, number = "and" + " Word" * 50_000, "1" + ".1" * 50_000
+    for pattern, text in ((d.NAME, names), (d.NUMBER, number), (d.NUMBER + r"|\p{L}+", number)):
+        matcher = spark._jvm.java.util.regex.Pattern.compile(pattern).matcher(text)
+        assert matcher.find() and matcher.end() == len(text)
+    item = "every winter morning seven grey geese cross our frozen river again"
+    docs = [f"so {item} {names}", f"so {item}, {number}", names, number, f"{names} {number} {item}"]
+    assert _leaks(spark, [item], docs) == {(0, 0): True, (1, 0): True, (4, 0): True} and set(_plain([item], docs)) == {(0, 0), (1, 0), (4, 0)}
+
+
 def test_the_map_is_in_bits_and_tokens_are_found_once(spark):
     """The map lets a window through that is an item's, and no filter below finds the tokens a second time."""
     items = spark.createDataFrame([(0, "every winter morning seven grey geese cross our frozen river again")], "item_id long, text string")

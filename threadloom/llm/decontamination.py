@@ -21,11 +21,13 @@ from threadloom.llm.shared import documents, small_side, stored, unused
 WINDOW, LITERALS, FEW = 10, 6, 4
 LEAST_FLAGS, MOST_FLAGS = 1 << 12, 1 << 21  # bits of the map that keeps most windows without a match from being cut
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+# Loops over groups are possessive, as Java calls itself for each turn of any other: a text of some thousand names or parts
+# of a number in a row would overflow the stack, which ends the executor. Nothing stands behind them that a turn is given back for.
+NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 UNIT_NAME = r"(?:\x20?(?:kg|km|cm|mm|mg|ml|hours?|hrs?|minutes?|mins?|seconds?|days?|weeks?|years?|miles?|meters?|metres?|dollars?|euros?|percent|litres?|liters?)(?![\p{L}0-9])|\x20?[%$€])"
 UNIT = rf"(?<=[0-9]){UNIT_NAME}"
 # What must stand before a name is asked after its first letter, so that a search looks behind at few places only.
-NAME = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
+NAME = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*+"
 INITIAL_NAME = r"\p{Lu}(?<![\p{Ll},;]\x20\p{Lu})(?<![\p{L}\uE002]\p{Lu})\p{Ll}++(?!\p{L})"
 # Private-use characters that open a number, a unit and a name, close a slot, and stand before a capitalised word that is
 # no slot; such characters of a text are dropped.
